@@ -30,18 +30,15 @@ def _alternation(rules: list[Rule]) -> str:
 
 
 def _hit(text: Column, rule: Rule) -> Column:
-    """The literal check short-cuts the pattern for most texts."""
+    """The literal checks are byte searches; the pattern runs only where one succeeds."""
     matched = text.rlike(rule.pattern)
-    return matched if rule.keyword is None else text.contains(rule.keyword) & matched
+    if not rule.keywords:
+        return matched
+    return reduce(or_, [text.contains(k) for k in rule.keywords]) & matched
 
 
 def _any_hit(text: Column, rules: list[Rule]) -> Column:
-    """Rules with a literal are tried alone, the others in one alternation."""
-    plain = [r for r in rules if r.keyword is None]
-    tests = [_hit(text, r) for r in rules if r.keyword is not None]
-    if plain:
-        tests.append(text.rlike(_alternation(plain)))
-    return reduce(or_, tests)
+    return reduce(or_, [_hit(text, r) for r in rules])
 
 
 def _rule_struct(rule: Rule) -> Column:
@@ -67,9 +64,9 @@ def secret_detection(texts: DataFrame, rules: list[Rule] | None = None) -> DataF
     content = F.col("content")
     rest = F.regexp_replace(content, _alternation(specific), " ") if specific else content
     hits = F.array_compact(F.array(*[
-        F.when(_hit(rest if r.generic else content, r), _rule_struct(r)) for r in chosen]))
+        F.when(_hit(F.col("rest") if r.generic else content, r), _rule_struct(r)) for r in chosen]))
     return (
-        lines.filter(_any_hit(content, chosen))
+        lines.filter(_any_hit(content, chosen)).withColumn("rest", rest)
         .select("project", "path", "line", F.inline(hits))
         .select(
             "project", "path", "line", "rule_id", "title", "severity",

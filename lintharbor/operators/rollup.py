@@ -69,13 +69,6 @@ def severity_buckets(findings: DataFrame) -> DataFrame:
     )
 
 
-def buckets_with_clean_scans(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    """As severity_buckets, with zero rows for scans that found nothing."""
-    counted = severity_buckets(findings)
-    names = [c for c in counted.columns if c not in KEYS]
-    return scans.select(*KEYS).distinct().join(counted, KEYS, "left").fillna(0, names)
-
-
 def bandit_breakdown(items: DataFrame) -> DataFrame:
     """Counts per run; levels other than the three named are ignored."""
     level = F.upper(F.coalesce("issue_severity", F.lit("UNKNOWN")))
@@ -117,26 +110,19 @@ def semgrep_multi_config(runs: DataFrame) -> DataFrame:
     paths = rp.scanned_paths(done).groupBy(*KEYS).agg(
         F.count_distinct("path").alias("files_scanned"))
 
-    listed = rn.error_sample(done).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    failed = (
-        runs.filter((F.col("tool") == "Semgrep") & ~ok)
-        .filter(~rn.tool_failure().contains("not installed"))
-        .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")))
-    errors = listed.unionByName(failed).groupBy(*KEYS).agg(F.sum("n").alias("n_errors"))
+    failed = ~ok & ~F.coalesce(rn.tool_failure().contains("not installed"), F.lit(False))
+    errors = (
+        runs.filter(F.col("tool") == "Semgrep").groupBy(*KEYS)
+        .agg(F.sum(F.when(ok, rn.n_listed_errors(F.col("stdout"))).when(failed, 1).otherwise(0))
+             .alias("n_errors")))
 
-    scans = runs.filter(F.col("tool") == "Semgrep").select(*KEYS).distinct()
-    joined = scans.join(found, KEYS, "left").join(paths, KEYS, "left").join(errors, KEYS, "left")
-    return joined.fillna(0)
+    # `errors` has a row for every scan with a run, clean or not.
+    return errors.join(found, KEYS, "left").join(paths, KEYS, "left").fillna(0)
 
 
 def files_scanned(runs: DataFrame) -> DataFrame:
     """Files as the report counts them, once per tool."""
-    per_run = (
-        F.when(F.col("tool").isin("Bandit", "ESLint"), F.coalesce("file_count", F.lit(0)))
-        .when(F.col("tool") == "Semgrep", rp.n_scanned_paths(F.col("stdout")))
-        .otherwise(0))
-    return runs.groupBy(*KEYS).agg(
-        F.sum(F.when(rp.succeeded(F.col("exit_code")), per_run).otherwise(0)).alias("files_scanned"))
+    return run_facts(runs).select(*KEYS, "files_scanned")
 
 
 def secret_and_dependency_counts(findings: DataFrame) -> DataFrame:
@@ -174,18 +160,27 @@ def scan_order(tool: Column) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n, _ in SCAN_NAMES]), tool)
 
 
+def run_facts(runs: DataFrame) -> DataFrame:
+    """Run-level facts per scan in one aggregation: names, files and seconds."""
+    tool = F.col("tool")
+    ran = F.collect_set(F.when(
+        tool.isin(*[n for n, _ in SCAN_NAMES]), F.struct(scan_order(tool).alias("o"), tool.alias("t"))))
+    has_ts = F.bool_or((tool == "ESLint") & F.col("unit").rlike(r"\.tsx?$"))
+    per_run = (
+        F.when(tool.isin("Bandit", "ESLint"), F.coalesce("file_count", F.lit(0)))
+        .when(tool == "Semgrep", rp.n_scanned_paths(F.col("stdout"))).otherwise(0))
+    facts = runs.groupBy(*KEYS).agg(
+        F.sort_array(ran).alias("ran"), F.coalesce(has_ts, F.lit(False)).alias("has_ts"),
+        F.sum(F.when(rp.succeeded(F.col("exit_code")), per_run).otherwise(0)).alias("files_scanned"),
+        F.sum("duration_s").alias("duration_s"))
+    names = F.transform("ran", lambda x: scan_name(x["t"], F.col("has_ts")))
+    return facts.select(*KEYS, F.size("ran").alias("n_scans"), names.alias("scans_performed"),
+                        "files_scanned", "duration_s")
+
+
 def scans_performed(runs: DataFrame) -> DataFrame:
-    """Names of the scans that ran, failed ones included, each once; at most one per tool."""
-    has_ts = F.coalesce(F.bool_or((F.col("tool") == "ESLint") & F.col("unit").rlike(r"\.tsx?$")),
-                        F.lit(False))
-    ran = F.sort_array(F.collect_set(
-        F.when(F.col("tool").isin(*[n for n, _ in SCAN_NAMES]),
-               F.struct(scan_order(F.col("tool")).alias("o"), F.col("tool").alias("t")))))
-    return (
-        runs.groupBy(*KEYS).agg(ran.alias("ran"), has_ts.alias("has_ts"))
-        .select(*KEYS, F.size("ran").alias("n_scans"), F.transform(
-            "ran", lambda x: scan_name(x["t"], F.col("has_ts"))).alias("scans_performed"))
-    )
+    """Names of the scans that ran, failed ones included, each once (there are six at most)."""
+    return run_facts(runs).select(*KEYS, "n_scans", "scans_performed")
 
 
 def total_issues(findings: DataFrame) -> DataFrame:

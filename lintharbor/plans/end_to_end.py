@@ -27,22 +27,15 @@ def iso_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def run_summary(runs: DataFrame) -> DataFrame:
-    """Run-level facts per scan: names, files, duration (runs of a scan count end to end)."""
-    return (
-        ru.scans_performed(runs)
-        .join(ru.files_scanned(runs), SCAN_KEYS)
-        .join(runs.groupBy(*SCAN_KEYS).agg(F.sum("duration_s").alias("duration_s")), SCAN_KEYS)
-    )
-
-
 def scan_summary(findings: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per scan of `runs`, clean scans included: counts, counters, score and level.
 
     `findings` is the union before deduplication; the counters need the copies.
     """
-    counts = risk.with_risk(ru.buckets_with_clean_scans(findings, runs))
-    return counts.join(run_summary(runs), SCAN_KEYS).withColumn(
+    counts = ru.severity_buckets(findings)
+    facts = ru.run_facts(runs).join(counts, SCAN_KEYS, "left").fillna(
+        0, [c for c in counts.columns if c not in SCAN_KEYS])
+    return risk.with_risk(facts).withColumn(
         "scan_duration", format_duration(F.col("duration_s")))
 
 

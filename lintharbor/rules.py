@@ -18,7 +18,7 @@ class Rule:
     severity: str
     pattern: str
     languages: tuple[str, ...] = ()
-    keyword: str | None = None      # literal every match contains, for a cheap pre-check
+    keywords: tuple[str, ...] = ()  # every match contains one of these, a cheap pre-check
     generic: bool = False           # yields to specific rules on the same text
     guard: str | None = None        # whole-file rule: reported when the guard is absent
 
@@ -29,102 +29,109 @@ ASSIGN = r"[\"']?\s*[:=]\s*"
 USERINFO = r"[^\s:@/\"'<>{}$]+:[^\s:@/\"'<>{}$]+@"
 
 
-def _secret(rule_id, title, severity, pattern, keyword=None, generic=False):
-    return Rule(rule_id, title, "Hardcoded secrets", "A07", severity, pattern, (), keyword, generic)
+def _secret(rule_id, title, severity, keywords, pattern, generic=False):
+    return Rule(rule_id, title, "Hardcoded secrets", "A07", severity, pattern, (),
+                tuple(keywords.split(" ")), generic)
 
 
 # Specific formats are the vendors' public ones. Generic rules look at names and quoting only.
+# Words come in their usual spellings instead of (?i), so that the literal check covers them.
 SECRET_RULES = [
-    _secret("SEC01", "AWS Access Key", "critical", START + r"(?:AKIA|ASIA)[0-9A-Z]{16}(?:$|[^0-9A-Z])"),
-    _secret("SEC02", "AWS Secret Key", "critical",
-            r"(?i:aws)[A-Za-z_.\-]{0,20}(?i:secret|key)[A-Za-z_.\-]{0,20}" + ASSIGN + QUOTE
-            + r"[A-Za-z0-9/+]{40}" + QUOTE),
-    _secret("SEC03", "GitHub Token", "critical",
+    _secret("SEC01", "AWS Access Key", "critical", "AKIA ASIA",
+            START + r"(?:AKIA|ASIA)[0-9A-Z]{16}(?:$|[^0-9A-Z])"),
+    _secret("SEC02", "AWS Secret Key", "critical", "aws AWS Aws",
+            r"(?:aws|AWS|Aws)[A-Za-z_.\-]{0,20}(?:secret|SECRET|Secret|key|KEY|Key)[A-Za-z_.\-]{0,20}"
+            + ASSIGN + QUOTE + r"[A-Za-z0-9/+]{40}" + QUOTE),
+    _secret("SEC03", "GitHub Token", "critical", "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_",
             START + r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22})"),
-    _secret("SEC04", "Google API Key", "high", START + r"AIza[0-9A-Za-z_\-]{35}", "AIza"),
-    _secret("SEC05", "Stripe Key", "critical", START + r"[sr]k_(?:live|test)_[0-9A-Za-z]{16}", "k_"),
-    _secret("SEC06", "SendGrid Key", "high",
-            START + r"SG\.[A-Za-z0-9_\-]{16,32}\.[A-Za-z0-9_\-]{16}", "SG."),
-    _secret("SEC07", "Twilio Key", "high", START + r"SK[0-9a-f]{32}(?:$|[^0-9A-Za-z])", "SK"),
-    _secret("SEC08", "Mailgun Key", "high", START + r"key-[0-9a-zA-Z]{32}(?:$|[^0-9A-Za-z])", "key-"),
-    _secret("SEC09", "Private Key", "critical",
-            r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----", "PRIVATE KEY"),
-    _secret("SEC10", "MongoDB Connection String", "critical",
-            START + r"mongodb(?:\+srv)?://" + USERINFO, "mongodb"),
-    _secret("SEC11", "MySQL Connection String", "critical",
-            START + r"mysql(?:\+[a-z0-9]+)?://" + USERINFO, "mysql"),
-    _secret("SEC12", "PostgreSQL Connection String", "critical",
-            START + r"postgres(?:ql)?(?:\+[a-z0-9]+)?://" + USERINFO, "postgres"),
-    _secret("SEC13", "JWT Token", "high",
-            START + r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+", "eyJ"),
-    _secret("SEC14", "OAuth Token", "high", START + r"ya29\.[0-9A-Za-z_\-]{20}", "ya29."),
-    _secret("SEC15", "Access Token", "high",
-            START + r"(?i:[a-z0-9_\-]{0,40}token)" + ASSIGN + QUOTE + r"[0-9A-Za-z_\-./+=]{16,}" + QUOTE,
+    _secret("SEC04", "Google API Key", "high", "AIza", START + r"AIza[0-9A-Za-z_\-]{35}"),
+    _secret("SEC05", "Stripe Key", "critical", "k_live_ k_test_",
+            START + r"[sr]k_(?:live|test)_[0-9A-Za-z]{16}"),
+    _secret("SEC06", "SendGrid Key", "high", "SG.",
+            START + r"SG\.[A-Za-z0-9_\-]{16,32}\.[A-Za-z0-9_\-]{16}"),
+    _secret("SEC07", "Twilio Key", "high", "SK", START + r"SK[0-9a-f]{32}(?:$|[^0-9A-Za-z])"),
+    _secret("SEC08", "Mailgun Key", "high", "key-", START + r"key-[0-9a-zA-Z]{32}(?:$|[^0-9A-Za-z])"),
+    _secret("SEC09", "Private Key", "critical", "-----BEGIN",
+            r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"),
+    _secret("SEC10", "MongoDB Connection String", "critical", "mongodb",
+            START + r"mongodb(?:\+srv)?://" + USERINFO),
+    _secret("SEC11", "MySQL Connection String", "critical", "mysql",
+            START + r"mysql(?:\+[a-z0-9]+)?://" + USERINFO),
+    _secret("SEC12", "PostgreSQL Connection String", "critical", "postgres",
+            START + r"postgres(?:ql)?(?:\+[a-z0-9]+)?://" + USERINFO),
+    _secret("SEC13", "JWT Token", "high", "eyJ",
+            START + r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+"),
+    _secret("SEC14", "OAuth Token", "high", "ya29.", START + r"ya29\.[0-9A-Za-z_\-]{20}"),
+    _secret("SEC15", "Access Token", "high", "token TOKEN Token",
+            r"(?:token|TOKEN|Token)" + ASSIGN + QUOTE + r"[0-9A-Za-z_\-./+=]{16,}" + QUOTE,
             generic=True),
-    _secret("SEC16", "Generic API Key", "high",
-            r"(?i:api[_\-]?key)[A-Za-z0-9_]*" + ASSIGN + QUOTE + r"[^\s\"'`&{}$<>]{12,}" + QUOTE,
-            generic=True),
-    _secret("SEC17", "Password in Code", "high",
-            r"(?i:password|passwd|pwd)[A-Za-z0-9_]*" + ASSIGN + QUOTE + r"[^\s\"'`&{}$%<>]{4,}" + QUOTE,
-            generic=True),
-    _secret("SEC18", "Password in URL", "high",
-            START + r"[a-z][a-z0-9+.\-]{0,20}://" + USERINFO, "://", generic=True),
+    _secret("SEC16", "Generic API Key", "high", "api API Api",
+            r"(?:api|API|Api)[_\-]?(?:key|KEY|Key)[A-Za-z0-9_]*" + ASSIGN + QUOTE
+            + r"[^\s\"'`&{}$<>]{12,}" + QUOTE, generic=True),
+    _secret("SEC17", "Password in Code", "high", "passw Passw PASSW pwd PWD Pwd",
+            r"(?:password|passwd|Password|Passwd|PASSWORD|PASSWD|pwd|PWD|Pwd)[A-Za-z0-9_]*" + ASSIGN
+            + QUOTE + r"[^\s\"'`&{}$%<>]{4,}" + QUOTE, generic=True),
+    _secret("SEC18", "Password in URL", "high", "://", r"://" + USERINFO, generic=True),
 ]
 
 PY = ("python",)
 JS = ("javascript", "typescript")
 
 
-def _code(rule_id, title, family, owasp, severity, languages, pattern):
-    return Rule(rule_id, title, family, owasp, severity, pattern, languages)
+SQL_VERB = r"(?:select|SELECT|insert|INSERT|update|UPDATE|delete|DELETE)"
+
+
+def _code(rule_id, title, family, owasp, severity, languages, keywords, pattern):
+    return Rule(rule_id, title, family, owasp, severity, pattern, languages,
+                tuple(keywords.split(" ")))
 
 
 CODE_RULES = [
-    _code("XSS01", "HTML built from a request value", "Reflected XSS", "A03", "high", PY,
+    _code("XSS01", "HTML built from a request value", "Reflected XSS", "A03", "high", PY, "f\"< f'<",
           r"f[\"']<[^\"'{]*\{[A-Za-z_][A-Za-z0-9_.]*\}"),
-    _code("XSS02", "innerHTML assignment", "Reflected XSS", "A03", "high", JS,
+    _code("XSS02", "innerHTML assignment", "Reflected XSS", "A03", "high", JS, ".innerHTML",
           r"\.innerHTML\s*\+?=[^=]"),
-    _code("XSS03", "Request value stored unchecked", "Stored XSS", "A03", "high", JS,
+    _code("XSS03", "Request value stored unchecked", "Stored XSS", "A03", "high", JS, ".insert",
           r"\.insert(?:One|Many)?\(\s*\{[^}]*:\s*req\.(?:body|query|params)"),
-    _code("SQL01", "SQL built with an f-string", "SQL injection", "A03", "critical", PY,
-          r"f\"(?i:select|insert|update|delete)\s[^\"]*\{|f'(?i:select|insert|update|delete)\s[^']*\{"),
-    _code("SQL02", "SQL built with a template literal", "SQL injection", "A03", "critical", JS,
-          r"`(?i:select|insert|update|delete)\s[^`]*\$\{"),
-    _code("SQL03", "SQL built by concatenation", "SQL injection", "A03", "critical", PY + JS,
-          r"[\"'](?i:select|insert into|update|delete from)\s[^\"']*[\"']\s*\+\s*[A-Za-z_]"),
+    _code("SQL01", "SQL built with an f-string", "SQL injection", "A03", "critical", PY, "f\" f'",
+          "f\"" + SQL_VERB + r"\s[^\"]*\{|f'" + SQL_VERB + r"\s[^']*\{"),
+    _code("SQL02", "SQL built with a template literal", "SQL injection", "A03", "critical", JS, "${",
+          "`" + SQL_VERB + r"\s[^`]*\$\{"),
+    _code("SQL03", "SQL built by concatenation", "SQL injection", "A03", "critical", PY + JS, "+",
+          r"[\"']" + SQL_VERB + r"\s[^\"']*[\"']\s*\+\s*[A-Za-z_]"),
     _code("CMD01", "Shell command from a formatted string", "Command injection", "A03", "critical",
-          PY, START + r"os\.(?:system|popen)\(\s*f[\"']"),
+          PY, "os.system os.popen", START + r"os\.(?:system|popen)\(\s*f[\"']"),
     _code("CMD02", "Shell command from a template literal", "Command injection", "A03", "critical",
-          JS, r"(?:^|[^A-Za-z0-9_.])exec(?:Sync)?\(\s*`[^`]*\$\{"),
+          JS, "exec", r"(?:^|[^A-Za-z0-9_.])exec(?:Sync)?\(\s*`[^`]*\$\{"),
     _code("PTH01", "File path from a formatted string", "Path traversal", "A01", "high", PY,
-          START + r"send_file\(\s*f[\"'][^\"']*\{"),
+          "send_file", START + r"send_file\(\s*f[\"'][^\"']*\{"),
     _code("PTH02", "File path from a request parameter", "Path traversal", "A01", "high", JS,
-          r"\.sendFile\(\s*`[^`]*\$\{\s*req\."),
+          ".sendFile", r"\.sendFile\(\s*`[^`]*\$\{\s*req\."),
     _code("DES01", "Unpickling untrusted data", "Insecure deserialisation", "A08", "critical", PY,
-          START + r"pickle\.loads?\("),
-    _code("DES02", "eval of a value", "Insecure deserialisation", "A08", "critical", JS,
+          "pickle.load", START + r"pickle\.loads?\("),
+    _code("DES02", "eval of a value", "Insecure deserialisation", "A08", "critical", JS, "eval(",
           r"(?:^|[^A-Za-z0-9_.])eval\("),
-    _code("RND01", "Predictable random value", "Insecure random", "A02", "medium", PY,
+    _code("RND01", "Predictable random value", "Insecure random", "A02", "medium", PY, "random.",
           r"(?:^|[^A-Za-z0-9_.])random\.(?:random|randint|randrange|choice)\("),
-    _code("RND02", "Predictable random value", "Insecure random", "A02", "medium", JS,
+    _code("RND02", "Predictable random value", "Insecure random", "A02", "medium", JS, "Math.random",
           START + r"Math\.random\(\)"),
-    _code("CRY01", "Weak hash algorithm", "Weak cryptography", "A02", "medium", PY,
+    _code("CRY01", "Weak hash algorithm", "Weak cryptography", "A02", "medium", PY, "hashlib.",
           START + r"hashlib\.(?:md5|sha1)\("),
-    _code("CRY02", "Weak hash algorithm", "Weak cryptography", "A02", "medium", JS,
+    _code("CRY02", "Weak hash algorithm", "Weak cryptography", "A02", "medium", JS, "createHash",
           r"createHash\(\s*[\"'](?:md5|sha1)[\"']"),
-    _code("XXE01", "XML parsed with external entities", "XXE", "A05", "high", PY,
+    _code("XXE01", "XML parsed with external entities", "XXE", "A05", "high", PY, ".parse .fromstring",
           START + r"(?:ET|ElementTree|etree)\.(?:parse|fromstring)\("),
-    _code("XXE02", "XML parsed with default settings", "XXE", "A05", "high", JS,
+    _code("XXE02", "XML parsed with default settings", "XXE", "A05", "high", JS, "xml2js.parseString",
           START + r"xml2js\.parseString\("),
-    _code("DBG01", "Debug mode switched on", "Debug exposure", "A05", "medium", PY,
+    _code("DBG01", "Debug mode switched on", "Debug exposure", "A05", "medium", PY, "debug",
           START + r"debug\s*=\s*True"),
-    _code("DBG02", "Stack trace sent to the client", "Debug exposure", "A05", "medium", JS,
+    _code("DBG02", "Stack trace sent to the client", "Debug exposure", "A05", "medium", JS, ".stack",
           r"\.(?:json|send)\([^)]*\.stack(?:$|[^A-Za-z0-9_])"),
-    _code("SES01", "Session id in the URL", "Session handling", "A07", "high", JS,
+    _code("SES01", "Session id in the URL", "Session handling", "A07", "high", JS, ":session",
           r"\.(?:get|post|put|delete|use)\(\s*[\"'][^\"']*:session"),
-    _code("SRF01", "Unchecked URL fetched", "SSRF", "A10", "high", PY,
+    _code("SRF01", "Unchecked URL fetched", "SSRF", "A10", "high", PY, "requests.",
           START + r"requests\.(?:get|post|put|delete|head)\(\s*[A-Za-z_][A-Za-z0-9_]*\s*\)"),
-    _code("SRF02", "Unchecked URL fetched", "SSRF", "A10", "high", JS,
+    _code("SRF02", "Unchecked URL fetched", "SSRF", "A10", "high", JS, "fetch(",
           r"(?:^|[^A-Za-z0-9_.])fetch\(\s*[A-Za-z_][A-Za-z0-9_]*\s*\)"),
 ]
 

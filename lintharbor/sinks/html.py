@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintharbor.functions import severity as sev
-from lintharbor.functions.scale import number_rows
 from lintharbor.functions.text import html_escape
 from lintharbor.operators import risk
 from lintharbor.schemas import SCAN_KEYS
@@ -66,21 +65,17 @@ def finding_card() -> Column:
         block("code", "<pre>", "</pre>"), block("fix", "<p>Fix: ", "</p>"), F.lit("</article>"))
 
 
-def html_sections(findings: DataFrame, chunk: int = pc.CHUNK, digit_bits: int = 20) -> DataFrame:
+def html_sections(findings: DataFrame, chunk_bits: int = pc.CHUNK_BITS) -> DataFrame:
     """Cards of critical, high and medium findings as pieces, framed per section."""
     rank = sev.bucket_rank(sev.severity_bucket(F.col("severity")))
-    shown = findings.withColumn("rank", rank).filter(F.col("rank") < len(SECTIONS))
-    cards = number_rows(
-        shown.select(*SCAN_KEYS, "seq", (F.col("rank") + 1).alias("slot"), finding_card().alias("text")),
-        [*SCAN_KEYS, "slot"], out="rn", digit_bits=digit_bits)
+    shown = findings.withColumn("slot", rank + 1).filter(F.col("slot") <= len(SECTIONS))
+    cards = shown.select(*SCAN_KEYS, "seq", "slot", finding_card().alias("text"))
     heading = F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), F.col("slot"))
-    frames = (
-        shown.select(*SCAN_KEYS, (F.col("rank") + 1).alias("slot")).distinct()
-        .select(*SCAN_KEYS, F.inline(pc.fixed_pieces(
-            (pc.part_no(F.col("slot"), 0),
-             F.concat(F.lit("<section><h2>"), heading, F.lit("</h2>"))),
-            (pc.part_no(F.col("slot"), 2), F.lit("</section>"))))))
-    return frames.unionByName(pc.chunk_pieces(cards, "slot", 1, glue="\n", chunk=chunk))
+    frames = pc.frame_pieces(
+        shown.select(*SCAN_KEYS, "slot").distinct(),
+        (F.col("slot"), 0, F.concat(F.lit("<section><h2>"), heading, F.lit("</h2>"))),
+        (F.col("slot"), 2, F.lit("</section>")))
+    return frames.unionByName(pc.chunk_pieces(cards, 1, glue="\n", chunk_bits=chunk_bits))
 
 
 def severity_chart() -> Column:
@@ -99,8 +94,8 @@ def severity_chart() -> Column:
         F.array_join(bars, "\n"))
 
 
-def html_report(findings: DataFrame, summary: DataFrame, chunk: int = pc.CHUNK,
-                digit_bits: int = 20) -> DataFrame:
+def html_report(findings: DataFrame, summary: DataFrame,
+                chunk_bits: int = pc.CHUNK_BITS) -> DataFrame:
     """Report pages as pieces; `summary` carries one row per page (see plans.end_to_end)."""
     c, h, m, lo = [F.col(n) for n in risk.COUNTS]
     total = c + h + m + lo
@@ -134,6 +129,5 @@ def html_report(findings: DataFrame, summary: DataFrame, chunk: int = pc.CHUNK,
         line("Scan Duration", F.col("scan_duration")),
         line("Languages Detected", F.array_join("languages", ", ")),
         F.lit("</body></html>"))
-    ends = summary.select(*SCAN_KEYS, F.inline(pc.fixed_pieces(
-        (pc.part_no(0, 0), head), (pc.part_no(len(SECTIONS) + 1, 0), tail))))
-    return ends.unionByName(html_sections(findings, chunk, digit_bits))
+    ends = pc.frame_pieces(summary, (0, 0, head), (len(SECTIONS) + 1, 0, tail))
+    return ends.unionByName(html_sections(findings, chunk_bits))

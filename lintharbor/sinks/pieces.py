@@ -1,8 +1,10 @@
 """Documents as ordered pieces.
 
 A scan may hold any share of all findings, so a document is never gathered into one row. It is a
-set of rows (project, scan_id, part, text); the texts of a scan, joined in `part` order, are the
-document. A piece covers at most `chunk` findings. Small scans come out as a handful of pieces.
+set of rows (project, scan_id, slot, section, chunk, text); the texts of a scan, joined in the
+order of slot, section and chunk, are the document. A piece holds the findings of one block of
+`2**chunk_bits` consecutive `seq` values, so its size is bounded by construction and no numbering
+or sorting of a whole scan is needed. Small scans come out as a handful of pieces.
 """
 
 from __future__ import annotations
@@ -12,45 +14,50 @@ from pyspark.sql import functions as F
 
 from lintharbor.schemas import SCAN_KEYS
 
-CHUNK = 1000
-_SLOT_BITS, _SECTION_BITS = 44, 40
+CHUNK_BITS = 10
+PIECE_KEYS = [*SCAN_KEYS, "slot", "section", "chunk"]
 
 
-def part_no(slot: Column | int, section: int, chunk: Column | int = 0) -> Column:
-    """Sort key of a piece: slot (e.g. tool run), section inside it, chunk inside that."""
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return (
-        as_col(slot).cast("bigint") * F.lit(2**_SLOT_BITS)
-        + F.lit(section * 2**_SECTION_BITS) + as_col(chunk).cast("bigint"))
-
+def chunk_pieces(items: DataFrame, section: int, glue: str = ",",
+                 chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Join item texts (project, scan_id, slot, seq, text) into pieces, in seq order.
 
-def chunk_pieces(items: DataFrame, slot: str | int, section: int, rn: str = "rn",
-                 text: str = "text", glue: str = ",", chunk: int = CHUNK) -> DataFrame:
-    """Join numbered item texts into pieces of at most `chunk` items, glue before all but item 1."""
-    slot_col = F.col(slot) if isinstance(slot, str) else F.lit(slot)
-    glued = F.when(F.col(rn) > 1, F.concat(F.lit(glue), F.col(text))).otherwise(F.col(text))
+    Every piece but the first of its slot starts with the glue. The first chunk per slot comes
+    from a narrow aggregate and is matched on the full piece key, which the pieces are already
+    partitioned by: they are not shuffled again, and a large scan stays spread out.
+    """
+    keys = [*SCAN_KEYS, "slot", "chunk"]
+    blocks = items.withColumn("chunk", F.shiftright("seq", chunk_bits))
+    first = blocks.groupBy(*SCAN_KEYS, "slot").agg(F.min("chunk").alias("chunk")).withColumn(
+        "_first", F.lit(True))
+    joined = blocks.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("_items"))
+    body = F.array_join(F.transform("_items", lambda x: x["text"]), glue)
     return (
-        items.select(*SCAN_KEYS, slot_col.alias("_slot"), F.col(rn).alias("_rn"), glued.alias("_t"),
-                     F.floor((F.col(rn) - 1) / chunk).alias("_chunk"))
-        .groupBy(*SCAN_KEYS, "_slot", "_chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", "_t"))).alias("_items"))
-        .select(*SCAN_KEYS, part_no(F.col("_slot"), section, F.col("_chunk")).alias("part"),
-                F.array_join(F.transform("_items", lambda x: x["_t"]), "").alias("text"))
+        joined.select(*keys, body.alias("_body")).join(first, keys, "left")
+        .select(*SCAN_KEYS, "slot", F.lit(section).alias("section"), "chunk",
+                F.when(F.col("_first"), F.col("_body")).otherwise(F.concat(F.lit(glue), "_body"))
+                .alias("text"))
     )
 
 
-def fixed_pieces(*pieces: tuple[Column, Column]) -> Column:
-    """Array of (part, text) structs to inline."""
-    return F.array(*[F.struct(p.alias("part"), t.alias("text")) for p, t in pieces])
+def frame_pieces(rows: DataFrame, *pieces: tuple[Column | int, int, Column]) -> DataFrame:
+    """Fixed pieces (slot, section, text) around the chunks, for every row of `rows`."""
+    structs = [
+        F.struct((slot if isinstance(slot, Column) else F.lit(slot)).alias("slot"),
+                 F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("chunk"),
+                 text.alias("text"))
+        for slot, section, text in pieces]
+    return rows.select(*SCAN_KEYS, F.inline(F.array(*structs)))
 
 
 def write_documents(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per scan; its files in name order hold the document.
 
-    Range partitioning on (scan, part) spreads a large scan over several tasks and files.
+    Range partitioning on the piece key spreads a large scan over several tasks and files.
     """
     (
-        pieces.repartitionByRange(*SCAN_KEYS, "part").sortWithinPartitions(*SCAN_KEYS, "part")
+        pieces.repartitionByRange(*PIECE_KEYS).sortWithinPartitions(*PIECE_KEYS)
         .select(*SCAN_KEYS, "text")
         .write.mode(mode).partitionBy(*SCAN_KEYS).text(path)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintharbor.functions import severity as sev
 from lintharbor.functions import text as tx
-from lintharbor.functions.scale import first_per_key, number_rows
+from lintharbor.functions.scale import first_per_key
 from lintharbor.schemas import SCAN_KEYS
 from lintharbor.sinks import pieces as pc
 
@@ -127,38 +127,35 @@ def rule_json() -> Column:
 
 
 def sarif_document(findings: DataFrame, scans: DataFrame, root: Column,
-                   information_uri: str | None = None, chunk: int = pc.CHUNK,
-                   digit_bits: int = 20) -> DataFrame:
-    """SARIF documents as pieces, one document per row of `scans` (project, scan_id).
+                   information_uri: str | None = None,
+                   chunk_bits: int = pc.CHUNK_BITS) -> DataFrame:
+    """SARIF documents as pieces, one document per scan of `scans` (project, scan_id).
 
-    `findings` is read more than once: pass a stored table.
+    `findings` is read more than once: pass a stored table. Slots are tool runs; inside a run come
+    the opening (0), rules (1), the turn to results (2), results (3) and the end (4).
     """
-    numbered = dict(group=[*SCAN_KEYS, "run_rank"], out="rn", digit_bits=digit_bits)
-    results = number_rows(sarif_results(findings, root), **numbered)
-    rules = number_rows(sarif_rules(findings), **numbered)
+    results = sarif_results(findings, root).withColumn("text", result_json())
+    rules = sarif_rules(findings).withColumn("text", rule_json())
 
     present = tool_partition(findings).groupBy(*SCAN_KEYS).agg(
         F.sort_array(F.collect_set("run_rank")).alias("runs"))
     all_scans = scans.select(*SCAN_KEYS).distinct().join(present, SCAN_KEYS, "left")
+    per_run = all_scans.select(*SCAN_KEYS, "runs", F.explode("runs").alias("run"))
 
+    run, is_first = F.col("run"), F.col("run") == F.col("runs")[0]
     uri = F.lit("" if information_uri is None else f',"informationUri":"{information_uri}"')
-    run, first = F.col("run"), F.col("run") == F.col("runs")[0]
     opening = F.concat(
-        F.when(first, "").otherwise(","),
+        F.when(is_first, "").otherwise(","),
         F.lit('{"tool":{"driver":{"name":"'), _by_run(run, 1), F.lit('","version":"'),
         _by_run(run, 2), F.lit('"'), uri, F.lit(',"rules":['))
-    frames = (
-        all_scans.select(*SCAN_KEYS, "runs", F.explode("runs").alias("run"))
-        .select(*SCAN_KEYS, F.inline(pc.fixed_pieces(
-            (pc.part_no(run, 0), opening),
-            (pc.part_no(run, 2), F.lit(']}},"results":[')),
-            (pc.part_no(run, 4), F.lit("]}"))))))
-    ends = all_scans.select(*SCAN_KEYS, F.inline(pc.fixed_pieces(
-        (pc.part_no(0, 0), F.lit(f'{{"$schema":"{SCHEMA_URI}","version":"2.1.0","runs":[')),
-        (pc.part_no(len(RUNS) + 1, 0), F.lit("]}")))))
-    return (
-        ends.unionByName(frames)
-        .unionByName(pc.chunk_pieces(rules.withColumn("text", rule_json()), "run_rank", 1, chunk=chunk))
-        .unionByName(pc.chunk_pieces(results.withColumn("text", result_json()), "run_rank", 3,
-                                     chunk=chunk))
-    )
+    parts = [
+        pc.frame_pieces(
+            all_scans,
+            (0, 0, F.lit(f'{{"$schema":"{SCHEMA_URI}","version":"2.1.0","runs":[')),
+            (len(RUNS) + 1, 0, F.lit("]}"))),
+        pc.frame_pieces(per_run, (run, 0, opening), (run, 2, F.lit(']}},"results":[')),
+                        (run, 4, F.lit("]}"))),
+        pc.chunk_pieces(rules.withColumnRenamed("run_rank", "slot"), 1, chunk_bits=chunk_bits),
+        pc.chunk_pieces(results.withColumnRenamed("run_rank", "slot"), 3, chunk_bits=chunk_bits),
+    ]
+    return reduce(DataFrame.unionByName, parts)

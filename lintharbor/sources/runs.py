@@ -123,6 +123,11 @@ def npm_breakdown(runs: DataFrame) -> DataFrame:
     )
 
 
+def n_listed_errors(stdout: Column, limit: int = 10) -> Column:
+    errors = F.from_json(stdout, schemas.SEMGREP_ERRORS)["errors"]
+    return F.greatest(F.least(F.coalesce(F.size(errors), F.lit(0)), F.lit(limit)), F.lit(0))
+
+
 def error_sample(runs: DataFrame, limit: int = 10, width: int = 1000) -> DataFrame:
     """First errors a data-flow report lists; of an unreadable report the first characters."""
     report = (

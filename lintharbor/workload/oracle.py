@@ -12,7 +12,7 @@ from lintharbor.rules import CODE_RULES, CONTROL_RULES, OWASP_CATEGORIES, REMEDI
 from lintharbor.sinks.sarif import SCHEMA_URI
 from lintharbor.workload import fixtures as fx
 
-CHUNK = 50
+CHUNK = 256
 
 
 def lit(value: str) -> str:
@@ -305,15 +305,12 @@ RULE_JSON = (
     f"{j('description')}, '}},\"fullDescription\":{{\"text\":', {j('description')}, '}},\"help\":{{\"text\":', {j('fix')}, "
     f"',\"markdown\":', {j('fix')}, '}},\"defaultConfiguration\":{{\"level\":\"', level, '\"}},\"properties\":{{\"tags\":"
     "[\"security\",\"general\"],\"security-severity\":\"', security_severity, '\"}}')")
-SLOT, SECTION = 2**44, 2**40
-
-
-def chunked(source: str, group: str, slot: str, section: int, text: str, glue: str = "','") -> str:
+def chunked(source: str, slot: str, section: int, text: str, glue: str = "','") -> str:
+    """Pieces of one slot: findings of a block of seq values, glue before all but the first block."""
     return (
-        f"select project, scan_id, ({slot}) * {SLOT} + {section * SECTION} + (rn - 1) // {CHUNK} as part, "
-        f"string_agg(case when rn > 1 then {glue} || text else text end, '' order by rn) as text from "
-        f"(select *, {text} as text, row_number() over (partition by {group} order by seq) as rn from {source}) "
-        f"group by project, scan_id, {slot}, (rn - 1) // {CHUNK}")
+        f"select project, scan_id, slot, {section} as section, chunk, case when chunk = min(chunk) over (partition by "
+        f"project, scan_id, slot) then body else {glue} || body end as text from (select project, scan_id, {slot} as slot, "
+        f"seq // {CHUNK} as chunk, string_agg({text}, {glue} order by seq) as body from {source} group by all)")
 
 
 def esc(x: str) -> str:
@@ -328,11 +325,11 @@ CARD = (
     f"case when code <> '' then concat('<pre>', {esc('code')}, '</pre>') else '' end, "
     f"case when fix <> '' then concat('<p>Fix: ', {esc('fix')}, '</p>') else '' end, '</article>')")
 SECTIONS_SQL = (
-    f"select project, scan_id, (rnk + 1) * {SLOT} as part, '<section><h2>' || case rnk when 0 then "
+    "select project, scan_id, rnk + 1 as slot, 0 as section, cast(0 as bigint) as chunk, '<section><h2>' || case rnk when 0 then "
     "'🔴 Critical Vulnerabilities' when 1 then '🟠 High Severity Issues' else '🟡 Medium Severity Issues' end || '</h2>' "
-    f"as text from d where rnk < 3 group by project, scan_id, rnk union all select project, scan_id, (rnk + 1) * {SLOT} + "
-    f"{2 * SECTION}, '</section>' from d where rnk < 3 group by project, scan_id, rnk union all "
-    + chunked("(select * from d where rnk < 3)", "project, scan_id, rnk", "rnk + 1", 1, CARD, "chr(10)"))
+    "as text from d where rnk < 3 group by project, scan_id, rnk union all select project, scan_id, rnk + 1, "
+    "2, 0, '</section>' from d where rnk < 3 group by project, scan_id, rnk union all "
+    + chunked("(select * from d where rnk < 3)", "rnk + 1", 1, CARD, "chr(10)"))
 
 TOTAL = "(critical_count + high_count + medium_count + low_count)"
 SUMMARY_TEXT = (
@@ -419,14 +416,14 @@ put("npm_project_dirs", FILES, "select project, left(path, length(path) - length
 
 # --- sinks ---
 put("sink_json", [*HALVES, SCORES, PRE], f"""
-select project, scan_id, 0 as part, concat('{{"project_name":"', project, '","critical_count":', critical_count,
+select project, scan_id, 0 as slot, 0 as section, cast(0 as bigint) as chunk, concat('{{"project_name":"', project, '","critical_count":', critical_count,
  ',"high_count":', high_count, ',"medium_count":', medium_count, ',"low_count":', low_count, ',"secrets_found":',
  secrets_found, ',"outdated_dependencies":', outdated_dependencies, ',"raw_risk_score":', raw_risk_score,
  ',"all_vulnerabilities":[') as text from s join p using (project, scan_id)
-union all select project, scan_id, slot * {SLOT}, t from c, (values (2, '],"critical_vulnerabilities":['),
+union all select project, scan_id, slot, 0, 0, t from c, (values (2, '],"critical_vulnerabilities":['),
  (3, '],"high_vulnerabilities":['), (4, '],"medium_vulnerabilities":['), (5, '],"low_vulnerabilities":['), (6, ']}}')) h(slot, t)
-union all {{all}} union all {{lists}}""".replace("{all}", chunked("d", "project, scan_id", "1", 1, "@J")).replace(
-    "{lists}", chunked("d", "project, scan_id, rnk", "rnk + 2", 1, "@J")).replace("@J", (
+union all {{all}} union all {{lists}}""".replace("{all}", chunked("d", "1", 1, "@J")).replace(
+    "{lists}", chunked("d", "rnk + 2", 1, "@J")).replace("@J", (
         f"concat('{{\"tool\":\"', tool, '\",\"severity\":\"', severity, '\",\"title\":', {j('title')}, ',\"description\":', "
         f"{j('description')}, ',\"file\":', {j('file')}, ',\"line\":', line, case when \"column\" is not null then "
         f"concat(',\"column\":', \"column\") else '' end, ',\"code\":', {j('code')}, ',\"fix\":', {j('fix')}, "
@@ -439,15 +436,15 @@ put("sarif_results", [*fnd(), *sarif_rows("f")], "select project, scan_id, seq,
 put("sarif_document", [*HALVES, *sarif_rows("d"),
     "present as (select project, scan_id, run_rank, run_name, min(run_rank) over (partition by project, scan_id) as first_ from "
     "(select distinct project, scan_id, run_rank, run_name from q))"], f"""
-select project, scan_id, 0 as part, '{{"$schema":"{SCHEMA_URI}","version":"2.1.0","runs":[' as text from c
-union all select project, scan_id, 6 * {SLOT}, ']}}' from c
-union all select project, scan_id, run_rank * {SLOT}, case when run_rank = first_ then '' else ',' end ||
+select project, scan_id, 0 as slot, 0 as section, cast(0 as bigint) as chunk, '{{"$schema":"{SCHEMA_URI}","version":"2.1.0","runs":[' as text from c
+union all select project, scan_id, 6, 0, 0, ']}}' from c
+union all select project, scan_id, run_rank, 0, 0, case when run_rank = first_ then '' else ',' end ||
  '{{"tool":{{"driver":{{"name":"' || run_name || '","version":"' || case run_rank when 1 then '1.7.5' else '1.0.0' end ||
  '","rules":[' from present
-union all select project, scan_id, run_rank * {SLOT} + {2 * SECTION}, ']}}}},"results":[' from present
-union all select project, scan_id, run_rank * {SLOT} + {4 * SECTION}, ']}}' from present
-union all """ + chunked("ru", "project, scan_id, run_rank", "run_rank", 1, RULE_JSON) + " union all "
-    + chunked("q", "project, scan_id, run_rank", "run_rank", 3, RESULT_JSON))
+union all select project, scan_id, run_rank, 2, 0, ']}}}},"results":[' from present
+union all select project, scan_id, run_rank, 4, 0, ']}}' from present
+union all """ + chunked("ru", "run_rank", 1, RULE_JSON) + " union all "
+    + chunked("q", "run_rank", 3, RESULT_JSON))
 put("html_sections", HALVES, SECTIONS_SQL)
 
 
@@ -462,14 +459,14 @@ CHART = ("array_to_string(list_filter([" + ", ".join(bar(b) for b in ("critical"
 PAGE = [*HALVES, SCORES, PRE, RUNS, *PERFORMED, FILES_SCANNED,
         "du as (select project, scan_id, sum(duration_s) as dur from r group by all)"]
 put("html_report", PAGE, f"""
-select project, scan_id, 0 as part, concat('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>', project,
+select project, scan_id, 0 as slot, 0 as section, cast(0 as bigint) as chunk, concat('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>', project,
  '</title></head><body><h1>Security Assessment Report</h1><p>', project, '</p><p>Generated: 2024-01-31 00:00:00</p>',
  '<div class="card"><h3>Total Vulnerabilities</h3><b>', {TOTAL}, '</b></div><div class="card"><h3>Critical Issues</h3><b>',
  critical_count, '</b></div><div class="card"><h3>Files Scanned</h3><b>', files_scanned,
  '</b></div><div class="card"><h3>Risk Score</h3><b>', linear_score, '</b></div><h2>Severity Distribution</h2>', {CHART},
  '<h2>Executive Summary</h2><p>', {esc(SUMMARY_TEXT.format(p='project'))}, '</p><p class="', {RISK_CLASS}, '">', linear_score,
  '/100 ', {RISK_TEXT}, '</p>') as text from s join fs using (project, scan_id)
-union all select project, scan_id, 4 * {SLOT}, concat('<h2>Recommendations</h2><ul>',
+union all select project, scan_id, 4, 0, 0, concat('<h2>Recommendations</h2><ul>',
  array_to_string(list_transform({ADVICE}, lambda x: '<li>' || x || '</li>'), chr(10)),
  '</ul><h2>Scan Details</h2><p><strong>Target:</strong> /srv/', project, '</p><p><strong>Scan Tools:</strong> ',
  replace(scans_performed, '|', ', '), '</p><p><strong>Scan Duration:</strong> ', {DURATION.format(x='dur')},

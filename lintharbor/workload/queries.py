@@ -25,7 +25,7 @@ from lintharbor.workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-DOC_CHUNK = 50
+DOC_CHUNK_BITS = 8
 RUN = rp.RUN_KEYS
 
 
@@ -118,7 +118,7 @@ def sink_json(spark, sf):
     summary = rk.with_risk(ru.severity_buckets(findings)).select(
         *SCAN_KEYS, F.col("project").alias("project_name"), *rk.COUNTS, "secrets_found",
         "outdated_dependencies", "raw_risk_score")
-    return json_doc.json_document(ru.dedup_findings(findings), summary, chunk=DOC_CHUNK)
+    return json_doc.json_document(ru.dedup_findings(findings), summary, chunk_bits=DOC_CHUNK_BITS)
 
 
 @query
@@ -129,18 +129,18 @@ def sarif_results(spark, sf):
 @query
 def sarif_document(spark, sf):
     findings = ru.dedup_findings(fx.findings(spark, sf))
-    return sarif.sarif_document(findings, findings, root_of_project(), chunk=DOC_CHUNK)
+    return sarif.sarif_document(findings, findings, root_of_project(), chunk_bits=DOC_CHUNK_BITS)
 
 
 @query
 def html_sections(spark, sf):
-    return html.html_sections(ru.dedup_findings(fx.findings(spark, sf)), chunk=DOC_CHUNK)
+    return html.html_sections(ru.dedup_findings(fx.findings(spark, sf)), chunk_bits=DOC_CHUNK_BITS)
 
 
 def _page_summary(spark, sf):
     runs = fx.scan_runs(spark, sf)
     return (
-        ru.severity_buckets(fx.findings(spark, sf)).join(ee.run_summary(runs), SCAN_KEYS)
+        ru.severity_buckets(fx.findings(spark, sf)).join(ru.run_facts(runs), SCAN_KEYS)
         .withColumn("scan_duration", ee.format_duration(F.col("duration_s")))
         .withColumn("target_path", root_of_project())
         .withColumn("project_name", ee.project_name(F.col("target_path")))
@@ -151,7 +151,7 @@ def _page_summary(spark, sf):
 @query
 def html_report(spark, sf):
     findings = ru.dedup_findings(fx.findings(spark, sf))
-    return html.html_report(findings, _page_summary(spark, sf), chunk=DOC_CHUNK)
+    return html.html_report(findings, _page_summary(spark, sf), chunk_bits=DOC_CHUNK_BITS)
 
 
 @query
