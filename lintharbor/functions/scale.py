@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,15 +26,17 @@ def number_rows(
     `lead` takes few distinct values (a priority, a severity rank). `group` and `lead` are not NULL.
     """
     keys = [*group, *lead]
-    shifts = [digit_bits, 2 * digit_bits, 3 * digit_bits]
 
-    levels = []
-    counts = df.groupBy(*keys, F.shiftright(F.col(seq), shifts[0]).alias("_d0")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    levels.append(counts)
+    def digit(column: str) -> Column:
+        # Never NULL by type, so joins add no filters that would make the equal count subplans
+        # below differ; Spark then computes the lowest counts once and reuses the exchange.
+        return F.coalesce(F.shiftright(F.col(column), digit_bits), F.lit(-1).cast("bigint"))
+
+    counts = df.groupBy(*keys, digit(seq).alias("_d0")).agg(F.count(F.lit(1)).alias("_n"))
+    levels = [counts]
     for depth in (1, 2):
-        parent = F.shiftright(F.col(f"_d{depth - 1}"), digit_bits).alias(f"_d{depth}")
-        counts = counts.groupBy(*keys, parent).agg(F.sum("_n").alias("_n"))
+        counts = counts.groupBy(*keys, digit(f"_d{depth - 1}").alias(f"_d{depth}")).agg(
+            F.sum("_n").alias("_n"))
         levels.append(counts)
 
     def starts(level: DataFrame, within: list[str], order: list[str]) -> DataFrame:
@@ -45,7 +48,7 @@ def number_rows(
     for depth in (1, 0):
         child, parent = f"_d{depth}", f"_d{depth + 1}"
         inner = starts(
-            levels[depth].withColumn(parent, F.shiftright(F.col(child), digit_bits)),
+            levels[depth].withColumn(parent, digit(child)),
             [*keys, parent], [child])
         tree = (
             inner.join(tree.withColumnRenamed("_start", "_base"), [*keys, parent])
@@ -55,13 +58,26 @@ def number_rows(
 
     local = Window.partitionBy(*keys, "_d0").orderBy(seq)
     return (
-        df.withColumn("_d0", F.shiftright(F.col(seq), shifts[0]))
+        df.withColumn("_d0", digit(seq))
         .join(tree, [*keys, "_d0"])
         .withColumn(out, F.col("_start") + F.row_number().over(local))
         .drop("_d0", "_start")
     )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A result several jobs or branches read, kept as reliable checkpoint files.
+
+    The folder is the session's `spark.checkpoint.dir`, which all nodes share; a private one is
+    made only where that is unset, as in tests. A lost executor then costs its own tasks only.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq", n: int = 1,
                   rank: str | None = None) -> DataFrame:
     """First `n` rows per key. Spark prunes to `n` per key before the shuffle, so hot keys stay small."""

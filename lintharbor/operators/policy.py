@@ -121,8 +121,8 @@ def minimum_severity(findings: DataFrame, policy: DataFrame) -> DataFrame:
 def suppress_findings(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Drops findings whose fingerprint a project lists as a false positive.
 
-    The anti join shuffles on project and fingerprint; run it on deduplicated findings, where
-    that pair occurs once per scan.
+    One fingerprint can recur in every scan of a project, so the anti join is spread as well.
     """
-    return ru.with_fingerprint(findings).join(
-        suppressions.select("project", "fingerprint"), ["project", "fingerprint"], "left_anti")
+    return join_per_project(
+        ru.with_fingerprint(findings), suppressions.select("project", "fingerprint"),
+        ["project", "fingerprint"], "left_anti", spread_by=["scan_id", "seq"])

@@ -100,7 +100,7 @@ def semgrep_multi_config(runs: DataFrame) -> DataFrame:
     ok = rn.tool_failure().isNull()
     done = runs.filter((F.col("tool") == "Semgrep") & ok)
     first = first_per_key(
-        rp.read_semgrep(done)
+        rp.read_semgrep_fields(done, "severity", "file", "line", "rule_id")
         .withColumn("seq", F.col("run_no") * F.lit(2**32) + F.col("pos"))
         .select(*KEYS, "seq", "severity", F.concat(
             "file", F.lit(":"), F.col("line").cast("string"), F.lit(":"), "rule_id").alias("fp")),

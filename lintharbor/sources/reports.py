@@ -13,7 +13,7 @@ with no shuffle, and a reader added with :func:`register_reader` joins that same
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -244,10 +244,6 @@ def read_eslint(runs: DataFrame) -> DataFrame:
 
 # --- Data-flow scanner ---------------------------------------------------------------------
 
-def semgrep_items(stdout: Column, unit: Column) -> Column:
-    return F.from_json(stdout, schemas.SEMGREP_REPORT)["results"]
-
-
 def _trace_end(raw: Column) -> Column:
     parsed = F.from_json(raw, schemas.TRACE_END)
     return F.when(tx.is_truthy_json(raw), F.struct(
@@ -256,41 +252,46 @@ def _trace_end(raw: Column) -> Column:
         tx.text_or(parsed["content"], "").alias("content")))
 
 
-def semgrep_fields(r: Column) -> dict[str, Column]:
-    """The flattened finding: 19 fields plus the two optional data-flow ends."""
-    extra, meta = r["extra"], r["extra"]["metadata"]
-    cwe, owasp = tx.as_list(meta["cwe"]), tx.as_list(meta["owasp"])
-    trace = F.from_json(extra["dataflow_trace"], schemas.TRACE)
-    return {
-        "rule_id": tx.text_or(r["check_id"], "unknown"),
-        "title": F.coalesce(meta["shortDescription"], r["check_id"], F.lit("Security Issue")),
-        "severity": sev.semgrep_severity(extra["severity"]),
-        "message": tx.with_taxonomy(
-            tx.text_or(extra["message"], "Security issue detected"), cwe, owasp),
-        "description": tx.text_or(extra["message"], ""),
-        "file": tx.text_or(r["path"], "unknown"),
-        "line": F.coalesce(r["start"]["line"], F.lit(0)),
-        "column": F.coalesce(r["start"]["col"], F.lit(1)),
-        "end_line": F.coalesce(r["end"]["line"], F.lit(0)),
-        "end_column": F.coalesce(r["end"]["col"], F.lit(1)),
-        "code": tx.text_or(extra["lines"], ""),
-        "fix": tx.text_or(extra["fix"], ""),
-        "references": tx.as_list(meta["references"]),
-        "cwe": cwe,
-        "owasp": owasp,
-        "confidence": tx.text_or(meta["confidence"], "MEDIUM"),
-        "category": tx.text_or(meta["category"], "security"),
-        "technology": tx.as_list(meta["technology"]),
-        "is_taint_finding": tx.is_truthy_json(extra["dataflow_trace"]),
-        "taint_source": _trace_end(trace["taint_source"]),
-        "taint_sink": _trace_end(trace["taint_sink"]),
-    }
-
-
-def semgrep_finding(r: Column, pos: Column) -> Column:
-    f = semgrep_fields(r)
+def semgrep_items(stdout: Column, unit: Column, only: Collection[str] = ()) -> Column:
+    """Findings flattened to 19 fields plus the two optional data-flow ends.
+
+    Polymorphic fields are parsed here, once per finding; everything derived from them refers to
+    the parsed fields of the item. `only` names the fields to build: the optimizer cannot prune
+    inside an array transform, so counting jobs ask for the few they need.
+    """
+    def parsed(r: Column) -> Column:
+        extra, meta = r["extra"], r["extra"]["metadata"]
+        trace = extra["dataflow_trace"]
+        ends = F.from_json(trace, schemas.TRACE)
+        return F.struct(*[c.alias(n) for n, c in {
+            "rule_id": tx.text_or(r["check_id"], "unknown"),
+            "title": F.coalesce(meta["shortDescription"], r["check_id"], F.lit("Security Issue")),
+            "severity": sev.semgrep_severity(extra["severity"]),
+            "message_text": extra["message"],
+            "file": tx.text_or(r["path"], "unknown"),
+            "line": F.coalesce(r["start"]["line"], F.lit(0)),
+            "column": F.coalesce(r["start"]["col"], F.lit(1)),
+            "end_line": F.coalesce(r["end"]["line"], F.lit(0)),
+            "end_column": F.coalesce(r["end"]["col"], F.lit(1)),
+            "code": tx.text_or(extra["lines"], ""),
+            "fix": tx.text_or(extra["fix"], ""),
+            "references": tx.as_list(meta["references"]),
+            "cwe": tx.as_list(meta["cwe"]),
+            "owasp": tx.as_list(meta["owasp"]),
+            "confidence": tx.text_or(meta["confidence"], "MEDIUM"),
+            "category": tx.text_or(meta["category"], "security"),
+            "technology": tx.as_list(meta["technology"]),
+            "is_taint_finding": tx.is_truthy_json(trace),
+            "taint_source": F.when(trace.isNotNull(), _trace_end(ends["taint_source"])),
+            "taint_sink": F.when(trace.isNotNull(), _trace_end(ends["taint_sink"])),
+        }.items() if not only or n in only])
+
+    return F.transform(F.from_json(stdout, schemas.SEMGREP_REPORT)["results"], parsed)
+
+
+def semgrep_finding(f: Column, pos: Column) -> Column:
     described = tx.with_taint(
-        tx.with_taxonomy(f["description"], f["cwe"], f["owasp"]),
+        tx.with_taxonomy(tx.text_or(f["message_text"], ""), f["cwe"], f["owasp"]),
         f["is_taint_finding"], f["taint_source"], f["taint_sink"])
     return finding_item(
         pos=pos, severity=f["severity"], title=f["title"], description=described, file=f["file"],
@@ -299,9 +300,22 @@ def semgrep_finding(r: Column, pos: Column) -> Column:
     )
 
 
+def read_semgrep_fields(runs: DataFrame, *only: str) -> DataFrame:
+    """Just the named fields of each finding."""
+    return _explode_items(
+        runs, "Semgrep", lambda out, unit: semgrep_items(out, unit, only)
+    ).select(*RUN_KEYS, "pos", "item.*")
+
+
 def read_semgrep(runs: DataFrame) -> DataFrame:
-    raw = _explode_items(runs, "Semgrep", semgrep_items)
-    return raw.select(*RUN_KEYS, "pos", *[c.alias(n) for n, c in semgrep_fields(F.col("item")).items()])
+    """`message` carries the taxonomy, `description` is the bare text."""
+    raw = _explode_items(runs, "Semgrep", semgrep_items).select(*RUN_KEYS, "pos", "item.*")
+    text = F.col("message_text")
+    return raw.withColumns({
+        "message": tx.with_taxonomy(
+            tx.text_or(text, "Security issue detected"), F.col("cwe"), F.col("owasp")),
+        "description": tx.text_or(text, ""),
+    }).drop("message_text")
 
 
 def scanned_paths(runs: DataFrame) -> DataFrame:
@@ -411,5 +425,5 @@ def findings_from_runs(runs: DataFrame,
         (READERS if readers is None else readers).items(),
         F.when(F.lit(False), F.lit(None).cast(f"array<{schemas.FINDING_ITEM}>")))
     return _as_findings(
-        runs.filter(succeeded(F.col("exit_code")))
+        runs.filter(F.col("exit_code").isin(0, 1))
         .select(*RUN_KEYS, "tool", F.explode(chosen).alias("f")))

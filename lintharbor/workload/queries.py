@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintharbor.functions import severity as sev
 from lintharbor.functions import text as tx
+from lintharbor.functions.scale import stored
 from lintharbor.operators import detect as dt
 from lintharbor.operators import listing as ls
 from lintharbor.operators import policy as po
@@ -42,6 +43,11 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return fx.findings(spark, sf, fx.HOUR)
 
 
+def deduped(spark: SparkSession, sf: str) -> DataFrame:
+    """Unique findings as the stored table that documents and numberings read several times."""
+    return stored(ru.dedup_findings(fx.findings(spark, sf)))
+
+
 def root_of_project() -> Column:
     return F.concat(F.lit("/srv/"), F.col("project"))
 
@@ -118,7 +124,7 @@ def sink_json(spark, sf):
     summary = rk.with_risk(ru.severity_buckets(findings)).select(
         *SCAN_KEYS, F.col("project").alias("project_name"), *rk.COUNTS, "secrets_found",
         "outdated_dependencies", "raw_risk_score")
-    return json_doc.json_document(ru.dedup_findings(findings), summary, chunk_bits=DOC_CHUNK_BITS)
+    return json_doc.json_document(deduped(spark, sf), summary, chunk_bits=DOC_CHUNK_BITS)
 
 
 @query
@@ -128,13 +134,13 @@ def sarif_results(spark, sf):
 
 @query
 def sarif_document(spark, sf):
-    findings = ru.dedup_findings(fx.findings(spark, sf))
+    findings = deduped(spark, sf)
     return sarif.sarif_document(findings, findings, root_of_project(), chunk_bits=DOC_CHUNK_BITS)
 
 
 @query
 def html_sections(spark, sf):
-    return html.html_sections(ru.dedup_findings(fx.findings(spark, sf)), chunk_bits=DOC_CHUNK_BITS)
+    return html.html_sections(deduped(spark, sf), chunk_bits=DOC_CHUNK_BITS)
 
 
 def _page_summary(spark, sf):
@@ -150,8 +156,7 @@ def _page_summary(spark, sf):
 
 @query
 def html_report(spark, sf):
-    findings = ru.dedup_findings(fx.findings(spark, sf))
-    return html.html_report(findings, _page_summary(spark, sf), chunk_bits=DOC_CHUNK_BITS)
+    return html.html_report(deduped(spark, sf), _page_summary(spark, sf), chunk_bits=DOC_CHUNK_BITS)
 
 
 @query
@@ -464,7 +469,7 @@ def bandit_breakdown(spark, sf):
 
 @query
 def semgrep_breakdown(spark, sf):
-    return ru.semgrep_breakdown(rp.read_semgrep(fx.scan_runs(spark, sf)))
+    return ru.semgrep_breakdown(rp.read_semgrep_fields(fx.scan_runs(spark, sf), "severity"))
 
 
 @query
@@ -528,7 +533,7 @@ def sarif_rules(spark, sf):
 
 @query
 def taint_count(spark, sf):
-    return ru.taint_count(rp.read_semgrep(fx.scan_runs(spark, sf)))
+    return ru.taint_count(rp.read_semgrep_fields(fx.scan_runs(spark, sf), "is_taint_finding"))
 
 
 @query
@@ -585,8 +590,7 @@ def severity_order(spark, sf):
 
 @query
 def remediation_priority(spark, sf):
-    deduped = ru.dedup_findings(fx.findings(spark, sf))
-    return ls.remediation_priority(deduped).select(*SCAN_KEYS, "seq", "priority", "vuln_id")
+    return ls.remediation_priority(deduped(spark, sf)).select(*SCAN_KEYS, "seq", "priority", "vuln_id")
 
 
 @query
