@@ -54,10 +54,13 @@ def frame_pieces(rows: DataFrame, *pieces: tuple[Column | int, int, Column]) ->
 def write_documents(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per scan; its files in name order hold the document.
 
-    Range partitioning on the piece key spreads a large scan over several tasks and files.
+    Range partitioning on the piece key spreads a large scan over several tasks and files. The
+    folder columns are made non-null first: for nullable ones the writer sorts once more by its
+    own expression, and the order of pieces inside a file would depend on that sort.
     """
+    named = pieces.withColumns({k: F.coalesce(k, F.lit("unknown")) for k in SCAN_KEYS})
     (
-        pieces.repartitionByRange(*PIECE_KEYS).sortWithinPartitions(*PIECE_KEYS)
+        named.repartitionByRange(*PIECE_KEYS).sortWithinPartitions(*PIECE_KEYS)
         .select(*SCAN_KEYS, "text")
         .write.mode(mode).partitionBy(*SCAN_KEYS).text(path)
     )

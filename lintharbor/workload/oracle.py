@@ -233,7 +233,8 @@ def secret_hits() -> list[str]:
         f"'{r.severity}' as severity from rest where regexp_matches({'rest' if r.generic else 'content'}, {lit(r.pattern)})"
         for r in SECRET_RULES]
     return [*CORPUS,
-            f"rest as (select *, regexp_replace(content, {lit(specific)}, ' ', 'g') as rest from lines)",
+            f"rest as (select *, regexp_replace(regexp_replace(content, {lit(specific)}, ' ', 'g'), {lit(specific)}, "
+            "' ', 'g') as rest from lines)",
             "sec as (" + " union all ".join(parts) + ")"]
 
 
