@@ -55,12 +55,12 @@ def write_documents(pieces: DataFrame, path: str, mode: str = "overwrite") -> No
     """One folder per scan; its files in name order hold the document.
 
     Range partitioning on the piece key spreads a large scan over several tasks and files. The
-    folder columns are made non-null first: for nullable ones the writer sorts once more by its
-    own expression, and the order of pieces inside a file would depend on that sort.
+    writer keeps this sort because it starts with the folder columns. Were one of them a constant,
+    the optimizer would drop it from the sort and the writer would sort anew by folder only; as a
+    document is always a union of frames and chunks, its columns are not constants.
     """
-    named = pieces.withColumns({k: F.coalesce(k, F.lit("unknown")) for k in SCAN_KEYS})
     (
-        named.repartitionByRange(*PIECE_KEYS).sortWithinPartitions(*PIECE_KEYS)
+        pieces.repartitionByRange(*PIECE_KEYS).sortWithinPartitions(*PIECE_KEYS)
         .select(*SCAN_KEYS, "text")
         .write.mode(mode).partitionBy(*SCAN_KEYS).text(path)
     )

@@ -183,6 +183,11 @@ def test_write_documents_splits_large_scans(spark, tmp_path):
         pieces.write_documents(sarif.sarif_document(f, f, root("/srv/p"), chunk_bits=3), f"{tmp_path}/d")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # The sort by the whole piece key is the one right below the write.
+    store = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = store.apply(store.size() - 1).physicalPlanDescription()
+    sort = re.findall(r"Arguments: (\[project#\d+ ASC[^]]*\]), false", plan)[-1]
+    assert re.sub(r"#\d+L? ASC NULLS FIRST", "", sort) == "[project, scan_id, slot, section, chunk]"
     for scan in (0, 1):
         files = sorted(glob.glob(f"{tmp_path}/d/project=p/scan_id=s{scan}/part-*"))
         assert len(files) > 1
