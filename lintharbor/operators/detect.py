@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lintharbor.rules import (
     ALL_RULES, CODE_RULES, CONTROL_RULES, OWASP_CATEGORIES, REMEDIES, SECRET_RULES, Rule,
 )
+from lintharbor.schemas import FINDING_COLUMNS
 
 
 def explode_lines(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -52,15 +53,16 @@ def _language_allows(rule: Rule) -> Column:
 
 
 def secret_detection(texts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Redacted secret findings of (project, path, text): one per line and rule.
+    """Redacted secrets of (project, path, …, text): one row per line and rule.
 
+    All columns but the text are carried along.
     Generic rules look at the line with all specific matches cut out, so one secret is not
     reported twice, and two different secrets on one line both are.
     """
     chosen = SECRET_RULES if rules is None else rules
     specific = [r for r in chosen if not r.generic]
-    lines = explode_lines(
-        texts.select("project", "path", "text").filter(_any_hit(F.col("text"), chosen)))
+    keep = [c for c in texts.columns if c != "text"]
+    lines = explode_lines(texts.filter(_any_hit(F.col("text"), chosen)))
     content = F.col("content")
     rest = content
     # Twice: neighbouring secrets share the character between them, which the first pass consumes.
@@ -70,27 +72,68 @@ def secret_detection(texts: DataFrame, rules: list[Rule] | None = None) -> DataF
         F.when(_hit(F.col("rest") if r.generic else content, r), _rule_struct(r)) for r in chosen]))
     return (
         lines.filter(_any_hit(content, chosen)).withColumn("rest", rest)
-        .select("project", "path", "line", F.inline(hits))
+        .select(*keep, "line", F.inline(hits))
         .select(
-            "project", "path", "line", "rule_id", "title", "severity",
+            *keep, "line", "rule_id", "title", "severity",
             F.lit("[REDACTED]").alias("code"),
             F.lit("Hardcoded secret detected").alias("description"))
     )
 
 
+def as_findings(hits: DataFrame, tool: str) -> DataFrame:
+    """Hits that carry (project, scan_id, file_no) as findings of the common schema.
+
+    `file_no` numbers the files of a scan; with line and rule it gives each finding its `seq`
+    without any sort. Room is for 2**33 files, 2**24 lines per file and 2**6 rules.
+    """
+    rule_no = F.array_position(F.array(*[F.lit(r.rule_id) for r in ALL_RULES]), F.col("rule_id"))
+    secret = tool == "Secret Scanner"
+    absent = F.lit(None)
+    values = {
+        "project": F.col("project"), "scan_id": F.col("scan_id"),
+        "seq": F.shiftleft(F.col("file_no").cast("bigint"), 30)
+        + F.shiftleft(F.col("line").cast("bigint"), 6) + rule_no,
+        "tool": F.lit(tool), "severity": F.col("severity"),
+        "title": F.concat(F.lit("Exposed secret: "), "title") if secret else F.col("title"),
+        "description": F.col("description") if secret else F.col("title"),
+        "file": F.col("path"), "line": F.col("line"), "column": absent.cast("int"),
+        "code": F.col("code"),
+        "fix": F.lit(dict(REMEDIES)["Hardcoded secrets"]) if secret else _remedy(F.col("family")),
+        # Secrets are told apart by title, as in the reports of secret scanners.
+        "rule_id": absent.cast("string") if secret else F.col("rule_id"),
+        "cwe": absent.cast("array<string>"),
+        "owasp": absent.cast("array<string>") if secret else F.array("owasp"),
+        "references": absent.cast("array<string>"),
+    }
+    return hits.select(*[values[n].alias(n) for n in FINDING_COLUMNS])
+
+
+def _remedy(family: Column) -> Column:
+    chain = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, text in REMEDIES:
+        chain = chain.when(family == name, text)
+    return chain
+
+
+def redacted(text: Column) -> Column:
+    """Text with every secret cut out; lines shown as code may hold some."""
+    clean = F.regexp_replace(text, _alternation(SECRET_RULES), " [REDACTED] ")
+    return F.when(_any_hit(text, SECRET_RULES), clean).otherwise(text)
+
+
 def vulnerable_pattern_scan(texts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Lines of (project, path, language, text) that show a vulnerable pattern of their language."""
+    """Lines of (project, path, language, …, text) that show a vulnerable pattern of their language."""
     chosen = CODE_RULES if rules is None else rules
     known = sorted({lang for r in chosen for lang in r.languages})
-    candidates = texts.select("project", "path", "language", "text").filter(
+    keep = [c for c in texts.columns if c != "text"]
+    candidates = texts.filter(
         F.col("language").isin(*known) & _any_hit(F.col("text"), chosen))
     content = F.col("content")
     hits = F.array_compact(F.array(*[
         F.when(_language_allows(r) & _hit(content, r), _rule_struct(r)) for r in chosen]))
     return (
         explode_lines(candidates).filter(_any_hit(content, chosen))
-        .select("project", "path", "language", "line", F.trim("content").alias("code"),
-                F.inline(hits))
+        .select(*keep, "line", redacted(F.trim("content")).alias("code"), F.inline(hits))
     )
 
 
@@ -101,7 +144,7 @@ def missing_control_scan(texts: DataFrame, rules: list[Rule] | None = None) -> D
     hits = F.array_compact(F.array(*[
         F.when(_language_allows(r) & text.rlike(r.pattern) & ~text.rlike(r.guard), _rule_struct(r))
         for r in chosen]))
-    return texts.select("project", "path", "language", F.inline(hits))
+    return texts.select(*[c for c in texts.columns if c != "text"], F.inline(hits))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

@@ -102,7 +102,8 @@ def scan_plan(policy: DataFrame, languages: DataFrame, npm_dirs: DataFrame) -> D
         step(F.col("semgrep"), "Semgrep"),
     )))).withColumn("unit", F.lit(None).cast("string"))
     per_dir = (
-        npm_dirs.join(policy.filter("dependencies").select("project"), "project", "left_semi")
+        join_per_project(npm_dirs, policy.filter("dependencies").select("project"), ["project"],
+                         "left_semi", spread_by=["project_dir"])
         .select("project", F.lit("npm audit").alias("tool"),
                 ru.scan_name(F.lit("npm audit"), F.lit(False)).alias("scan_name"),
                 F.col("project_dir").alias("unit")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintharbor.functions.scale import join_per_project
+
 COUNTS = ["critical_count", "high_count", "medium_count", "low_count"]
 
 
@@ -62,7 +64,8 @@ def with_risk(buckets: DataFrame) -> DataFrame:
 def with_weighted_risk(buckets: DataFrame, weights: DataFrame) -> DataFrame:
     """Linear score with weights per project (project, w_critical, w_high, w_medium, w_low)."""
     names = ["w_critical", "w_high", "w_medium", "w_low"]
-    joined = buckets.join(weights.select("project", *names), "project", "left")
+    joined = join_per_project(buckets, weights.select("project", *names), ["project"], "left",
+                              spread_by=["scan_id"])
     chosen = [F.coalesce(n, F.lit(d)) for n, d in zip(names, (25, 10, 3, 1))]
     return joined.withColumn(
         "weighted_score", linear_score(*[F.col(c) for c in COUNTS], weights=tuple(chosen))
@@ -79,7 +82,8 @@ def build_fails(fail_on: Column) -> Column:
 
 
 def with_build_gate(buckets: DataFrame, policy: DataFrame) -> DataFrame:
-    joined = buckets.join(policy.select("project", "fail_on"), "project", "left")
+    joined = join_per_project(buckets, policy.select("project", "fail_on"), ["project"], "left",
+                              spread_by=["scan_id"])
     fail_on = F.coalesce("fail_on", F.lit("high"))
     return joined.withColumn("fail_on", fail_on).withColumn("build_fails", build_fails(F.col("fail_on")))
 

@@ -15,7 +15,9 @@ from lintharbor.sources import reports as rp
 
 
 def project_name(target: Column) -> Column:
-    return F.substring_index(F.rtrim(target, F.lit("/")), "/", -1)
+    """Last path component; `.` and `/` have none."""
+    name = F.substring_index(F.rtrim(target, F.lit("/")), "/", -1)
+    return F.when(name == ".", "").otherwise(name)
 
 
 def format_duration(seconds: Column) -> Column:
@@ -24,7 +26,8 @@ def format_duration(seconds: Column) -> Column:
 
 
 def iso_timestamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO text; whole seconds carry no fraction."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
 
 
 def scan_summary(findings: DataFrame, runs: DataFrame) -> DataFrame:
@@ -41,10 +44,8 @@ def scan_summary(findings: DataFrame, runs: DataFrame) -> DataFrame:
 
 def report_summary(summary: DataFrame, targets: DataFrame) -> DataFrame:
     """Adds what the documents need from `targets` (project, target_path, timestamp, languages)."""
-    return (
-        summary.join(targets, "project")
-        .withColumn("project_name", project_name(F.col("target_path")))
-    )
+    return join_per_project(summary, targets, ["project"], "inner", spread_by=["scan_id"]).withColumn(
+        "project_name", project_name(F.col("target_path")))
 
 
 def publish(runs: DataFrame, targets: DataFrame, policy: DataFrame, out: str) -> None:

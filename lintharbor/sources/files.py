@@ -58,7 +58,10 @@ def inventory(files: DataFrame) -> DataFrame:
     return (
         files.withColumn("rel_path", rel)
         .withColumn("name", F.substring_index("path", "/", -1))
-        .withColumn("language", language_of(F.col("path")))
+        # A target that is itself a package.json is no Node project.
+        .withColumn("language", F.when(
+            (F.col("path") != F.col("root")) | (F.col("name") != "package.json"),
+            language_of(F.col("path"))))
         .withColumn("excluded_dir", F.arrays_overlap(
             F.split("rel_path", "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])))
     )

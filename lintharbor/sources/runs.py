@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintharbor import schemas
@@ -11,6 +11,27 @@ from lintharbor.functions.severity import strip
 from lintharbor.sources import reports as rp
 
 
+def load_reports(spark: SparkSession, path: str, tool: str, project: str, scan_id: str,
+                 unit: str | None = None) -> DataFrame:
+    """Report files below `path`, one run each, as if the tool had printed them and found issues."""
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name = F.col("_metadata.file_path")
+    values = {
+        "project": F.lit(project), "scan_id": F.lit(scan_id),
+        # Stable and non-negative; run numbers only have to differ inside a scan.
+        "run_no": F.shiftrightunsigned(F.xxhash64(name), 33), "tool": F.lit(tool),
+        "unit": F.lit(unit).cast("string"), "exit_code": F.lit(1), "stdout": F.col("value"),
+        "stderr": F.lit(""), "duration_s": F.lit(0.0), "file_count": F.lit(0),
+        "target_exists": F.lit(True), "timed_out": F.lit(False),
+    }
+    return texts.select(*[c.alias(n) for n, c in values.items()])
+
+
+def report_error() -> Column:
+    """Error text a run leaves in its report, NULL if none."""
+    return F.nullif(F.get_json_object(F.col("stdout"), "$.error"), F.lit(""))
+
+
 def scan_envelope(runs: DataFrame) -> DataFrame:
     """One status row per run. Bad JSON keeps the raw text and does not fail the run."""
     blank = strip(F.col("stdout")) == ""
@@ -22,8 +43,10 @@ def scan_envelope(runs: DataFrame) -> DataFrame:
         "exit_code",
         kind.alias("data_kind"),
         F.when(kind == "raw", F.col("stdout")).alias("raw_output"),
-        F.when(F.col("exit_code") == 124, "Scan timeout after 5 minutes")
-        .when(F.col("exit_code") == 2, "Error running scanner").alias("error"),
+        F.when(rp.succeeded(F.col("exit_code")), F.lit(None))
+        .when(F.col("exit_code") == 124, "Scan timeout after 5 minutes")
+        .when((F.col("exit_code") == 2) & (kind == "empty"), "Error running scanner")
+        .otherwise(F.coalesce(report_error(), F.lit("Unknown error"))).alias("error"),
         tx.text_or(F.col("stderr"), "").alias("stderr"),
     )
 
@@ -99,7 +122,7 @@ def exit_status(runs: DataFrame) -> DataFrame:
 
 def error_groups(runs: DataFrame) -> DataFrame:
     """Failed runs split into tools that were not installed (skipped) and real failures."""
-    text = F.coalesce(F.nullif(_stderr(), F.lit("")), F.lit("Unknown error"))
+    text = F.coalesce(report_error(), F.nullif(_stderr(), F.lit("")), F.lit("Unknown error"))
     return (
         runs.filter(~rp.succeeded(F.col("exit_code")))
         .select(*rp.RUN_KEYS, "tool", text.alias("error"))

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintharbor import schemas
 
 
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Saved result documents below `path`, one row each; the file path is the id."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("document"))
+
+
 def _list(name: str) -> Column:
     empty = F.array().cast(f"array<{schemas.SAVED_FINDING}>")
     return F.coalesce(F.col(f"doc.{name}"), empty)

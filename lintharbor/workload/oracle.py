@@ -400,8 +400,8 @@ put("read_semgrep", SEMGREP, f"select {RK}, cast(pos as int) as pos, rule_id, fi
 put("read_secrets", SECRETS, f"select {RK}, cast(pos as int) as pos, \"type\", severity, description, file, line from x")
 put("scan_envelope", [RUNS], f"select {RK}, tool, unit, {OK} as success, exit_code, case when kind in ('blank','space') then "
     f"'empty' when kind = 'bad' then 'raw' else 'report' end as data_kind, case when kind = 'bad' then {lit(fx.BAD)} end as "
-    "raw_output, case when exit_code = 124 then 'Scan timeout after 5 minutes' when exit_code = 2 then "
-    "'Error running scanner' end as error, coalesce(stderr,'') as stderr from r")
+    f"raw_output, case when {OK} then null when exit_code = 124 then 'Scan timeout after 5 minutes' when exit_code = 2 and "
+    "kind in ('blank','space') then 'Error running scanner' else 'Unknown error' end as error, coalesce(stderr,'') as stderr from r")
 put("read_results_doc", [], """
 select event_id as doc_id, case when event_id % 5 = 0 then '/srv' else '.' end as target_path, cast(pos as int) as pos, tool,
  'T' || (user_id % 4) as title
@@ -540,7 +540,7 @@ put("format_duration", [RUNS], f"select {RK}, {DURATION.format(x='duration_s')}
 put("tool_status", [RUNS, STATUS], f"select {RK}, tool, error is null as success, error from rs")
 put("scan_warnings", [RUNS, STATUS], f"select {RK}, tool, {STDERR} as warnings from rs where tool in "
     f"('Bandit','ESLint','npm audit') and error is null and {STDERR} <> ''")
-put("project_name", [], f"select event_id, {fx.PROJECT} as project_name, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as timestamp "
+put("project_name", [], f"select event_id, {fx.PROJECT} as project_name, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') as timestamp "
     "from events")
 
 # --- filters ---

@@ -191,3 +191,22 @@ def test_secret_rollup_counts_files(spark):
     same = f'token = "{HEX40}"\n'
     got = dicts(ru.secret_type_rollup(dt.secret_detection(texts(spark, [same * 3, same]))))
     assert [(g["title"], g["n_secrets"], g["n_files"]) for g in got] == [("Access Token", 4, 2)]
+
+
+def test_hits_become_findings(spark):
+    from lintharbor import schemas
+
+    code = spark.createDataFrame(
+        [("p", "s", i, f"f{i}.py", "python", "\n" * i + f"h = hashlib.md5(x)  # token = '{HEX40}'") for i in range(3)],
+        "project string, scan_id string, file_no int, path string, language string, text string")
+    secrets = dt.as_findings(dt.secret_detection(code), "Secret Scanner")
+    weak = dt.as_findings(dt.vulnerable_pattern_scan(code), "Pattern Scanner")
+    assert secrets.columns == weak.columns == schemas.FINDING_COLUMNS
+    both = secrets.unionByName(weak)
+    assert [(g["file"], g["line"], g["rule_id"]) for g in dicts(both, "seq")] == [
+        (f, n, r) for f, n in (("f0.py", 1), ("f1.py", 2), ("f2.py", 3)) for r in (None, "CRY01")]
+    assert dicts(secrets, "seq")[0]["title"] == "Exposed secret: Access Token"
+    assert HEX40 not in str(dicts(both)) and dicts(weak)[0]["owasp"] == ["A02"]
+    assert dicts(weak, "seq")[0]["code"] == "h = hashlib.md5(x)  #  [REDACTED] "
+    (b,) = dicts(ru.severity_buckets(both))
+    assert (b["high_count"], b["medium_count"], b["secrets_found"]) == (3, 3, 3)

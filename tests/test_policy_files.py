@@ -57,6 +57,13 @@ def test_languages(spark):
     assert [d["project_dir"] for d in dirs] == ["/srv/p", "/srv/p/web"]
 
 
+def test_single_file_targets(spark):
+    one = fl.inventory(spark.createDataFrame(
+        [("a", "/srv/build/x.ts", "/srv/build/x.ts"), ("b", "/srv/package.json", "/srv/package.json")],
+        "project string, root string, path string"))
+    assert [(g["rel_path"], g["language"]) for g in dicts(fl.included(one))] == [("x.ts", "typescript")]
+
+
 def test_manifests_in_fixed_order_top_level_only(spark):
     inv = inventory(spark, "pyproject.toml", "requirements.txt", "sub/requirements-dev.txt").unionByName(
         inventory(spark, "a.py", root="/srv/q", project="q"))

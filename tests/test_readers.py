@@ -57,7 +57,9 @@ def test_envelope_exit_codes(spark):
         spark, *[{"exit_code": c} for c in (0, 1, 2, 124, None)])), "run_no")
     assert [e["success"] for e in env] == [True, True, False, False, False]
     assert [e["error"] for e in env] == [
-        None, None, "Error running scanner", "Scan timeout after 5 minutes", None]
+        None, None, "Error running scanner", "Scan timeout after 5 minutes", "Unknown error"]
+    (e,) = dicts(rn.scan_envelope(runs(spark, {"exit_code": 2, "stdout": {"error": "tool not installed"}})))
+    assert e["error"] == "tool not installed"
 
 
 def test_pip_audit_reads_both_forms(spark):
@@ -211,9 +213,10 @@ def test_exit_status(spark):
 
 def test_error_groups_and_samples(spark):
     r = runs(spark, {"exit_code": 2, "stderr": "Bandit is not installed"}, {"exit_code": 2, "stderr": "x"},
-             {"exit_code": 2, "stderr": None})
+             {"exit_code": 2, "stderr": None}, {"exit_code": 2, "stderr": "x", "stdout": {"error": "y not installed"}})
     assert [(g["outcome"], g["error"]) for g in dicts(rn.error_groups(r), "run_no")] == [
-        ("skipped", "Bandit is not installed"), ("failed", "x"), ("failed", "Unknown error")]
+        ("skipped", "Bandit is not installed"), ("failed", "x"), ("failed", "Unknown error"),
+        ("skipped", "y not installed")]
     s = semgrep(spark, errors=[{"message": f"e{i}"} for i in range(15)])
     assert [e["message"] for e in dicts(rn.error_sample(s), "pos")] == [f"e{i}" for i in range(10)]
     bad = runs(spark, {"stdout": "z" * 3000}, tool="Semgrep")
@@ -234,3 +237,14 @@ def test_saved_documents(spark):
         (0, "Bandit", "x"), (1, "pip-audit", "c"), (1, "Semgrep", "l"), (2, "Bandit", "a"),
         (2, "ESLint Security", "b"), (2, "Secret Scanner", None), (3, "npm audit", "n")]
     assert {g["target_path"] for g in got} == {".", "/t"}
+
+
+def test_report_and_document_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text('{"results":\n [{"test_id": "B1", "issue_severity": "LOW"}]}')
+    r = rn.load_reports(spark, f"file://{tmp_path}", "Bandit", "p", "s")
+    assert sorted(r.columns) == sorted(runs(spark, {}).columns)
+    got = dicts(rp.findings_from_runs(r))
+    assert len(got) == 2 == len({g["seq"] for g in got}) and all(g["seq"] >= 0 for g in got)
+    docs = saved.load_documents(spark, f"file://{tmp_path}")
+    assert docs.count() == 2 and docs.first().document.startswith('{"results"')
