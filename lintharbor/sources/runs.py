@@ -102,9 +102,11 @@ def report_total(tool: Column, stdout: Column, unit: Column) -> Column:
     stated = F.coalesce(
         F.from_json(stdout, schemas.NPM_METADATA)["metadata"]["vulnerabilities"]["total"], F.lit(0))
     chain = F.when(tool == "npm audit", stated)
-    for name, (items, _) in rp.READERS.items():
-        if name != "npm audit":
-            chain = chain.when(tool == name, listed(items))
+    counted = {name: items for name, (items, _) in rp.READERS.items() if name != "npm audit"}
+    # Counting needs no field of the flattened findings, so only one is built.
+    counted["Semgrep"] = lambda out, u: rp.semgrep_items(out, u, ("line",))
+    for name, items in counted.items():
+        chain = chain.when(tool == name, listed(items))
     return chain.otherwise(0)
 
 
