@@ -26,6 +26,7 @@ def first_truthy(*values: Column | str, default: str) -> Column:
 def normalize_severity(severity: Column) -> Column:
     """Lower-case, strip, fold synonyms; unknown words pass through unchanged."""
     s = strip(F.lower(severity))
+    # The synonyms tools use.
     return (
         F.when(s.isin("moderate", "warning", "warn"), "medium")
         .when(s == "error", "high")

@@ -104,18 +104,30 @@ def json_text(value: Column) -> Column:
 
 
 def glob_regex(glob: Column) -> Column:
-    """Shell-style pattern to regex text: `*` also crosses `/`, matching is full and case-sensitive."""
-    tokens = F.regexp_extract_all(strip(glob), F.lit(r"(?s)\[!?\]?[^\]]*\]|."), F.lit(0))
+    """Shell-style pattern to regex text: `*` also crosses `/`, matching is full and case-sensitive.
+
+    Tokens are a closed `[class]` or one character; an unclosed bracket is a literal.
+    """
+    tokens = F.regexp_extract_all(strip(glob), F.lit(r"(?s)\[!?+.[^\]]*\]|."), F.lit(0))
+
+    def class_item(x: Column) -> Column:
+        """A range or one character inside brackets; a reversed range holds nothing."""
+        reversed_range = (F.length(x) == 3) & (F.substr(x, F.lit(1), F.lit(1)) > F.substr(x, F.lit(3)))
+        return (
+            F.when(reversed_range, "").when(x == "-", r"\-")
+            .otherwise(F.regexp_replace(x, r"([\\\[\]&^])", r"\\$1")))
 
     def translate(t: Column) -> Column:
         negated = F.substr(t, F.lit(2), F.lit(1)) == "!"
         body = F.when(negated, F.substr(t, F.lit(3), F.length(t) - 3)).otherwise(
             F.substr(t, F.lit(2), F.length(t) - 2))
-        safe = F.regexp_replace(body, r"([\\\[\]&^])", r"\\$1")
+        items = F.array_join(F.transform(
+            F.regexp_extract_all(body, F.lit(r"(?s).-.|."), F.lit(0)), class_item), "")
+        klass = (
+            F.when(items != "", F.concat(F.lit("["), F.when(negated, "^").otherwise(""), items, F.lit("]")))
+            .when(negated, ".").otherwise("(?!)"))
         return (
-            F.when(t == "*", ".*").when(t == "?", ".")
-            .when(F.length(t) > 1,
-                  F.concat(F.lit("["), F.when(negated, "^").otherwise(""), safe, F.lit("]")))
+            F.when(t == "*", ".*").when(t == "?", ".").when(F.length(t) > 1, klass)
             .otherwise(F.regexp_replace(t, r"([^A-Za-z0-9_/])", r"\\$1"))
         )
 

@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintharbor.functions.scale import join_per_project
 from lintharbor.rules import (
     ALL_RULES, CODE_RULES, CONTROL_RULES, OWASP_CATEGORIES, REMEDIES, SECRET_RULES, Rule,
 )
@@ -147,16 +148,8 @@ def missing_control_scan(texts: DataFrame, rules: list[Rule] | None = None) -> D
     return texts.select(*[c for c in texts.columns if c != "text"], F.inline(hits))
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table; its size is fixed by the rule list."""
-    rows = F.array(*[F.struct(
-        F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("rule_title"),
-        F.lit(r.family).alias("family"), F.lit(r.owasp).alias("owasp_id"),
-        F.lit(r.severity).alias("rule_severity")) for r in ALL_RULES])
-    return spark.range(1).select(F.inline(rows))
-
-
 def remedy_table(spark: SparkSession) -> DataFrame:
+    """Family, category and secure pattern per rule; its size is fixed by the rule list."""
     remedies = dict(REMEDIES)
     names = dict(OWASP_CATEGORIES)
     rows = F.array(*[F.struct(
@@ -177,8 +170,6 @@ def custom_rules(hits: DataFrame, overrides: DataFrame) -> DataFrame:
 
     A rule without an override keeps its severity.
     """
-    from lintharbor.functions.scale import join_per_project
-
     level = F.lower("level")
     return (
         join_per_project(hits, overrides.select("project", "rule_id", "level"),

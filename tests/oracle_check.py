@@ -50,7 +50,7 @@ def kind(arrow_type) -> str:
 
 def compare(df, con, sql: str) -> list[str]:
     """Differences between a DataFrame and a SQL result; empty if they agree."""
-    left, right = df.toArrow(), con.execute(sql).to_arrow_table()
+    left, right = df.toArrow(), con.sql(sql).to_arrow_table()
     problems = []
     if sorted(left.column_names) != sorted(right.column_names):
         return [f"columns {sorted(left.column_names)} != {sorted(right.column_names)}"]

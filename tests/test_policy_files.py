@@ -12,9 +12,11 @@ from lintharbor.operators import policy as po
 from lintharbor.sources import files as fl
 
 GLOBS = ["*.py", "**/node_modules/**", "src/*", "a?c", "[abc]x", "[!abc]x", "[]x]y", "[!]]z", "a[", "a.b+c(d)|e$",
-         "[a-c]*[0-9]", "x\\y", "[\\]q", "[^a]b", "*", "", " *.js ", "[a&&b]x", "é*"]
+         "[a-c]*[0-9]", "x\\y", "[\\]q", "[^a]b", "*", "", " *.js ", "[a&&b]x", "é*", "[]", "[!]", "[]]", "[z-a]x", "[!z-a]x",
+         "[a-c-e]x", "[-a]x", "[a-]x", "[!-]x", "[z-ab]x", "[a-c[]x", "***", "[*]", "[?]x", "{a,b}", "#x y"]
 PATHS = ["a.py", "src/a.py", "x/node_modules/y/z.js", "abc", "a/c", "ax", "dx", "]y", "xy", "]z", "az", "a[", "a.b+c(d)|e$",
-         "b1", "b/x9", "x\\y", "\\q", "^b", "ab", "bb", "", "m.js", "&x", "bx", "évian", "a\nb.py"]
+         "b1", "b/x9", "x\\y", "\\q", "^b", "ab", "bb", "", "m.js", "&x", "bx", "évian", "a\nb.py", "[]", "[!]", "]", "-x", "ex", "zx", "[x", "*",
+         "?x", "{a,b}", "#x y", "cx"]
 
 
 def test_globs_agree_with_the_standard_matcher(spark):
