@@ -97,12 +97,6 @@ def is_json(text: Column) -> Column:
     return F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False))
 
 
-def json_text(value: Column) -> Column:
-    """A string as a quoted JSON literal, for documents assembled from text pieces."""
-    wrapped = F.to_json(F.array(value))
-    return F.substr(wrapped, F.lit(2), F.length(wrapped) - 2)
-
-
 def glob_regex(glob: Column) -> Column:
     """Shell-style pattern to regex text: `*` also crosses `/`, matching is full and case-sensitive.
 

@@ -121,8 +121,12 @@ def semgrep_multi_config(runs: DataFrame) -> DataFrame:
 
 
 def files_scanned(runs: DataFrame) -> DataFrame:
-    """Files as the report counts them, once per tool."""
-    return run_facts(runs).select(*KEYS, "files_scanned")
+    """Files as the report counts them, once per tool, and the distinct paths of the data-flow scans."""
+    done = runs.filter(F.col("exit_code").isin(0, 1))
+    distinct = rp.scanned_paths(done).groupBy(*KEYS).agg(
+        F.count_distinct("path").alias("files_distinct"))
+    return run_facts(runs).select(*KEYS, "files_scanned").join(distinct, KEYS, "left").fillna(
+        0, ["files_distinct"])
 
 
 def secret_and_dependency_counts(findings: DataFrame) -> DataFrame:

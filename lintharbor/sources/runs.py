@@ -160,7 +160,8 @@ def error_sample(runs: DataFrame, limit: int = 10, width: int = 1000) -> DataFra
         .select(*rp.RUN_KEYS, F.posexplode(
             F.slice(F.from_json("stdout", schemas.SEMGREP_ERRORS)["errors"], 1, limit))
             .alias("pos", "e"))
-        .select(*rp.RUN_KEYS, "pos", F.col("e.message").alias("message"),
+        .select(*rp.RUN_KEYS, "pos",
+                F.coalesce(F.col("e.message"), F.to_json("e")).alias("message"),
                 tx.text_or(F.col("e.path"), "").alias("path"))
     )
     unread = (

@@ -624,7 +624,10 @@ select k.project, k.scan_id, cast(0 as bigint) as critical, coalesce(high,0) as
  cast(coalesce(n_errors,0) as bigint) as n_errors
 from (select distinct project, scan_id from r where tool = 'Semgrep') k left join fc using (project, scan_id)
  left join pc using (project, scan_id) left join ec using (project, scan_id)""")
-put("files_scanned", [RUNS, FILES_SCANNED], "select * from fs")
+put("files_scanned", [RUNS, FILES_SCANNED,
+    "fd as (select project, scan_id, count(distinct jj) as files_distinct from (select *, unnest(range(event_id % 4 + 1)) as jj "
+    f"from r where tool = 'Semgrep' and kind = 'report' and {OK}) group by all)"],
+    "select fs.*, coalesce(files_distinct, 0) as files_distinct from fs left join fd using (project, scan_id)")
 put("secret_and_dependency_counts", [*fnd(fx.HOUR), PRE], "select * from p")
 put("scans_performed", [RUNS, *PERFORMED], "select * from perf")
 put("risk_score", HOURLY, f"select project, scan_id, critical_count, high_count, medium_count, low_count, raw_risk_score, "

@@ -165,6 +165,8 @@ def test_run_facts_and_summary_of_clean_scans(spark):
     assert g["scans_performed"] == ["Python (Bandit)", "JavaScript/TypeScript (ESLint)", "Semgrep SAST",
                                     "Dependencies (npm audit)"]
     assert g["n_scans"] == 4 and g["files_scanned"] == 6
+    (d,) = dicts(ru.files_scanned(r))
+    assert (d["files_scanned"], d["files_distinct"]) == (6, 2)
     assert (g["total"], g["risk_score"], g["risk_level"]) == (0, 0, "LOW")
     assert g["scan_duration"] == "6.2 seconds"
 
