@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules, token_records
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts of each document and the verdict of the adaptive limits."""
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
@@ -20,8 +25,17 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as binary token records, read back through their index."""
+    out = token_records.scratch(spark, "token-records")
+    token_records.write_records(_table(spark, sf, "documents").select("doc_id", "text"), out)
+    return token_records.read_index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op10_token_records": op10_token_records,
 }
 
 SQL: dict[str, str] = {
