@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_records
+from . import packing, quality_rules, suffix_dedup, token_records
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each document that belong to no 200-byte string found elsewhere."""
+    return suffix_dedup.dedup(_table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as binary token records, read back through their index."""
     out = token_records.scratch(spark, "token-records")
@@ -35,6 +41,7 @@ def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_records": op10_token_records,
 }
 
