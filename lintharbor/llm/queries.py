@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, suffix_dedup, token_records
+from . import ngram_join, packing, quality_rules, suffix_dedup, token_records
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Component of near-duplicates of each document."""
+    return ngram_join.components_of(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf, "documents").select("doc_id", "text"))
@@ -39,6 +44,7 @@ def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
