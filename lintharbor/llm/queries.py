@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality_rules, suffix_dedup, token_records
+from . import decontamination, ngram_join, packing, quality_rules, suffix_dedup, token_records
+from .oracle import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +24,11 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items held by each document."""
+    return decontamination.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts of each document and the verdict of the adaptive limits."""
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
@@ -46,10 +52,8 @@ def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_records": op10_token_records,
 }
-
-SQL: dict[str, str] = {
-}
