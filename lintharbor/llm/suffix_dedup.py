@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _powers, mix, text_batches
+from .common import _BASE, _BYTE, _powers, mix, stored, text_batches
 
 LENGTH, GRAM = 200, 100
 SPREAD = LENGTH - GRAM + 1
@@ -277,13 +277,13 @@ def repeated_spans(keyed: DataFrame, hot: int = 4096, block_bytes: int = 1 << 19
     # Several occurrences, counted with map-side combine; lo = hi: all contexts are equal.
     grams = (found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
              .filter("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("equal")))
-    shared = found.join(grams, "gram")
+    shared = stored(found.join(grams, "gram"))
     count = F.shiftright("place", 16).bitwiseAND(0xFF)
     whole = _span(F.col("doc"), F.col("place"), F.lit(0), count - 1)
 
     mixed = shared.filter(~F.col("equal"))
-    classes = mixed.groupBy("gram", "ctx").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one"))
+    classes = stored(mixed.groupBy("gram", "ctx").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one")))
     kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     # Equal contexts of a mixed gram are repeated too; the others are compared with one of each kind.
     copies = mixed.join(classes.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select(*whole)
@@ -292,8 +292,8 @@ def repeated_spans(keyed: DataFrame, hot: int = 4096, block_bytes: int = 1 << 19
         .select(F.col("one.doc").alias("_doc"), F.col("one.place").bitwiseAND(0xFFFF).cast("int").alias("_salt"),
                 F.struct("gram", "n", "one.doc", "one.place", "kinds").alias("_ask"))
         .groupBy("_doc", "_salt").agg(F.collect_list("_ask").alias("_asked")))
-    bodies = keyed.join(asked, ["_doc", "_salt"]).select("_t", "_asked").mapInArrow(
-        _cut_contexts, "gram bigint, n bigint, doc bigint, place bigint, body binary, kinds bigint")
+    bodies = stored(keyed.select("_doc", "_salt", "_t").join(asked, ["_doc", "_salt"]).select("_t", "_asked").mapInArrow(
+        _cut_contexts, "gram bigint, n bigint, doc bigint, place bigint, body binary, kinds bigint"))
     by_sort = (bodies.filter(F.col("kinds") <= hot).drop("kinds")
                .repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_blocks(block_bytes), SPAN))
     single = bodies.filter(F.col("kinds") > hot).drop("kinds").mapInArrow(
