@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, quality_rules, suffix_dedup, token_records
+from . import (
+    decontamination,
+    language_id,
+    license_scan,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    token_records,
+    toxicity,
+)
 from .oracle import SQL  # noqa: F401
 
 
@@ -19,6 +30,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.components_of(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License notices of all documents."""
+    return license_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf, "documents").select("doc_id", "text"))
@@ -29,6 +45,16 @@ def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of each document."""
+    return language_id.identify(_table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of each document from both views."""
+    return quality_classifier.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts of each document and the verdict of the adaptive limits."""
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
@@ -36,6 +62,11 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of each document."""
+    return toxicity.classify(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of each document that belong to no 200-byte string found elsewhere."""
     return suffix_dedup.dedup(_table(spark, sf, "documents").select("doc_id", "text")).select(
@@ -51,9 +82,13 @@ def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_records": op10_token_records,
 }
