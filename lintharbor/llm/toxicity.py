@@ -225,7 +225,8 @@ def fit(sample: list[tuple[str, int]], n_landmarks: int = 320, rounds: int = 4,
     margin = worst_words([t for t, _ in sample], table, bias, {})
     label = np.array([y for _, y in sample])
     cuts = np.unique(np.quantile(margin, np.linspace(0, 1, 400)))
-    right = [(np.mean(margin[label == 1] >= c) + np.mean(margin[label == 0] < c)) for c in cuts]
+    # A clean document flagged weighs as much as four toxic ones missed.
+    right = [(np.mean(margin[label == 1] >= c) + 4 * np.mean(margin[label == 0] < c)) for c in cuts]
     top = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
     middle = float(cuts[top].mean())
     if top[0] > 0:
