@@ -138,9 +138,11 @@ def connected(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # The least neighbours are stored: the joins can then split a node with very many edges.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small_star = large.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                               F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))))).select("col.*")
@@ -198,7 +200,8 @@ def links(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
         .join(left.select("sig"), "sig", "left_semi"))
 
     postings = members.select("sig", F.size("tokens").cast("bigint").alias("n"), F.explode("tokens").alias("token"))
-    frequent = postings.groupBy("token").agg(F.count(F.lit(1)).alias("frequency")).filter("frequency > 1")
+    # Stored, so that the join reads both sides from shuffles and can split a hot token.
+    frequent = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("frequency")).filter("frequency > 1"))
     shared = (postings.join(frequent, "token").groupBy("sig")
               .agg(F.first("n").alias("n"), F.collect_list(F.struct("frequency", "token")).alias("shared")))
     fields = "sig bigint, n bigint, lone bigint, " + ", ".join(f"p{k} array<bigint>" for k in range(ORDERS))
@@ -206,7 +209,7 @@ def links(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
 
     lists = stored(ordered.select(
         "sig", "n", "lone", F.posexplode("p0").alias("at", "token")).withColumn("at", F.col("at") + F.col("lone")))
-    centre = lists.groupBy("token").agg(F.min(F.struct("lone", "sig", "n", "at")).alias("c")).select("token", "c.*")
+    centre = stored(lists.groupBy("token").agg(F.min(F.struct("lone", "sig", "n", "at")).alias("c")).select("token", "c.*"))
     star = _verified(_candidates(lists, centre, ["token"]), ordered, members)
 
     roots = connected(star)
@@ -215,7 +218,8 @@ def links(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
     sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("_n"))
     open_lists = sizes.groupBy("token").agg(
         F.count(F.lit(1)).alias("_roots"), F.max(F.struct("_n", "root")).alias("_top")).filter("_roots > 1")
-    placed = stored(placed.join(open_lists.select("token", F.col("_top.root").alias("_top")), "token"))
+    open_lists = stored(open_lists.select("token", F.col("_top.root").alias("_top")))
+    placed = stored(placed.join(open_lists, "token"))
     rest = _verified(
         _candidates(placed.filter("root != _top"), placed, ["token"], F.col("x.root") != F.col("y.root")), ordered, members)
     return star.union(rest)
