@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,16 +69,24 @@ def number_rows(
 def stored(df: DataFrame) -> DataFrame:
     """A result several jobs or branches read, kept as reliable checkpoint files.
 
-    The folder is the session's `spark.checkpoint.dir`, which all nodes share; a private one is
-    made only where that is unset, as in tests. A lost executor then costs its own tasks only.
+    The folder is the session's `spark.checkpoint.dir`, which all nodes share, or one below the
+    warehouse, which they share as well. A private folder is made only where there is but one
+    machine, in local mode. A lost executor then costs its own tasks only.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    set_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and re.match(r"local(\[[^]]*\])?$", context.master):
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq", n: int = 1,
                   rank: str | None = None) -> DataFrame:
     """First `n` rows per key. Spark prunes to `n` per key before the shuffle, so hot keys stay small."""
@@ -94,13 +103,15 @@ def join_per_project(
     on: Sequence[str],
     how: str = "left",
     spread_by: Sequence[str] = (),
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a large table to one with few rows per key, one hot key notwithstanding.
 
     No broadcast is forced: Spark broadcasts `dim` only while its size is under the session's
-    threshold. Beyond that both sides shuffle, and the salt splits a hot key over `salts` tasks.
+    threshold. Beyond that both sides shuffle, and the salt splits a hot key over `salts` tasks:
+    the session's `spark.lintharbor.salts`, 16 where it is unset.
     """
+    salts = salts or int(facts.sparkSession.conf.get("spark.lintharbor.salts", "16"))
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     return facts.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")

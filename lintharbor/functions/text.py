@@ -85,6 +85,11 @@ def relative_uri(file: Column, root: Column) -> Column:
     )
 
 
+def one_decimal(x: Column) -> Column:
+    """Number with one decimal, rounded by its binary value (0.35 is below the tie, so 0.3)."""
+    return F.regexp_replace(F.call_function("format_number", x, F.lit("0.0")), "^-0\\.0$", "0.0")
+
+
 def html_escape(text: Column) -> Column:
     # The five HTML special characters, ampersand first.
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
@@ -92,9 +97,14 @@ def html_escape(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """True for exactly one well-formed JSON value (wrapping it catches trailing text)."""
+    """True for exactly one well-formed JSON value (wrapping it catches trailing text).
+
+    Spark's parser also takes text in single quotes. Outside of double-quoted text a valid document
+    has none, so one that is left when those are cut out tells such a report apart.
+    """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    return F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False))
+    outside = F.when(text.contains("'"), F.regexp_replace(text, r'"(?:[^"\\\\]++|\\\\.)*+"', "")).otherwise("")
+    return F.coalesce((F.json_array_length(wrapped) == 1) & ~outside.contains("'"), F.lit(False))
 
 
 def glob_regex(glob: Column) -> Column:

@@ -81,19 +81,25 @@ def secret_detection(texts: DataFrame, rules: list[Rule] | None = None) -> DataF
     )
 
 
-def as_findings(hits: DataFrame, tool: str) -> DataFrame:
-    """Hits that carry (project, scan_id, file_no) as findings of the common schema.
+def as_findings(hits: DataFrame, tool: str, rules: list[Rule] | None = None) -> DataFrame:
+    """Hits of `rules` that carry (project, scan_id, file_no) as findings of the common schema.
 
     `file_no` numbers the files of a scan; with line and rule it gives each finding its `seq`
-    without any sort. Room is for 2**33 files, 2**24 lines per file and 2**6 rules.
+    without any sort. Room is for 2**25 files, 2**28 lines per file and 2**10 rules; a hit beyond
+    that, or of a rule that is not in the list, stops the run instead of sharing another's number.
     """
-    rule_no = F.array_position(F.array(*[F.lit(r.rule_id) for r in ALL_RULES]), F.col("rule_id"))
+    known = ALL_RULES if rules is None else rules
+    rule_no = F.array_position(F.array(*[F.lit(r.rule_id) for r in known]), F.col("rule_id"))
+    fits = (rule_no.between(1, 2**10 - 1) & F.col("line").between(0, 2**28 - 1)
+            & F.col("file_no").between(0, 2**25 - 1))
+    packed = (F.shiftleft(F.col("file_no").cast("bigint"), 38)
+              + F.shiftleft(F.col("line").cast("bigint"), 10) + rule_no)
     secret = tool == "Secret Scanner"
     absent = F.lit(None)
     values = {
         "project": F.col("project"), "scan_id": F.col("scan_id"),
-        "seq": F.shiftleft(F.col("file_no").cast("bigint"), 30)
-        + F.shiftleft(F.col("line").cast("bigint"), 6) + rule_no,
+        "seq": F.when(fits, packed).otherwise(F.raise_error(
+            F.concat(F.lit("no number for a hit of rule "), F.coalesce("rule_id", F.lit("?"))))),
         "tool": F.lit(tool), "severity": F.col("severity"),
         "title": F.concat(F.lit("Exposed secret: "), "title") if secret else F.col("title"),
         "description": F.col("description") if secret else F.col("title"),
@@ -160,9 +166,21 @@ def remedy_table(spark: SparkSession) -> DataFrame:
 
 
 def remediation_lookup(hits: DataFrame) -> DataFrame:
-    """Attach family, category and secure pattern by rule id; unknown rules stay, unexplained."""
-    bare = hits.drop("family", "owasp_category", "secure_pattern")
-    return bare.join(remedy_table(hits.sparkSession), "rule_id", "left")
+    """Attach family, category and secure pattern by rule id; unknown rules stay, unexplained.
+
+    The rules are constants, so they are looked up in literal maps: no join.
+    """
+    remedies, names = dict(REMEDIES), dict(OWASP_CATEGORIES)
+
+    def looked_up(values: list[str]) -> Column:
+        pairs = [F.lit(x) for r, v in zip(ALL_RULES, values) for x in (r.rule_id, v)]
+        return F.element_at(F.create_map(*pairs), F.col("rule_id"))
+
+    return hits.drop("family", "owasp_category", "secure_pattern").select(
+        "rule_id", *[c for c in hits.columns if c not in ("rule_id", "family", "owasp_category", "secure_pattern")],
+        looked_up([r.family for r in ALL_RULES]).alias("family"),
+        looked_up([f"{r.owasp}:2021 - {names[r.owasp]}" for r in ALL_RULES]).alias("owasp_category"),
+        looked_up([remedies[r.family] for r in ALL_RULES]).alias("secure_pattern"))
 
 
 def custom_rules(hits: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -188,7 +206,8 @@ def owasp_rollup(findings: DataFrame) -> DataFrame:
     """
     ids = F.transform(
         F.coalesce("owasp", F.array().cast("array<string>")),
-        lambda o: F.regexp_extract(o, r"A\d{2}", 0))
+        # The 2021 edition, or no edition named; ids of other editions mean other categories.
+        lambda o: F.regexp_extract(o, r"(A\d{2})(?::2021|(?!\s*:\s*\d{4}))", 1))
     counted = findings.select("project", ids.alias("ids")).groupBy("project").agg(*[
         F.count_if(F.array_contains("ids", c)).alias(c) for c, _ in OWASP_CATEGORIES])
     return counted.select("project", F.inline(F.array(*[

@@ -122,8 +122,8 @@ def minimum_severity(findings: DataFrame, policy: DataFrame) -> DataFrame:
 def suppress_findings(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Drops findings whose fingerprint a project lists as a false positive.
 
-    One fingerprint can recur in every scan of a project, so the anti join is spread as well.
+    Both sides can be large, so neither is copied; AQE splits a fingerprint that recurs in very
+    many scans of a project.
     """
-    return join_per_project(
-        ru.with_fingerprint(findings), suppressions.select("project", "fingerprint"),
-        ["project", "fingerprint"], "left_anti", spread_by=["scan_id", "seq"])
+    return ru.with_fingerprint(findings).join(
+        suppressions.select("project", "fingerprint"), ["project", "fingerprint"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintharbor.functions import text as tx
 from lintharbor.functions.scale import join_per_project
 
 COUNTS = ["critical_count", "high_count", "medium_count", "low_count"]
@@ -99,4 +100,4 @@ def severity_distribution(buckets: DataFrame) -> DataFrame:
     share = F.col("n") / F.col("total") * 100
     return long.filter(F.col("n") > 0).select(
         "project", "scan_id", "severity_rank", "severity", "n", share.alias("pct"),
-        F.bround(share, 1).alias("pct_rounded"))
+        tx.one_decimal(share).cast("double").alias("pct_rounded"))

@@ -95,8 +95,10 @@ def semgrep_multi_config(runs: DataFrame) -> DataFrame:
     """Runs of several rule sets over one target as one result.
 
     Findings are unique by file, line and rule (no tool), paths are counted once, errors of
-    missing tools are dropped.
+    missing tools are dropped. `n_errors` counts the errors the result lists, at most ten a run,
+    `n_errors_total` all of them.
     """
+    n = rn.n_errors(F.col("stdout"))
     ok = rn.tool_failure().isNull()
     done = runs.filter((F.col("tool") == "Semgrep") & ok)
     first = first_per_key(
@@ -113,8 +115,8 @@ def semgrep_multi_config(runs: DataFrame) -> DataFrame:
     failed = ~ok & ~F.coalesce(rn.tool_failure().contains("not installed"), F.lit(False))
     errors = (
         runs.filter(F.col("tool") == "Semgrep").groupBy(*KEYS)
-        .agg(F.sum(F.when(ok, rn.n_listed_errors(F.col("stdout"))).when(failed, 1).otherwise(0))
-             .alias("n_errors")))
+        .agg(F.sum(F.when(ok, F.least(n, F.lit(10))).when(failed, 1).otherwise(0)).alias("n_errors"),
+             F.sum(F.when(ok, n).when(failed, 1).otherwise(0)).alias("n_errors_total")))
 
     # `errors` has a row for every scan with a run, clean or not.
     return errors.join(found, KEYS, "left").join(paths, KEYS, "left").fillna(0)

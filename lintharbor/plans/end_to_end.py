@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintharbor.functions.scale import join_per_project
+from lintharbor.functions import text as tx
+from lintharbor.functions.scale import join_per_project, stored
 from lintharbor.operators import risk
 from lintharbor.operators import rollup as ru
 from lintharbor.schemas import SCAN_KEYS
@@ -21,8 +22,8 @@ def project_name(target: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """`12.3 seconds`; one decimal, ties to even on the stored value."""
-    return F.concat(F.bround(seconds, 1).cast("string"), F.lit(" seconds"))
+    """`12.3 seconds`; one decimal, rounded by the binary value, without grouping or exponent."""
+    return F.concat(tx.one_decimal(seconds), F.lit(" seconds"))
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -43,23 +44,50 @@ def scan_summary(findings: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def report_summary(summary: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds what the documents need from `targets` (project, target_path, timestamp, languages)."""
-    return join_per_project(summary, targets, ["project"], "inner", spread_by=["scan_id"]).withColumn(
+    """Adds what the documents need from `targets` (project, target_path, timestamp, languages).
+
+    `targets` has one row a project, or one a scan if it has a `scan_id`. Scans it does not name
+    stay, with `.` as their target.
+    """
+    keys = target_keys(targets)
+    return join_per_project(summary, targets, keys, "left", spread_by=["scan_id"]).withColumn(
+        "target_path", F.coalesce("target_path", F.lit("."))).withColumn(
         "project_name", project_name(F.col("target_path")))
 
 
+def target_keys(targets: DataFrame) -> list[str]:
+    return [k for k in SCAN_KEYS if k in targets.columns]
+
+
+def reject_duplicates(table: DataFrame, keys: list[str], name: str) -> None:
+    """A second row for a key would write its documents twice, one into the other."""
+    twice = table.groupBy(*keys).count().filter("count > 1").select(*keys).first()
+    if twice is not None:
+        raise ValueError(f"{name} has more than one row for {tuple(twice)}")
+
+
 def publish(runs: DataFrame, targets: DataFrame, policy: DataFrame, out: str) -> None:
     """Read reports, store findings and summaries, write the documents each policy asks for.
 
-    The deduplicated findings and the summary are written as tables first. All documents read
-    those, so the reports are parsed once per table and a lost executor only costs its tasks.
+    The deduplicated findings and the summary are written as tables first, by scan; scans of
+    earlier batches below `out` stay. All documents of this batch read those tables, so a lost
+    executor only costs its tasks. Reports are parsed twice, for the findings and for the run facts.
     """
     spark = runs.sparkSession
+    reject_duplicates(targets, target_keys(targets), "targets")
+    reject_duplicates(policy, ["project"], "policy")
     union = rp.findings_from_runs(runs)
-    ru.dedup_findings(union).drop("is_taint").write.mode("overwrite").parquet(f"{out}/findings")
-    report_summary(scan_summary(union, runs), targets).write.mode("overwrite").parquet(f"{out}/summary")
-    findings = spark.read.parquet(f"{out}/findings")
-    summary = spark.read.parquet(f"{out}/summary")
+    batch = stored(runs.select(*SCAN_KEYS).distinct())
+
+    def saved(table: DataFrame, name: str) -> DataFrame:
+        (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*SCAN_KEYS).parquet(f"{out}/{name}"))
+        # Folder names are read as texts, whatever they look like.
+        again = spark.read.schema(table.schema).parquet(f"{out}/{name}").select(*table.columns)
+        return again.join(batch, SCAN_KEYS, "left_semi")
+
+    findings = saved(ru.dedup_findings(union).drop("is_taint"), "findings")
+    summary = saved(report_summary(scan_summary(union, runs), targets), "summary")
 
     def asked(df: DataFrame, fmt: str) -> DataFrame:
         wanted = policy.filter(F.array_contains("formats", fmt)).select("project")
@@ -71,7 +99,7 @@ def publish(runs: DataFrame, targets: DataFrame, policy: DataFrame, out: str) ->
         *risk.COUNTS, "files_scanned", "secrets_found", "outdated_dependencies", "scan_duration")
     write_documents(json_doc.json_document(asked(findings, "json"), asked(facts, "json")), f"{out}/json")
     write_documents(html.html_report(asked(findings, "html"), asked(summary, "html")), f"{out}/html")
-    rooted = join_per_project(asked(findings, "sarif"), targets.select("project", "target_path"),
-                              ["project"], "inner", spread_by=["seq"])
+    roots = summary.select(*SCAN_KEYS, "target_path")
+    rooted = asked(findings, "sarif").join(roots, SCAN_KEYS)
     write_documents(
         sarif.sarif_document(rooted, asked(summary, "sarif"), F.col("target_path")), f"{out}/sarif")

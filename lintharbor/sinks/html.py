@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintharbor.functions import severity as sev
-from lintharbor.functions.text import html_escape
+from lintharbor.functions.text import html_escape, one_decimal
 from lintharbor.operators import risk
 from lintharbor.schemas import SCAN_KEYS
 from lintharbor.sinks import pieces as pc
@@ -83,7 +83,7 @@ def severity_chart() -> Column:
     total = counts[0] + counts[1] + counts[2] + counts[3]
 
     def bar(name: str, n: Column) -> Column:
-        pct = F.bround(n / total * 100, 1)
+        pct = one_decimal(n / total * 100).cast("double")
         return F.when(n > 0, F.concat(
             F.lit(f'<div class="bar {name.lower()}" style="width: '), _txt(pct), F.lit(f'%">{name}: '),
             _txt(n), F.lit(" ("), _txt(pct), F.lit("%)</div>")))

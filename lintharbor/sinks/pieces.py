@@ -62,5 +62,5 @@ def write_documents(pieces: DataFrame, path: str, mode: str = "overwrite") -> No
     (
         pieces.repartitionByRange(*PIECE_KEYS).sortWithinPartitions(*PIECE_KEYS)
         .select(*SCAN_KEYS, "text")
-        .write.mode(mode).partitionBy(*SCAN_KEYS).text(path)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*SCAN_KEYS).text(path)
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +21,75 @@ MANIFESTS = ["requirements.txt", "requirements-dev.txt", "pyproject.toml"]
 ESLINT_IGNORED = ["node_modules", "dist", "build"]
 
 
-def list_files(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """Paths below `path`; contents are pruned from the scan and never read."""
-    return (
+FOUND = "project string, root string, path string"
+
+
+def plain_path(path: Column) -> Column:
+    """Path without scheme and authority: however a folder was named, paths below it start alike."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?/*", "/")
+
+
+def hidden_paths(path: str) -> list[str]:
+    """Files below `path` that Spark's listing leaves out: a name on the way starts with `_` or `.`.
+
+    Names only are listed, on the driver, as Spark does for the others.
+    """
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
+    found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    skipped = re.compile(r"/(?:\.|_(?![^/]*=))")
+    return sorted(f.path for f in found if f.is_file and skipped.search(f.path[len(base.rstrip("/")):]))
+
+
+def _opened(path: str, paths: list[str], project: str, spark: SparkSession) -> DataFrame:
+    """Contents of the given files, read in the tasks."""
+    def contents(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(path if ":" in path else "/")
+        for batch in batches:
+            texts = [store.open_input_stream(p.as_py()).read().decode("utf-8", "replace") for p in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+    rows = spark.createDataFrame([(project, path, p) for p in paths], FOUND)
+    return rows.repartition(max(1, min(len(paths), 200))).mapInArrow(contents, f"{FOUND}, text string")
+
+
+def list_files(spark: SparkSession, path: str, project: str, hidden: bool = True) -> DataFrame:
+    """Paths below `path`; contents are pruned from the scan and never read.
+
+    `hidden` adds the files Spark leaves out (`__init__.py`, `.env`); the store must then be one
+    that pyarrow opens.
+    """
+    listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select(F.lit(project).alias("project"), F.lit(path).alias("root"), "path")
+        .select(F.lit(project).alias("project"), F.lit(path).alias("root"), plain_path(F.col("path")).alias("path"))
     )
+    paths = hidden_paths(path) if hidden else []
+    return listed.union(spark.createDataFrame([(project, path, p) for p in paths], FOUND)) if paths else listed
 
 
-def read_text_files(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """Whole text files below `path`, one row each."""
-    return (
+def read_text_files(spark: SparkSession, path: str, project: str, hidden: bool = True) -> DataFrame:
+    """Whole text files below `path`, one row each; `hidden` as for `list_files`."""
+    listed = (
         spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
         .select(F.lit(project).alias("project"), F.lit(path).alias("root"),
-                F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+                plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
+    paths = hidden_paths(path) if hidden else []
+    return listed.union(_opened(path, paths, project, spark)) if paths else listed
+
+
+def source_texts(texts: DataFrame, exclude: DataFrame | None = None, include: DataFrame | None = None) -> DataFrame:
+    """What detection reads of `read_text_files`: no excluded folder, the globs of the project applied.
+
+    Files of no known language stay, as secrets can be in any of them.
+    """
+    kept = inventory(texts).filter(~F.col("excluded_dir"))
+    kept = exclude_globs(kept, exclude) if exclude is not None else kept
+    return include_patterns(kept, include) if include is not None else kept
 
 
 def language_of(path: Column) -> Column:
@@ -50,11 +107,12 @@ def inventory(files: DataFrame) -> DataFrame:
     """Adds rel_path, name, language and the directory exclusion to (project, root, path).
 
     Exclusion looks at the path below the root, so a project that itself lives under a folder
-    named `build` is still scanned.
+    named `build` is still scanned. A path outside its root keeps its full length.
     """
-    base = F.concat(F.rtrim("root", F.lit("/")), F.lit("/"))
-    rel = F.when(F.col("path").startswith(base), F.substr("path", F.length(base) + 1)).otherwise(
-        tx.base_name(F.col("path")))
+    path, root = plain_path(F.col("path")), plain_path(F.rtrim("root", F.lit("/")))
+    base = F.concat(root, F.lit("/"))
+    rel = (F.when(path.startswith(base), F.substr(path, F.length(base) + 1))
+           .when(path == root, tx.base_name(path)).otherwise(path))
     return (
         files.withColumn("rel_path", rel)
         .withColumn("name", F.substring_index("path", "/", -1))

@@ -148,9 +148,10 @@ def npm_breakdown(runs: DataFrame) -> DataFrame:
     )
 
 
-def n_listed_errors(stdout: Column, limit: int = 10) -> Column:
+def n_errors(stdout: Column) -> Column:
+    """All errors a data-flow report has; `error_sample` lists the first ten."""
     errors = F.from_json(stdout, schemas.SEMGREP_ERRORS)["errors"]
-    return F.greatest(F.least(F.coalesce(F.size(errors), F.lit(0)), F.lit(limit)), F.lit(0))
+    return F.greatest(F.coalesce(F.size(errors), F.lit(0)), F.lit(0))
 
 
 def error_sample(runs: DataFrame, limit: int = 10, width: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintharbor import schemas
+from lintharbor.functions import text as tx
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -16,6 +17,29 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("document"))
 
 
+def load_written_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of `sinks.pieces.write_documents` below `path`, made whole again.
+
+    A scan's folder holds its document in files whose name order is the order of the pieces. The
+    id is `project/scan_id`. A document becomes one row here, as any reader of it needs.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), "value")
+    folder = F.regexp_extract("file", r"/project=([^/]*)/scan_id=([^/]*)/", 0)
+    part = F.struct("file", "value")
+    return (
+        files.groupBy(folder.alias("_folder")).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+        .select(
+            F.concat_ws("/", F.url_decode(F.regexp_extract("_folder", "/project=([^/]*)/", 1)),
+                        F.url_decode(F.regexp_extract("_folder", "/scan_id=([^/]*)/", 1))).alias("doc_id"),
+            F.array_join(F.transform("_parts", lambda p: p["value"]), "").alias("document")))
+
+
+def unreadable_documents(docs: DataFrame) -> DataFrame:
+    """Ids of documents (doc_id, document) that are no JSON; `read_results_doc` has no rows of them."""
+    return docs.filter(~tx.is_json(F.coalesce("document", F.lit("")))).select("doc_id")
+
+
 def _list(name: str) -> Column:
     empty = F.array().cast(f"array<{schemas.SAVED_FINDING}>")
     return F.coalesce(F.col(f"doc.{name}"), empty)

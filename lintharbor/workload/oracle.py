@@ -616,12 +616,13 @@ put("semgrep_multi_config", [*SEMGREP, STATUS,
     "count(*) filter (severity='low') as low, count(*) as total_issues from fx1 where k_ = 1 group by all)",
     "pc as (select project, scan_id, count(distinct project || '/s' || jj) as files_scanned from (select *, "
     "unnest(range(event_id % 4 + 1)) as jj from ok where kind = 'report') group by all)",
-    "ec as (select project, scan_id, sum(n) as n_errors from (select project, scan_id, case when kind = 'report' and event_id % 5 "
-    "= 0 then 10 else 0 end as n from ok union all select project, scan_id, 1 from rs where tool = 'Semgrep' and error is not "
+    "ec as (select project, scan_id, sum(n) as n_errors, sum(m) as n_errors_total from (select project, scan_id, "
+    "case when kind = 'report' and event_id % 5 = 0 then 10 else 0 end as n, "
+    "case when kind = 'report' and event_id % 5 = 0 then 12 else 0 end as m from ok union all select project, scan_id, 1, 1 from rs where tool = 'Semgrep' and error is not "
     "null and not contains(error, 'not installed')) group by all)"], """
 select k.project, k.scan_id, cast(0 as bigint) as critical, coalesce(high,0) as high, coalesce(medium,0) as medium,
  coalesce(low,0) as low, coalesce(total_issues,0) as total_issues, coalesce(files_scanned,0) as files_scanned,
- cast(coalesce(n_errors,0) as bigint) as n_errors
+ cast(coalesce(n_errors,0) as bigint) as n_errors, cast(coalesce(n_errors_total,0) as bigint) as n_errors_total
 from (select distinct project, scan_id from r where tool = 'Semgrep') k left join fc using (project, scan_id)
  left join pc using (project, scan_id) left join ec using (project, scan_id)""")
 put("files_scanned", [RUNS, FILES_SCANNED,

@@ -5,20 +5,23 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from __spark_entry__ import queries as all_queries
 from lintharbor.operators import detect as dt
 from lintharbor.operators import rollup as ru
 from lintharbor.sources import reports as rp
 from lintharbor.workload import fixtures as fx
+from lintharbor.workload.oracle import SQL
+from lintharbor.workload.queries import QUERIES
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_no_cross_product_no_single_partition(spark, sf, name):
-    text = plan(queries()[name](spark, sf))
+    text = plan(QUERIES[name](spark, sf))
     assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|InPandas|InArrow", text)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|SinglePartition", text)
 
@@ -30,7 +33,7 @@ NARROW = ["read_bandit", "read_semgrep", "successful_scans", "custom_reader", "s
 
 @pytest.mark.parametrize("name", NARROW)
 def test_row_wise_operators_do_not_shuffle(spark, sf, name):
-    assert "Exchange hashpartitioning" not in plan(queries()[name](spark, sf))
+    assert "Exchange hashpartitioning" not in plan(QUERIES[name](spark, sf))
 
 
 def test_dedup_prunes_before_its_only_shuffle(spark, sf):
@@ -41,7 +44,7 @@ def test_dedup_prunes_before_its_only_shuffle(spark, sf):
 
 
 def test_counts_are_hash_aggregates_with_partial_steps(spark, sf):
-    text = plan(queries()["risk_score"](spark, sf))
+    text = plan(QUERIES["risk_score"](spark, sf))
     assert text.count("HashAggregate") == 4 and "SortAggregate" not in text and "ObjectHash" not in text
     assert text.count("Exchange hashpartitioning") == 2 and text.count("FileScan") == 1
 
@@ -68,4 +71,5 @@ def test_entry_and_contract(spark):
     assert first.columns == ["project", "scan_id", "critical_count", "high_count", "medium_count", "low_count",
                              "raw_risk_score", "risk_score", "risk_level"]
     assert first.count() == 924
-    assert set(queries()) == set(oracle_sql()) and len(queries()) == 98
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 98
+    assert set(QUERIES) <= set(all_queries())
