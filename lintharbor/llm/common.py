@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintharbor.functions.scale import set_checkpoint_dir
+
 #: Word separators of every operator here, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -18,12 +19,9 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share. A private one only where the session names none, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+    """The folder all nodes share, as the session names it; one of our own only where it names none."""
+    set_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:

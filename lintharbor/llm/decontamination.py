@@ -57,10 +57,10 @@ def minima(hashes: Column, bits: Column) -> Column:
 
 def _candidates(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """(doc_id, item_id) whose signatures agree in a bin of the document's partition."""
-    classes = docs.sparkSession.range(2, 64).select(F.col("id").cast("int").alias("bits"))
-    # One signature per partition and item; the partitions are 62 constants.
+    # One signature per item and partition, of which there are 62 at most.
     slots = stored(
-        items.filter(F.size("item_set") >= SHORT).join(F.broadcast(classes))
+        items.filter(F.size("item_set") >= SHORT)
+        .select("item_id", "item_set", F.explode(F.sequence(F.lit(2), F.lit(63))).alias("bits"))
         .select("item_id", "bits", F.explode(minima(F.col("item_set"), F.col("bits"))).alias("least")))
     sets = with_shingles(docs.select("doc_id", text), text, "doc_set")
     signed = (
