@@ -68,7 +68,14 @@ def cuttings(points: np.ndarray, random: np.random.Generator, n: int = 3) -> lis
 def fit(train: DataFrame, per_language: int = 800, seed: int = 7):
     """(languages, weights with the frequencies folded in, temperature) from rows (text, lang), or None."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    narrow = train.select("lang", F.xxhash64("text").alias("_h"))
+    totals = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Hashes are even, so a share of their range holds the least ones of a language that has many rows:
+    # few rows a language meet in the window, however many tasks read the table.
+    below = {lang: int(-(2**63) + min(1.0, 8 * per_language / n) * (2**64 - 1)) for lang, n in totals.items()}
+    if not below:
+        return None
+    ceiling = F.element_at(F.create_map(*[F.lit(x) for p in below.items() for x in (p[0], min(p[1], 2**63 - 1))]), F.col("lang"))
+    narrow = train.select("lang", F.xxhash64("text").alias("_h")).filter(F.col("_h") <= ceiling)
     chosen = stored(narrow.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
                     .filter(F.col("_r") <= per_language).groupBy("lang").agg(F.max("_h").alias("_most")))
     limit = {r["lang"]: r["_most"] for r in chosen.collect()}
