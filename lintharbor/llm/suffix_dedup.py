@@ -275,8 +275,10 @@ def repeated_spans(keyed: DataFrame, hot: int = 4096, block_bytes: int = 1 << 19
     """(doc, salt, first, last): stretches of starts of repeated windows, for rows (_doc, _salt, _t)."""
     found = keyed.select("_doc", "_salt", "_t").mapInArrow(_anchored, "gram bigint, ctx bigint, doc bigint, place bigint")
     # Several occurrences, counted with map-side combine; lo = hi: all contexts are equal.
-    grams = (found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-             .filter("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("equal")))
+    # Stored, so that the join reads both sides from shuffles and can split a hot gram.
+    grams = stored(
+        found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
+        .filter("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("equal")))
     shared = stored(found.join(grams, "gram"))
     count = F.shiftright("place", 16).bitwiseAND(0xFF)
     whole = _span(F.col("doc"), F.col("place"), F.lit(0), count - 1)
@@ -288,7 +290,7 @@ def repeated_spans(keyed: DataFrame, hot: int = 4096, block_bytes: int = 1 << 19
     # Equal contexts of a mixed gram are repeated too; the others are compared with one of each kind.
     copies = mixed.join(classes.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select(*whole)
     asked = (
-        classes.join(kinds.filter("least = 1"), "gram")
+        classes.join(stored(kinds.filter("least = 1")), "gram")
         .select(F.col("one.doc").alias("_doc"), F.col("one.place").bitwiseAND(0xFFFF).cast("int").alias("_salt"),
                 F.struct("gram", "n", "one.doc", "one.place", "kinds").alias("_ask"))
         .groupBy("_doc", "_salt").agg(F.collect_list("_ask").alias("_asked")))
