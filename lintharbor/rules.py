@@ -48,11 +48,11 @@ SECRET_RULES = [
     _secret("SEC05", "Stripe Key", "critical", "k_live_ k_test_",
             START + r"[sr]k_(?:live|test)_[0-9A-Za-z]{16}"),
     _secret("SEC06", "SendGrid Key", "high", "SG.",
-            START + r"SG\.[A-Za-z0-9_\-]{16,32}\.[A-Za-z0-9_\-]{16}"),
+            START + r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16}"),
     _secret("SEC07", "Twilio Key", "high", "SK", START + r"SK[0-9a-f]{32}(?:$|[^0-9A-Za-z])"),
     _secret("SEC08", "Mailgun Key", "high", "key-", START + r"key-[0-9a-zA-Z]{32}(?:$|[^0-9A-Za-z])"),
     _secret("SEC09", "Private Key", "critical", "-----BEGIN",
-            r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"),
+            r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
     _secret("SEC10", "MongoDB Connection String", "critical", "mongodb",
             START + r"mongodb(?:\+srv)?://" + USERINFO),
     _secret("SEC11", "MySQL Connection String", "critical", "mysql",
