@@ -102,6 +102,14 @@ def kernel_with(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+def features(words: list[str], landmarks: list[str], root: np.ndarray, some: int = 2000) -> np.ndarray:
+    """Nyström features of the words and a constant one, in blocks."""
+    out = np.ones((len(words), len(landmarks) + 1), dtype=np.float32)
+    for at in range(0, len(words), some):
+        out[at: at + some, :-1] = kernel_with(words[at: at + some], landmarks) @ root
+    return out
+
+
 def landmarks_of(pool: list[str], most: int) -> list[str]:
     """Pivoted Cholesky: each landmark is the word that those before explain least."""
     number, bucket, weight = subsequences(pool)
@@ -133,15 +141,19 @@ def gapped(word: str, random: np.random.Generator) -> str:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20000.0, rounds: int = 25) -> np.ndarray:
     """Linear SVM with squared hinge loss, by Newton steps on the rows inside the margin; the last feature is the bias."""
-    w = np.zeros(x.shape[1])
     weight = 2 * cost * weight / weight.sum()
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     inside = np.ones(len(y), dtype=bool)
     for _ in range(rounds):
-        xi, di = x[inside], weight[inside]
-        w = np.linalg.solve(ridge + (xi * di[:, None]).T @ xi, xi.T @ (di * y[inside]))
-        now = y * (x @ w) < 1
+        square, side = ridge.copy(), np.zeros(x.shape[1])
+        for at in range(0, len(y), 2000):
+            some = np.flatnonzero(inside[at: at + 2000]) + at
+            xi, di = x[some].astype(np.float64), weight[some]
+            square += (xi * di[:, None]).T @ xi
+            side += xi.T @ (di * y[some])
+        w = np.linalg.solve(square, side)
+        now = y * (x @ w.astype(np.float32)) < 1
         if (now == inside).all():
             break
         inside = now
@@ -176,7 +188,7 @@ def worst_words(texts: list[str | None], table: np.ndarray, bias: float, kept: d
     return np.array([max(map(kept.__getitem__, words), default=-1.0) for words in lists])
 
 
-def fit(sample: list[tuple[str, int]], n_landmarks: int = 320, rounds: int = 4, seed: int = 11) -> Model | None:
+def fit(sample: list[tuple[str, int]], n_landmarks: int = 256, rounds: int = 4, seed: int = 11) -> Model | None:
     """From (text, toxic) of the sampled documents."""
     random = np.random.default_rng(seed)
     used: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -189,6 +201,8 @@ def fit(sample: list[tuple[str, int]], n_landmarks: int = 320, rounds: int = 4,
     telling = {w for w, o in odds.items() if o > 3.0}
     if not telling:
         return None
+    clean = [w for w, _ in used[0].most_common()]
+    del used
     witness: Counter = Counter()
     for text, y in sample:
         for sentence in _SPLIT.split(text or "") if y else ():
@@ -196,9 +210,8 @@ def fit(sample: list[tuple[str, int]], n_landmarks: int = 320, rounds: int = 4,
             if inside:
                 witness[max(inside, key=odds.__getitem__)] += 1
     positive = list(witness)
-    clean = [w for w, _ in used[0].most_common()]
     pick = random.permutation(len(clean))
-    negative = [*clean[:2000], *(clean[i] for i in pick[:6000])]
+    negative = [*clean[:1500], *(clean[i] for i in pick[:3500])]
     common = [w for w, _ in witness.most_common(n_landmarks // 4)]
     others = landmarks_of([*positive[:1500], *negative[:1500]], n_landmarks)
     landmarks = list(dict.fromkeys([*common, *others]))[:n_landmarks]
@@ -211,18 +224,19 @@ def fit(sample: list[tuple[str, int]], n_landmarks: int = 320, rounds: int = 4,
     table, bias, seen = np.zeros(1 << BITS), 0.0, set(negative)
     clean_margin = np.zeros(0)
     for _ in range(rounds):
-        x = np.hstack([kernel_with([*varied, *negative], landmarks) @ root, np.ones((len(varied) + len(negative), 1))])
+        x = features([*varied, *negative], landmarks, root)
         y = np.concatenate([np.ones(len(varied)), -np.ones(len(negative))])
         weight = np.concatenate([counted / counted.sum(), np.full(len(negative), 1 / len(negative))])
         w = svm(x, y, weight)
         beta, bias = root @ w[:-1], float(w[-1])
         table = np.zeros(1 << BITS)
         np.add.at(table, lb, lw * beta[ln])
-        clean_margin = np.concatenate([margins(clean[i: i + 20_000], table, bias) for i in range(0, len(clean), 20_000)])
-        hard = [clean[i] for i in np.argsort(-clean_margin)[:3000] if clean[i] not in seen]
+        clean_margin = np.concatenate([margins(clean[i: i + 4000], table, bias) for i in range(0, len(clean), 4000)])
+        hard = [clean[i] for i in np.argsort(-clean_margin)[:1500] if clean[i] not in seen]
         seen.update(hard)
         negative += hard
-    margin = worst_words([t for t, _ in sample], table, bias, {})
+    margin = np.concatenate([
+        worst_words([t for t, _ in sample[i: i + 200]], table, bias, {}) for i in range(0, len(sample), 200)])
     label = np.array([y for _, y in sample])
     cuts = np.unique(np.quantile(margin, np.linspace(0, 1, 400)))
     # A clean document flagged weighs as much as four toxic ones missed.
