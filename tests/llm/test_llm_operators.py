@@ -310,6 +310,43 @@ def test_packing_of_large_histograms_stays_small():
     assert runs[:, 3].max() <= 1.02 * total / 2048
 
 
+@pytest.mark.parametrize("n", [150, 1200, 8000])
+def test_small_tables_are_packed_by_configurations(n):
+    r = np.random.default_rng(n)
+    lengths = np.minimum(2047, r.lognormal(6, 0.8, n).astype(int) + 1)
+    histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
+    runs, by = packing.plan(histogram, 2048)
+    assert by["configurations"] + by["best_fit"] == n
+    assert by["best_fit"] <= len(histogram)
+    assert by["configurations"] > (0.3 if n < 1000 else 0.45) * n
+    assert 1 + runs[:, 3].max() <= 1.01 * -(-int(lengths.sum()) // 2048) + 1
+
+
+def test_what_rounding_leaves_is_bounded_by_the_lengths():
+    histogram = {n: 2_000_000 + 37 * n for n in range(40, 2048, 25)}
+    runs, by = packing.plan(histogram, 2048)
+    assert by["best_fit"] <= len(histogram)
+    assert by["configurations"] + by["best_fit"] == sum(histogram.values())
+    assert len(runs) < 50_000
+
+
+def test_best_fit_by_runs_equals_best_fit_by_piece():
+    r = random.Random(2)
+    for _ in range(50):
+        left = {r.randint(1, 100): r.randint(0, 9) for _ in range(12)}
+        rooms = []
+        for n in sorted(left, reverse=True):
+            for _ in range(left[n]):
+                at = min((k for k in range(len(rooms)) if rooms[k] >= n), key=rooms.__getitem__, default=None)
+                if at is None:
+                    rooms.append(100 - n)
+                else:
+                    rooms[at] -= n
+        found = packing.best_fit(left, 100)
+        assert sorted(100 - sum(n * k for n, k in c) for c, times in found for _ in range(times)) == sorted(rooms)
+    assert sum(times for _, times in packing.best_fit({30: 10**9, 7: 10**9}, 100)) < 4 * 10**8
+
+
 def test_language_of_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet") if (TESTDATA := str(Path(sf).parent)) else None
     found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")
