@@ -2,7 +2,7 @@
 
 A byte-level BPE file splits a text into pieces by a fixed pattern and encodes each piece by itself.
 Pieces repeat, so every Python worker keeps the ids of those it has met; the library encodes only
-new ones. Files of another kind are encoded text by text.
+new ones. Files of another kind, and texts that hold an added token of the file, are encoded text by text.
 """
 
 from __future__ import annotations
@@ -49,12 +49,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         split = parts.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        # A text that holds one of these goes to the library whole.
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._full = None
         if plain and not parts.get("normalizer") and parts["model"]["type"] == "BPE":
             import public_tokenizers
@@ -84,7 +85,7 @@ class Encoder:
         """Ids of one text; none for NULL or an empty one."""
         if not text:
             return np.zeros(0, dtype=self.dtype)
-        if self._full is None:
+        if self._full is None or any(t in text for t in self._added):
             return np.asarray(self._library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
         pattern = self._full if self._odd.search(text) else self._quick
         if len(text) < 4 * _STRIDE:

@@ -232,6 +232,15 @@ def test_pieces_are_encoded_as_whole_texts(ids):
     assert all([*encode(t).tolist(), 0] == ids(t) for t in texts)
 
 
+def test_added_tokens_in_a_text_are_encoded_as_the_library_does(ids):
+    encode = tokens.Encoder(tokens.vocabulary_path())
+    contents = [t.content for t in encode._library.get_added_tokens_decoder().values()]
+    assert contents
+    for c in contents:
+        for text in (c, f"a {c} b", f"{c}{c}\n{BASE}", c[:-1], f"x{c}y \U0001F600"):
+            assert [*encode(text).tolist(), 0] == ids(text)
+
+
 def test_other_vocabularies_are_encoded_text_by_text():
     from tokenizers import Tokenizer
 
