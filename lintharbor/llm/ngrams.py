@@ -11,9 +11,8 @@ ORDERS = (1, 2, 3)
 
 
 def letter_table() -> np.ndarray:
-    """Which 16-bit code points are letters; those beyond count as letters."""
-    table = np.fromiter((chr(c).isalpha() for c in range(0x10000)), dtype=bool, count=0x10000)
-    return table
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -22,7 +21,7 @@ def code_points(text: str) -> np.ndarray:
 
 def letters_only(points: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Code points with each run of other characters as one space."""
-    letter = table[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = table[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     return np.where(letter, points, np.uint32(32))[keep]

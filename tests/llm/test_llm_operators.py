@@ -20,6 +20,7 @@ from lintharbor.llm import (  # noqa: E402
     license_scan,
     linear,
     ngram_join,
+    ngrams,
     packing,
     quality_classifier,
     quality_rules,
@@ -439,6 +440,20 @@ def test_kernel_of_landmarks_equals_the_folded_weights():
     assert abs(toxicity.kernel_with(["grobnik"], ["grobnik"])[0, 0] - 1) < 0.05
 
 
+def test_signs_beyond_16_bits_are_no_letters():
+    table = ngrams.letter_table()
+    text = "\U0001F600 12 \U0001F680\U0001F680!"
+    assert not (ngrams.letters_only(ngrams.code_points(text), table) != 32).any()
+    # Gothic letters are letters.
+    assert (ngrams.letters_only(ngrams.code_points("\U00010330\U00010331"), table) != 32).all()
+
+
+def test_a_text_of_emoji_has_no_language(spark, docs):
+    one = spark.createDataFrame([(1, "\U0001F600 42 \U0001F680"), (2, BASE)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(one, language_id.fit(docs.select("text", F.lit("en").alias("lang")))).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en"
+
+
 def test_quality_views_teach_each_other(spark):
     rows = [(i, prose(40, i) if i % 2 else "### " + prose(5, i) + " $$$", "en", f"s{i % 2}", 200) for i in range(600)]
     docs = spark.createDataFrame(rows + [(900, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
