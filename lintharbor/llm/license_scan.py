@@ -2,8 +2,9 @@
 
 Blocks are the lines of a text that hold a license cue, together with lines between them. A block is
 compressed alone and with each template as a raw zstandard dictionary; what the dictionary saves,
-as a share of the bytes, ranks the templates. The first of the ranking are compared word by word: a
-template is confirmed if the block, or a stretch of it, has the template's words with at most a
+as a share of the bytes, ranks the confirmed templates; in a long block it is taken on the words around
+each cue. All templates that the counts of words do not rule out are compared word by word: a template is
+confirmed if the block, or a stretch of it, has the template's words with at most a
 `tolerance` share of differences and with every telling word (names, versions) in place. The wording
 differences are part of the result.
 
@@ -16,6 +17,8 @@ no rows. Templates are a parameter; `TEMPLATES` are short public notices.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -95,7 +98,7 @@ def differences(template: list[str], block: list[str]) -> tuple[int, list[str],
 class Scanner:
     """Templates as dictionaries. Blocks repeat, so the results of a task's blocks are kept."""
 
-    def __init__(self, templates: Sequence[tuple[str, str, str]], tolerance: float, ranked: int):
+    def __init__(self, templates: Sequence[tuple[str, str, str]], tolerance: float, cue: re.Pattern):
         import zstandard
 
         self._plain = zstandard.ZstdCompressor(level=3)
@@ -103,26 +106,43 @@ class Scanner:
             (name, normal_words(body), set(telling.split()), zstandard.ZstdCompressor(
                 level=3, dict_data=zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
             for name, body, telling in templates]
-        self._tolerance, self._ranked = tolerance, ranked
+        self._counts = [Counter(words) for _, words, _, _ in self._templates]
+        self._reach = int((1 + tolerance) * max((len(words) for _, words, _, _ in self._templates), default=0)) + 1
+        self._tolerance, self._cue = tolerance, cue
         self._kept: dict[str, list[tuple]] = {}
 
+    def _parts(self, block: str) -> list[str]:
+        """The block, and if it is longer than any template around a cue, the words around each cue."""
+        spans = [m.span() for m in _WORD.finditer(block)]
+        parts = {block: None}
+        if len(spans) > 2 * self._reach:
+            starts = [a for a, _ in spans]
+            for m in self._cue.finditer(block):
+                k = bisect_right(starts, m.start()) - 1
+                parts[block[spans[max(0, k - self._reach)][0]: spans[min(len(spans) - 1, k + self._reach)][1]]] = None
+        return list(parts)
+
     def __call__(self, block: str) -> list[tuple]:
         """(license, saving, differing words, missing, added) of each confirmed license, best first."""
         if block in self._kept:
             return self._kept[block]
-        raw, found = block.encode(), []
-        alone, inside = len(self._plain.compress(raw)), normal_words(block)
-        savings = [1 - len(c.compress(raw)) / alone for _, _, _, c in self._templates]
-        order = sorted(range(len(savings)), key=lambda i: (-round(savings[i], 6), i))
-        # Several licenses of one block each need their turn: all that save as much as the last of the ranking.
-        least = savings[order[min(self._ranked, len(order)) - 1]]
-        for i in (i for i in order if savings[i] >= min(least, 0.15)):
-            name, words, telling, _ = self._templates[i]
-            n, missing, added = differences(words, inside)
-            if n <= self._tolerance * len(words) and not telling & set(missing) and telling <= set(inside):
-                found.append((name, savings[i], n, " ".join(missing), " ".join(added)))
+        by_template: dict[int, tuple] = {}
+        for part in self._parts(block):
+            raw, inside = part.encode(), normal_words(part)
+            alone, counted = 0, Counter(inside)
+            for i, (name, words, telling, compressor) in enumerate(self._templates):
+                most = self._tolerance * len(words)
+                # Ruled out for certain: a telling word is not there, or too many words are not.
+                if not telling <= counted.keys() or (self._counts[i] - counted).total() > most:
+                    continue
+                n, missing, added = differences(words, inside)
+                if n <= most and not telling & set(missing):
+                    alone = alone or len(self._plain.compress(raw))
+                    f = (name, 1 - len(compressor.compress(raw)) / alone, n, " ".join(missing), " ".join(added))
+                    if i not in by_template or (n, -f[1]) < (by_template[i][2], -by_template[i][1]):
+                        by_template[i] = f
         best: dict[str, tuple] = {}
-        for f in sorted(found, key=lambda f: (-round(f[1], 6), f[2])):
+        for f in sorted((by_template[i] for i in sorted(by_template)), key=lambda f: (-round(f[1], 6), f[2])):
             best.setdefault(f[0], f)
         if len(self._kept) > 50_000:
             self._kept.clear()
@@ -130,7 +150,7 @@ class Scanner:
         return self._kept[block]
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, tolerance: float = 0.2, ranked: int = 5,
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, tolerance: float = 0.2,
          text: str = "text", cue: str = CUE) -> DataFrame:
     """(doc_id, line, license, saving, n_different, missing_words, added_words), a row per block and confirmed license."""
     kept_templates = list(templates)
@@ -138,7 +158,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES,
     def scanned(batches):
         import pyarrow as pa
 
-        scanner, pattern = Scanner(kept_templates, tolerance, ranked), re.compile(cue)
+        pattern = re.compile(cue)
+        scanner = Scanner(kept_templates, tolerance, pattern)
         names = ["doc_id", "line", "license", "saving", "n_different", "missing_words", "added_words"]
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:

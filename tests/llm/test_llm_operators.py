@@ -488,6 +488,22 @@ def test_licenses_and_their_wording(spark, none):
     assert license_scan.scan(none).collect() == []
 
 
+def test_every_notice_of_a_long_block_is_confirmed(spark):
+    notices = {}
+    for name, body, _ in license_scan.TEMPLATES:
+        notices.setdefault(name, body)
+    block = "\n".join(notices.values())
+    line = prose(15_000, 80) + " All rights reserved. " + prose(15_000, 81)
+    near = prose(1_500, 82) + " released under MIT License " + prose(1_500, 83) + " under the " + prose(50, 84)
+    df = spark.createDataFrame([(1, block), (2, line), (3, near)], "doc_id bigint, text string")
+    got = {}
+    for r in license_scan.scan(df).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r
+    assert set(got[1]) == set(notices)
+    assert set(got[2]) == {"all-rights-reserved"} and got[2]["all-rights-reserved"].n_different == 0
+    assert set(got[3]) == {"MIT"} and got[3]["MIT"].n_different == 1
+
+
 def test_license_candidates_equal_an_exhaustive_comparison(spark, sf):
     """Every block of real rows against every template, without the ranking."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
