@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -89,8 +91,103 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     NOT (base_failed OR coalesce({_verdict()}, false)) AS kept
 FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source"""
 
+_ORDERS = ",".join("".join(p) for p in permutations("ABCDE"))
+_BITS = "(1 << (ascii({}) - 65))"
+
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_words('text')} AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT unnest(string_split('{_ORDERS}', ',')) AS filter_order),
+s AS (SELECT filter_order, step, {_BITS.format('filter_order[step]')} AS own,
+        coalesce(list_sum(list_transform(generate_series(1, step - 1), lambda i: {_BITS.format('filter_order[i]')})), 0) AS earlier
+      FROM o, range(1, 6) r(step))
+SELECT part, filter_order, step::INT AS step,
+    sum(n * (mask & (own | earlier) = 0)::INT)::BIGINT AS kept,
+    sum(n * (mask & own <> 0 AND mask & earlier = 0)::INT)::BIGINT AS removed,
+    sum(n * (mask & own <> 0 AND mask & earlier <> 0)::INT)::BIGINT AS redundant,
+    sum(n * (mask = own)::INT)::BIGINT AS unique_fails,
+    sum(good * (mask & own <> 0 AND mask & earlier = 0)::INT)::BIGINT AS good_lost,
+    sum(toxic * (mask & own <> 0 AND mask & earlier = 0)::INT)::BIGINT AS toxic_lost,
+    sum(CASE WHEN mask & own <> 0 THEN n * (120 // bit_count(mask)) ELSE 0 END)::BIGINT AS shapley
+FROM c, s GROUP BY ALL"""
+
+SOURCE_MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({_words('text')})::BIGINT AS size,
+        md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, '-'), md5(coalesce(text, '')))) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+        [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+p AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS rest,
+        sum(w) OVER after AS weights
+      FROM s WINDOW before AS (ORDER BY 3 * source_size * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        after AS (ORDER BY 3 * source_size * (10 // w), source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+x AS (SELECT *, cap * weights <= rest * w AS is_full FROM p),
+o AS (SELECT arg_max(weights, weights) AS ow, arg_max(rest, weights) AS orest FROM x WHERE NOT is_full),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE orest::DOUBLE * w::DOUBLE / ow::DOUBLE END AS target FROM x, o),
+b AS (SELECT *, floor(target + 0.5)::BIGINT AS budget FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
+k AS (SELECT source, key, any_value(size) AS size, count(*) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY key) - sum(size) AS before
+      FROM d GROUP BY source, key)
+SELECT d.doc_id, d.source, d.size, source_size, target,
+    (epochs * d.size + greatest(0, least(d.size, (budget - epochs * source_size - before) // n)))::BIGINT AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key JOIN e ON d.source IS NOT DISTINCT FROM e.source"""
+
+
+def _framed(columns: list[str]) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+def _climb(start: str, name: str, levels: int) -> str:
+    """Tables of each level (tree, i, h, w), and of its runs (tree, run, w, hs): a tree of one node stays as it is."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT tree, i // 16 AS run, w, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY ALL)")
+        out.append(f"""{name}{k + 1} AS (SELECT tree, run AS i, CASE WHEN w > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h,
+            (w + 15) // 16 AS w FROM {name}r{k})""")
+    return ", ".join(out)
+
+
+def _fold(start: str, name: str, runs: str, tree: str, place: str, levels: int) -> str:
+    """Proof and folded hash of each leaf, level by level over the tables of runs."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        at = f"(({place}) >> {4 * k})"
+        out.append(f"""{name}{k + 1} AS (SELECT x.* EXCLUDE (proof, folded),
+            CASE WHEN w > 1 THEN proof || array_to_string(hs[1:{at} % 16] || hs[{at} % 16 + 2:], '') ELSE proof END AS proof,
+            CASE WHEN w > 1 THEN sha256(array_to_string(hs[1:{at} % 16] || [folded] || hs[{at} % 16 + 2:], '')) ELSE folded END AS folded
+            FROM {name}{k} x JOIN {runs}r{k} r ON {tree} = r.tree AND {at} // 16 = r.run)""")
+    return ", ".join(out)
+
+
+# The reduction reads each byte as an exclusive or, then eight shifts by the polynomial.
+_CRC32 = """(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+# Enough levels for 16 ** 5 rows a source and 16 ** 3 sources.
+MERKLE_MANIFEST = f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, sha256({_framed(_FIELDS)}) AS leaf,
+        CASE WHEN xor({_CRC32.format('doc_id::VARCHAR')}, 4294967295) % 5 = 0
+             THEN sha256({_framed([*_FIELDS[:4], _LOWER])}) END AS changed FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS w FROM d),
+{_climb('SELECT tree, i, leaf AS h, w FROM n', 'a', 5)},
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS w FROM a5),
+{_climb("SELECT '' AS tree, place AS i, subroot AS h, w FROM s", 'b', 3)},
+{_fold("SELECT doc_id, tree, leaf, i, '' AS proof, coalesce(changed, leaf) AS folded FROM n", 'x', 'a', 'x.tree', 'x.i', 5)},
+{_fold("SELECT x5.*, subroot, place FROM x5 JOIN s USING (tree)", 'y', 'b', "''", 'x.place', 3)}
+SELECT doc_id, leaf, subroot, b3.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = b3.h AS verified FROM y3, b3"""
+
 SQL = {
     "op1_ngram_jaccard_join": NGRAM_JOIN,
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op7_quality_rules": QUALITY_RULES,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_source_mixing": SOURCE_MIXING,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     decontamination,
+    filter_audit,
     language_id,
     license_scan,
+    merkle_manifest,
     ngram_join,
     packing,
     quality_classifier,
     quality_rules,
+    source_mixing,
     suffix_dedup,
     token_records,
     toxicity,
@@ -80,6 +83,21 @@ def op10_token_records(spark: SparkSession, sf: str) -> DataFrame:
     return token_records.read_index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes, in every order and for each language."""
+    return filter_audit.audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op12_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix by source weights takes of each document."""
+    return source_mixing.mix(_table(spark, sf, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and checked proof of each document."""
+    return merkle_manifest.manifest(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
@@ -91,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_records": op10_token_records,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
