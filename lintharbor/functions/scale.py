@@ -66,6 +66,29 @@ def number_rows(
     )
 
 
+def dense_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """`df` with `out`, the position from 0 within `group` by `order`, whatever the types of both.
+
+    Rows are sorted by ranges over all tasks. A position is the place within the task's range plus the
+    rows of the group in the ranges before it, of which there are as many as tasks. The sorted rows are
+    stored, so that places cannot change. Rows alike in `order` may change places, group columns that
+    are NULL are equal.
+    """
+    keys = [*group, *order]
+    placed = stored(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)))
+    ranges = placed.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shift = F.sum("_rows").over(before) - F.col("_rows") - F.col("_first")
+    starts = ranges.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), shift.alias("_shift"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return (
+        placed.join(starts, [*same, F.col("_range") == F.col("_r")])
+        .withColumn(out, F.col("_at") + F.col("_shift"))
+        .select(*df.columns, out))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A result several jobs or branches read, kept as reliable checkpoint files.
 

@@ -2,7 +2,7 @@
 
 A rule is a literal pattern in the plan, compiled once per task. Whole texts are tested first;
 only texts with a hit are split into lines, so the explode is paid for a small part of a corpus.
-There is no shuffle and no Python in the path.
+There is no Python in the path, and no shuffle but that of the places of secrets.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintharbor.functions.scale import join_per_project
@@ -53,47 +53,102 @@ def _language_allows(rule: Rule) -> Column:
     return F.col("language").isin(*rule.languages)
 
 
+def _located(rule: Rule) -> str:
+    """The rule's core where its surroundings allow it, without taking them in: neighbours share separators."""
+    before = "(?<![A-Za-z0-9_])" if rule.whole_word else ""
+    after = f"(?![{rule.not_after}])" if rule.not_after else ""
+    return f"{before}(?:{rule.core or rule.pattern}){after}"
+
+
+def secret_matches(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(_line, _at, _rank, _start, _end): every match of every rule, by the position of its characters.
+
+    A match begins behind the texts between the matches of its rule and those matches themselves, so
+    the lengths of both, summed up, are its position. `lines` has `_line`, `_at` and content.
+    """
+    content = F.col("content")
+
+    def lengths(rank: int, rule: Rule) -> Column:
+        # The text behind the last match has no partner.
+        pairs = F.zip_with(F.split(content, _located(rule)), F.regexp_extract_all(content, F.lit(_located(rule)), F.lit(0)),
+                           lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("length")))
+        return F.when(_hit(content, rule), F.transform(pairs, lambda x, k: F.struct(
+            F.lit(rank).alias("_rank"), k.alias("_k"), x["gap"].alias("_gap"), x["length"].alias("_length"))))
+
+    rows = lines.select("_line", "_at", F.inline(F.flatten(F.array_compact(F.array(*[
+        lengths(i, r) for i, r in enumerate(rules)]))))).filter("_length IS NOT NULL")
+    upto = Window.partitionBy("_line", "_rank").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("_gap") + F.col("_length")).over(upto)
+    # All windows that follow are per line, so this is the only shuffle, and the texts do not take part in it.
+    return rows.repartition("_line").select("_line", "_at", "_rank", (end - F.col("_length")).alias("_start"), end.alias("_end"))
+
+
+def without_overlaps(matches: DataFrame, generic: list[int]) -> DataFrame:
+    """Of matches that overlap, those a sweep over (start, longest, rank) meets first; specific rules before generic ones.
+
+    Matches are cut into islands wherever one starts at or behind the end of all before it. Only
+    within an island does the sweep have to look at what it kept.
+    """
+    order = ["_start", F.desc("_end"), "_rank"]
+    reached = F.max("_end").over(Window.partitionBy("_line").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reached.isNull() | (F.col("_start") >= reached), 1).otherwise(0)
+    islands = matches.withColumn("_apart", apart).withColumn(
+        "_island", F.sum("_apart").over(Window.partitionBy("_line").orderBy(*order)))
+    place = F.struct(F.col("_rank").isin(*generic).alias("generic"), F.col("_start").alias("start"),
+                     (-F.col("_end")).alias("turn"), F.col("_rank").alias("rank"))
+    swept = islands.groupBy("_line", "_island").agg(
+        F.first("_at").alias("_at"), F.sort_array(F.collect_list(place)).alias("_all"))
+    free = F.aggregate(
+        "_all", F.slice("_all", 1, 0),
+        lambda kept, m: F.when(
+            F.exists(kept, lambda x: (x["start"] < -m["turn"]) & (m["start"] < -x["turn"])), kept
+        ).otherwise(F.concat(kept, F.array(m))))
+    return swept.select("_line", "_at", F.inline(F.transform(free, lambda x: F.struct(
+        x["rank"].alias("_rank"), x["start"].alias("_start")))))
+
+
 def secret_detection(texts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Redacted secrets of (project, path, …, text): one row per line and rule.
+    """Redacted secrets of (project, path, …, text), each with its `line`, `column` and place `nth` in the line.
 
-    All columns but the text are carried along.
-    Generic rules look at the line with all specific matches cut out, so one secret is not
-    reported twice, and two different secrets on one line both are.
+    All columns but the text are carried along. Matches that overlap are one secret, reported by the
+    specific rule before a generic one, else by the match that starts first, is longest, or whose rule
+    comes first. Secrets beside each other are all reported.
     """
     chosen = SECRET_RULES if rules is None else rules
-    specific = [r for r in chosen if not r.generic]
-    keep = [c for c in texts.columns if c != "text"]
-    lines = explode_lines(texts.filter(_any_hit(F.col("text"), chosen)))
-    content = F.col("content")
-    rest = content
-    # Twice: neighbouring secrets share the character between them, which the first pass consumes.
-    for _ in range(2 if specific else 0):
-        rest = F.regexp_replace(rest, _alternation(specific), " ")
-    hits = F.array_compact(F.array(*[
-        F.when(_hit(F.col("rest") if r.generic else content, r), _rule_struct(r)) for r in chosen]))
+    keep = [c for c in texts.columns if c not in ("text", "line", "column", "nth")]
+    lines = (
+        explode_lines(texts.filter(_any_hit(F.col("text"), chosen)).select(*keep, "text"))
+        .filter(_any_hit(F.col("content"), chosen))
+        .select(F.monotonically_increasing_id().alias("_line"), F.struct(*keep, "line").alias("_at"), "content"))
+    found = without_overlaps(secret_matches(lines, chosen), [i for i, r in enumerate(chosen) if r.generic])
+    nth = F.row_number().over(Window.partitionBy("_line").orderBy("_start"))
+    rule = F.element_at(F.array(*[_rule_struct(r) for r in chosen]), F.col("_rank") + 1)
     return (
-        lines.filter(_any_hit(content, chosen)).withColumn("rest", rest)
-        .select(*keep, "line", F.inline(hits))
-        .select(
-            *keep, "line", "rule_id", "title", "severity",
-            F.lit("[REDACTED]").alias("code"),
-            F.lit("Hardcoded secret detected").alias("description"))
+        found.withColumns({"_nth": nth, "_rule": rule})
+        .select("_at.*", (F.col("_start") + 1).cast("int").alias("column"), F.col("_nth").alias("nth"),
+                "_rule.rule_id", "_rule.title", "_rule.severity",
+                F.lit("[REDACTED]").alias("code"),
+                F.lit("Hardcoded secret detected").alias("description"))
     )
 
 
 def as_findings(hits: DataFrame, tool: str, rules: list[Rule] | None = None) -> DataFrame:
     """Hits of `rules` that carry (project, scan_id, file_no) as findings of the common schema.
 
-    `file_no` numbers the files of a scan; with line and rule it gives each finding its `seq`
-    without any sort. Room is for 2**25 files, 2**28 lines per file and 2**10 rules; a hit beyond
-    that, or of a rule that is not in the list, stops the run instead of sharing another's number.
+    `file_no` numbers the files of a scan (see `scale.dense_numbers`); with line and rule, or the place
+    of a secret in its line, it gives each finding its `seq` without any sort. Room is for 2**25 files,
+    2**28 lines per file and 2**10 rules or secrets a line; a hit beyond that, or of a rule that is not
+    in the list, stops the run instead of sharing another's number.
     """
     known = ALL_RULES if rules is None else rules
     rule_no = F.array_position(F.array(*[F.lit(r.rule_id) for r in known]), F.col("rule_id"))
-    fits = (rule_no.between(1, 2**10 - 1) & F.col("line").between(0, 2**28 - 1)
+    # Files judged as a whole have no line.
+    line = F.col("line") if "line" in hits.columns else F.lit(0)
+    place = F.col("nth") if "nth" in hits.columns else rule_no
+    fits = ((rule_no > 0) & place.between(1, 2**10 - 1) & line.between(0, 2**28 - 1)
             & F.col("file_no").between(0, 2**25 - 1))
     packed = (F.shiftleft(F.col("file_no").cast("bigint"), 38)
-              + F.shiftleft(F.col("line").cast("bigint"), 10) + rule_no)
+              + F.shiftleft(line.cast("bigint"), 10) + place)
     secret = tool == "Secret Scanner"
     absent = F.lit(None)
     values = {
@@ -103,8 +158,9 @@ def as_findings(hits: DataFrame, tool: str, rules: list[Rule] | None = None) ->
         "tool": F.lit(tool), "severity": F.col("severity"),
         "title": F.concat(F.lit("Exposed secret: "), "title") if secret else F.col("title"),
         "description": F.col("description") if secret else F.col("title"),
-        "file": F.col("path"), "line": F.col("line"), "column": absent.cast("int"),
-        "code": F.col("code"),
+        "file": F.col("path"), "line": line,
+        "column": F.col("column") if "column" in hits.columns else absent.cast("int"),
+        "code": F.col("code") if "code" in hits.columns else F.lit(""),
         "fix": F.lit(dict(REMEDIES)["Hardcoded secrets"]) if secret else _remedy(F.col("family")),
         # Secrets are told apart by title, as in the reports of secret scanners.
         "rule_id": absent.cast("string") if secret else F.col("rule_id"),

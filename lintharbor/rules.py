@@ -21,6 +21,9 @@ class Rule:
     keywords: tuple[str, ...] = ()  # every match contains one of these, a cheap pre-check
     generic: bool = False           # yields to specific rules on the same text
     guard: str | None = None        # whole-file rule: reported when the guard is absent
+    core: str = ""                  # the secret itself, without what stands around it
+    whole_word: bool = False        # no letter, digit or `_` stands before the core
+    not_after: str = ""             # class of the characters that may not follow the core
 
 
 START = r"(?:^|[^A-Za-z0-9_])"
@@ -29,49 +32,50 @@ ASSIGN = r"[\"']?\s*[:=]\s*"
 USERINFO = r"[^\s:@/\"'<>{}$]+:[^\s:@/\"'<>{}$]+@"
 
 
-def _secret(rule_id, title, severity, keywords, pattern, generic=False):
-    return Rule(rule_id, title, "Hardcoded secrets", "A07", severity, pattern, (),
-                tuple(keywords.split(" ")), generic)
+def _secret(rule_id, title, severity, keywords, core, whole_word=True, not_after="", generic=False):
+    pattern = (START if whole_word else "") + core + (f"(?:$|[^{not_after}])" if not_after else "")
+    return Rule(rule_id, title, "Hardcoded secrets", "A07", severity, pattern, (), tuple(keywords.split(" ")), generic,
+                core=core, whole_word=whole_word, not_after=not_after)
 
 
 # Specific formats are the vendors' public ones. Generic rules look at names and quoting only.
 # Words come in their usual spellings instead of (?i), so that the literal check covers them.
 SECRET_RULES = [
     _secret("SEC01", "AWS Access Key", "critical", "AKIA ASIA",
-            START + r"(?:AKIA|ASIA)[0-9A-Z]{16}(?:$|[^0-9A-Z])"),
+            r"(?:AKIA|ASIA)[0-9A-Z]{16}", not_after="0-9A-Z"),
     _secret("SEC02", "AWS Secret Key", "critical", "aws AWS Aws",
-            r"(?:aws|AWS|Aws)[A-Za-z_.\-]{0,20}(?:secret|SECRET|Secret|key|KEY|Key)[A-Za-z_.\-]{0,20}"
-            + ASSIGN + QUOTE + r"[A-Za-z0-9/+]{40}" + QUOTE),
+            r"(?:aws|AWS|Aws)[A-Za-z_.\-]*(?:secret|SECRET|Secret|key|KEY|Key)[A-Za-z_.\-]*"
+            + ASSIGN + QUOTE + r"[A-Za-z0-9/+]{40}" + QUOTE, whole_word=False),
     _secret("SEC03", "GitHub Token", "critical", "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_",
-            START + r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22})"),
-    _secret("SEC04", "Google API Key", "high", "AIza", START + r"AIza[0-9A-Za-z_\-]{35}"),
+            r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22})"),
+    _secret("SEC04", "Google API Key", "high", "AIza", r"AIza[0-9A-Za-z_\-]{35}"),
     _secret("SEC05", "Stripe Key", "critical", "k_live_ k_test_",
-            START + r"[sr]k_(?:live|test)_[0-9A-Za-z]{16}"),
+            r"[sr]k_(?:live|test)_[0-9A-Za-z]{16}"),
     _secret("SEC06", "SendGrid Key", "high", "SG.",
-            START + r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16}"),
-    _secret("SEC07", "Twilio Key", "high", "SK", START + r"SK[0-9a-f]{32}(?:$|[^0-9A-Za-z])"),
-    _secret("SEC08", "Mailgun Key", "high", "key-", START + r"key-[0-9a-zA-Z]{32}(?:$|[^0-9A-Za-z])"),
+            r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16}"),
+    _secret("SEC07", "Twilio Key", "high", "SK", r"SK[0-9a-f]{32}", not_after="0-9A-Za-z"),
+    _secret("SEC08", "Mailgun Key", "high", "key-", r"key-[0-9a-zA-Z]{32}", not_after="0-9A-Za-z"),
     _secret("SEC09", "Private Key", "critical", "-----BEGIN",
-            r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
+            r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", whole_word=False),
     _secret("SEC10", "MongoDB Connection String", "critical", "mongodb",
-            START + r"mongodb(?:\+srv)?://" + USERINFO),
+            r"mongodb(?:\+srv)?://" + USERINFO),
     _secret("SEC11", "MySQL Connection String", "critical", "mysql",
-            START + r"mysql(?:\+[a-z0-9]+)?://" + USERINFO),
+            r"mysql(?:\+[a-z0-9]+)?://" + USERINFO),
     _secret("SEC12", "PostgreSQL Connection String", "critical", "postgres",
-            START + r"postgres(?:ql)?(?:\+[a-z0-9]+)?://" + USERINFO),
+            r"postgres(?:ql)?(?:\+[a-z0-9]+)?://" + USERINFO),
     _secret("SEC13", "JWT Token", "high", "eyJ",
-            START + r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+"),
-    _secret("SEC14", "OAuth Token", "high", "ya29.", START + r"ya29\.[0-9A-Za-z_\-]{20}"),
+            r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+"),
+    _secret("SEC14", "OAuth Token", "high", "ya29.", r"ya29\.[0-9A-Za-z_\-]{20}"),
     _secret("SEC15", "Access Token", "high", "token TOKEN Token",
             r"(?:token|TOKEN|Token)" + ASSIGN + QUOTE + r"[0-9A-Za-z_\-./+=]{16,}" + QUOTE,
-            generic=True),
+            whole_word=False, generic=True),
     _secret("SEC16", "Generic API Key", "high", "api API Api",
             r"(?:api|API|Api)[_\-]?(?:key|KEY|Key)[A-Za-z0-9_]*" + ASSIGN + QUOTE
-            + r"[^\s\"'`&{}$<>]{12,}" + QUOTE, generic=True),
+            + r"[^\s\"'`&{}$<>]{12,}" + QUOTE, whole_word=False, generic=True),
     _secret("SEC17", "Password in Code", "high", "passw Passw PASSW pwd PWD Pwd",
             r"(?:password|passwd|Password|Passwd|PASSWORD|PASSWD|pwd|PWD|Pwd)[A-Za-z0-9_]*" + ASSIGN
-            + QUOTE + r"[^\s\"'`&{}$%<>]{4,}" + QUOTE, generic=True),
-    _secret("SEC18", "Password in URL", "high", "://", r"://" + USERINFO, generic=True),
+            + QUOTE + r"[^\s\"'`&{}$%<>]{4,}" + QUOTE, whole_word=False, generic=True),
+    _secret("SEC18", "Password in URL", "high", "://", r"://" + USERINFO, whole_word=False, generic=True),
 ]
 
 PY = ("python",)

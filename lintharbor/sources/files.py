@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import re
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintharbor.functions import text as tx
 from lintharbor.functions.scale import join_per_project
+from lintharbor.sources.walk import contents, walk
 
 # Directory names that are never scanned.
 EXCLUDED_DIRS = [
@@ -29,57 +29,21 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?/*", "/")
 
 
-def hidden_paths(path: str) -> list[str]:
-    """Files below `path` that Spark's listing leaves out: a name on the way starts with `_` or `.`.
+def list_files(spark: SparkSession, path: str, project: str, hidden: bool = True,
+               skip: Collection[str] = tuple(EXCLUDED_DIRS)) -> DataFrame:
+    """Paths below `path`, folder by folder in the tasks; folders named in `skip` are never entered.
 
-    Names only are listed, on the driver, as Spark does for the others.
+    `hidden` keeps the files whose name Spark's own listing leaves out (`__init__.py`, `.env`).
     """
-    from pyarrow import fs
+    roots = spark.createDataFrame([(project, path)], "project string, root string")
+    return walk(roots, skip, hidden).select("project", "root", "path")
 
-    store, base = fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
-    found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-    skipped = re.compile(r"/(?:\.|_(?![^/]*=))")
-    return sorted(f.path for f in found if f.is_file and skipped.search(f.path[len(base.rstrip("/")):]))
 
-
-def _opened(path: str, paths: list[str], project: str, spark: SparkSession) -> DataFrame:
-    """Contents of the given files, read in the tasks."""
-    def contents(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(path if ":" in path else "/")
-        for batch in batches:
-            texts = [store.open_input_stream(p.as_py()).read().decode("utf-8", "replace") for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
-
-    rows = spark.createDataFrame([(project, path, p) for p in paths], FOUND)
-    return rows.repartition(max(1, min(len(paths), 200))).mapInArrow(contents, f"{FOUND}, text string")
-
-
-def list_files(spark: SparkSession, path: str, project: str, hidden: bool = True) -> DataFrame:
-    """Paths below `path`; contents are pruned from the scan and never read.
-
-    `hidden` adds the files Spark leaves out (`__init__.py`, `.env`); the store must then be one
-    that pyarrow opens.
-    """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select(F.lit(project).alias("project"), F.lit(path).alias("root"), plain_path(F.col("path")).alias("path"))
-    )
-    paths = hidden_paths(path) if hidden else []
-    return listed.union(spark.createDataFrame([(project, path, p) for p in paths], FOUND)) if paths else listed
-
-
-def read_text_files(spark: SparkSession, path: str, project: str, hidden: bool = True) -> DataFrame:
-    """Whole text files below `path`, one row each; `hidden` as for `list_files`."""
-    listed = (
-        spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-        .select(F.lit(project).alias("project"), F.lit(path).alias("root"),
-                plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
-    )
-    paths = hidden_paths(path) if hidden else []
-    return listed.union(_opened(path, paths, project, spark)) if paths else listed
+def read_text_files(spark: SparkSession, path: str, project: str, hidden: bool = True,
+                    skip: Collection[str] = tuple(EXCLUDED_DIRS)) -> DataFrame:
+    """Whole text files below `path`, one row each; `hidden` and `skip` as for `list_files`."""
+    roots = spark.createDataFrame([(project, path)], "project string, root string")
+    return contents(walk(roots, skip, hidden)).select("project", "root", "path", "text")
 
 
 def source_texts(texts: DataFrame, exclude: DataFrame | None = None, include: DataFrame | None = None) -> DataFrame:
@@ -118,7 +82,7 @@ def inventory(files: DataFrame) -> DataFrame:
         .withColumn("name", F.substring_index("path", "/", -1))
         # A target that is itself a package.json is no Node project.
         .withColumn("language", F.when(
-            (F.col("path") != F.col("root")) | (F.col("name") != "package.json"),
+            (path != root) | (F.col("name") != "package.json"),
             language_of(F.col("path"))))
         .withColumn("excluded_dir", F.arrays_overlap(
             F.split("rel_path", "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])))

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from lintharbor import schemas
 from lintharbor.functions import text as tx
+from lintharbor.functions.scale import dense_numbers
 from lintharbor.functions.severity import strip
 from lintharbor.sources import reports as rp
 
 
 def load_reports(spark: SparkSession, path: str, tool: str, project: str, scan_id: str,
                  unit: str | None = None) -> DataFrame:
-    """Report files below `path`, one run each, as if the tool had printed them and found issues."""
-    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    name = F.col("_metadata.file_path")
+    """Report files below `path`, one run each, as if the tool had printed them and found issues.
+
+    Runs are numbered from 0 by the names of the files.
+    """
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.lit(project).alias("project"), F.lit(scan_id).alias("scan_id"),
+        F.col("_metadata.file_path").alias("file"), "value")
+    texts = dense_numbers(texts, ["project", "scan_id"], ["file"], "run_no")
     values = {
-        "project": F.lit(project), "scan_id": F.lit(scan_id),
-        # Stable and non-negative; run numbers only have to differ inside a scan.
-        "run_no": F.shiftrightunsigned(F.xxhash64(name), 33), "tool": F.lit(tool),
+        "project": F.col("project"), "scan_id": F.col("scan_id"),
+        "run_no": F.col("run_no"), "tool": F.lit(tool),
         "unit": F.lit(unit).cast("string"), "exit_code": F.lit(1), "stdout": F.col("value"),
         "stderr": F.lit(""), "duration_s": F.lit(0.0), "file_count": F.lit(0),
         "target_exists": F.lit(True), "timed_out": F.lit(False),

@@ -227,15 +227,35 @@ CORPUS = [
 
 
 def secret_hits() -> list[str]:
-    specific = "|".join(f"(?:{r.pattern})" for r in SECRET_RULES if not r.generic)
-    parts = [
-        f"select project, path, cast(line as int) as line, '{r.rule_id}' as rule_id, {lit(r.title)} as title, "
-        f"'{r.severity}' as severity from rest where regexp_matches({'rest' if r.generic else 'content'}, {lit(r.pattern)})"
-        for r in SECRET_RULES]
+    """Every rule tried at every character of a line, then a sweep that takes the first match behind the last one taken."""
+    any_rule = "|".join(f"(?:{r.pattern})" for r in SECRET_RULES)
+
+    def tried(rank: int, r) -> str:
+        core = f"^({r.core})" + (f"(?:$|[^{r.not_after}])" if r.not_after else "")
+        before = " and (s = 0 or not regexp_matches(content[s], '[A-Za-z0-9_]'))" if r.whole_word else ""
+        return (f"select u, project, path, line, s, s + length(regexp_extract(rest, {lit(core)}, 1)) as e, {rank} as rank, "
+                f"{str(r.generic).lower()} as generic from places where regexp_matches(rest, {lit(core)}){before}")
+
+    def sweep(name: str, source: str) -> str:
+        best = f"min(row(c.s, -c.e, c.rank)) as m from {source} c"
+        return (f"{name} as (select u, {best} group by u union all "
+                f"select c.u, {best} join {name} t on c.u = t.u and c.s >= -(t.m[2]) group by c.u)")
+
+    rules = ", ".join(f"({i}, '{r.rule_id}', {lit(r.title)}, '{r.severity}')" for i, r in enumerate(SECRET_RULES))
     return [*CORPUS,
-            f"rest as (select *, regexp_replace(regexp_replace(content, {lit(specific)}, ' ', 'g'), {lit(specific)}, "
-            "' ', 'g') as rest from lines)",
-            "sec as (" + " union all ".join(parts) + ")"]
+            "hit as (select *, row_number() over () as u from lines where "
+            f"regexp_matches(content, {lit(any_rule)}))",
+            "places as (select * exclude (i), i - 1 as s, content[i:] as rest from hit, range(1, length(content) + 1) r(i))",
+            "cand as (" + " union all ".join(tried(i, r) for i, r in enumerate(SECRET_RULES)) + ")",
+            "special as (select * from cand where not generic)",
+            sweep("sure", "special"),
+            "other as (select c.* from cand c where generic and not exists (select 1 from sure t where t.u = c.u "
+            "and c.s < -(t.m[2]) and t.m[1] < c.e))",
+            sweep("rest", "other"),
+            "taken as (select * from sure union all select * from rest)",
+            "sec as (select project, path, cast(line as int) as line, cast(m[1] + 1 as int) as \"column\", "
+            "cast(row_number() over (partition by u order by m[1]) as int) as nth, rule_id, title, severity from taken join hit using (u) "
+            f"join (values {rules}) k(rank, rule_id, title, severity) on k.rank = m[3])"]
 
 
 EXPECTED_POLICY = {
@@ -703,9 +723,10 @@ put("custom_rules", [*FILES, snippet_hits()], """select path, line, rule_id, cas
 # --- detection ---
 put("explode_lines", [], "select doc_id, cast(generate_subscripts(string_split(text, chr(10)), 1) as int) as line, "
     "unnest(string_split(text, chr(10))) as content from documents")
-put("secret_detection", secret_hits(), "select *, '[REDACTED]' as code, 'Hardcoded secret detected' as description from sec")
+SECRETS_FOUND = "with recursive " + ",\n".join(secret_hits())
+SQL["secret_detection"] = f"{SECRETS_FOUND}\nselect *, '[REDACTED]' as code, 'Hardcoded secret detected' as description from sec"
 put("vulnerable_pattern_scan", [*FILES, snippet_hits()], "select project, path, language, line, rule_id, title, owasp, family, "
     "severity from hits")
 SQL["missing_control_scan"] = with_(*FILES) + control_hits()
-put("secret_type_rollup", secret_hits(), "select project, title, count(*) as n_secrets, count(distinct path) as n_files from sec "
-    "group by all")
+SQL["secret_type_rollup"] = (
+    f"{SECRETS_FOUND}\nselect project, title, count(*) as n_secrets, count(distinct path) as n_files from sec group by all")

@@ -1,6 +1,7 @@
 """Files as they lie on disk: hidden names, spellings of the root, documents in several files."""
 
 import json
+import time
 
 import pytest
 from helpers import dicts, findings
@@ -33,7 +34,10 @@ def tree(tmp_path_factory):
 
 @pytest.mark.parametrize("spelling", ["{}", "{}/", "file:{}", "file://{}"])
 def test_all_spellings_of_the_root_list_alike(spark, tree, spelling):
-    inv = files.inventory(files.list_files(spark, spelling.format(tree), "p"))
+    # Excluded folders are not entered; with none to skip, the inventory marks what lies in them.
+    pruned = files.inventory(files.list_files(spark, spelling.format(tree), "p"))
+    assert {r["rel_path"] for r in dicts(pruned)} == {n for n in TREE if not n.startswith("node_modules")}
+    inv = files.inventory(files.list_files(spark, spelling.format(tree), "p", skip=()))
     got = {r["rel_path"]: r["excluded_dir"] for r in dicts(inv)}
     assert got == {n: n.startswith("node_modules") for n in TREE}
     assert dicts(files.dependency_manifests(inv.filter("not excluded_dir")))[0]["manifests"] == ["requirements.txt"]
@@ -49,6 +53,48 @@ def test_detection_reads_hidden_files_and_no_excluded_ones(spark, tree, spelling
         files.read_text_files(spark, spelling.format(tree), "p"), exclude=globs)))} == {"__init__.py"}
 
 
+def test_excluded_folders_are_never_entered(spark, tmp_path):
+    """100,000 files below node_modules: the walk does not even look at the folder."""
+    for i in range(100):
+        folder = tmp_path / "web" / "node_modules" / f"m{i}"
+        folder.mkdir(parents=True)
+        for k in range(1000):
+            (folder / f"f{k}.js").touch()
+    (tmp_path / "web" / "app.js").write_text("run()")
+    (tmp_path / "web" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "empty").mkdir()
+    start = time.time()
+    got = files.list_files(spark, str(tmp_path), "p")
+    assert [r["path"] for r in dicts(got)] == [f"{tmp_path}/web/app.js"]
+    assert time.time() - start < 20
+    (tmp_path / "web" / "node_modules").chmod(0)
+    try:
+        assert files.list_files(spark, str(tmp_path), "p").count() == 1
+    finally:
+        (tmp_path / "web" / "node_modules").chmod(0o755)
+
+
+def test_a_store_that_only_spark_opens(spark, tree):
+    """A mount that tasks cannot open: listed level by level, visible files read by Spark."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.code.link./in", f"file://{tree}")
+    inv = files.inventory(files.list_files(spark, "viewfs://code/in", "p"))
+    assert {r["rel_path"] for r in dicts(inv)} == {n for n in TREE if not n.startswith("node_modules")}
+    read = files.source_texts(files.read_text_files(spark, "viewfs://code/in", "p"))
+    assert {r["rel_path"]: r["text"] for r in dicts(read)} == {
+        n: TREE[n] for n in ("a.py", "requirements.txt", "svc/requirements.txt", "svc/.hidden/c.py", "svc/_gen/d.ts")}
+
+
+def test_roots_that_are_files_or_missing(spark, tree):
+    one = files.inventory(files.list_files(spark, f"file:{tree}/a.py", "p"))
+    assert [(r["rel_path"], r["language"]) for r in dicts(one)] == [("a.py", "python")]
+    (tree.parent / "package.json").write_text("{}")
+    package = files.inventory(files.list_files(spark, f"file:{tree.parent}/package.json", "p"))
+    assert [r["language"] for r in dicts(package)] == [None]
+    with pytest.raises(Exception, match="nowhere"):
+        files.list_files(spark, f"{tree}/nowhere", "p").count()
+
+
 def test_paths_outside_the_root_keep_their_length(spark):
     df = spark.createDataFrame([("p", "/a/b", "/c/node_modules/d.py")], files.FOUND)
     assert dicts(files.inventory(df))[0]["rel_path"] == "/c/node_modules/d.py"
@@ -103,6 +149,10 @@ def test_one_decimal_rounds_as_python_does(spark, x):
 def test_single_quotes_are_no_json(spark):
     from lintharbor.functions.text import is_json
 
-    rows = [("{'a': 1}", False), ("{\"a\": \"it's\"}", True), ("{\"a\": \"\\\"'\"}", True), ("[]", True), ("", False), (None, False)]
+    valid = [
+        {"a": "it's"}, {"a": "\"'"}, {"a": "'\""}, [], {"code": "q = \"select '%s'\" % x"}, {"a": "\\", "b": "'"},
+        {"a": "\\\"'\\", "b'": ["'", "\n'\t"]}, {"deep": [{"x": "c:\\dir\\", "y": "don't \"quote\""}]}, {"long": "\\'\"" * 50_000}]
+    broken = ["{'a': 1}", "{\"a\": 'it\\'s'}", "[\"x\", 'y']", "{\"a\": \"b\\\\\", 'c': 1}", "", "{", "1 2", None]
+    rows = [(json.dumps(v), True) for v in valid] + [(b, False) for b in broken]
     df = spark.createDataFrame([r[:1] for r in rows], "t string")
     assert [r.v for r in df.select(is_json(F.col("t")).alias("v")).collect()] == [r[1] for r in rows]
