@@ -134,17 +134,17 @@ def _local(window_bytes: int):
     """Map stage: masks, and one open row with its text for each distinct text of a window."""
     import pyarrow as pa
 
-    names = ["doc_id", "part", "mask", "n", "open", "text"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string()]
+    names = ["doc_id", "part", "mask", "n", "open", "bytes", "text"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
 
     def closed(trie):
         for end in trie.walk():
             text, mask = end.rows[0][2:]
             for (doc_id, part), n in Counter(row[:2] for row in end.rows).items():
                 if doc_id == end.least:
-                    yield doc_id, part, mask, n, True, text
+                    yield doc_id, part, mask, n, True, len(text.encode()), text
                 else:
-                    yield doc_id, part, mask | DUPLICATE, n, False, None
+                    yield doc_id, part, mask | DUPLICATE, n, False, 0, None
 
     def run(batches):
         trie, held = Trie(), 0
@@ -154,7 +154,7 @@ def _local(window_bytes: int):
                 raw = text.encode()
                 mask = own_mask(raw, len(text))
                 if doc_id is None:
-                    apart.append((None, part, mask, 1, False, None))
+                    apart.append((None, part, mask, 1, False, 0, None))
                     continue
                 trie.insert(raw, doc_id, (doc_id, part, text, mask))
                 held += len(raw) + 64
@@ -204,7 +204,7 @@ def _common(batches):
             ["key", "least", "common", "same"])
 
 
-def with_prefixes(texts: DataFrame, limit: int, step: int = 4, broadcast_rows: int = 10_000) -> DataFrame:
+def with_prefixes(texts: DataFrame, limit: int, step: int = 16, broadcast_rows: int = 10_000) -> DataFrame:
     """`texts` with `key`, a prefix whose texts take at most `limit` bytes, or `least`, the least id of its text.
 
     Longer and longer prefixes are read only of the groups that are still too large: past what all their
@@ -212,7 +212,7 @@ def with_prefixes(texts: DataFrame, limit: int, step: int = 4, broadcast_rows: i
     """
     rows = texts.withColumns({"key": F.substring("text", 1, step), "least": F.lit(None).cast("bigint")})
     while True:
-        sizes = rows.filter("least IS NULL").groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        sizes = rows.filter("least IS NULL").groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         large = stored(sizes.filter((F.col("bytes") > limit) & (F.col("rows") > 1)).select("key"))
         if small(large, 0):
             return rows
@@ -230,15 +230,18 @@ def with_prefixes(texts: DataFrame, limit: int, step: int = 4, broadcast_rows: i
 def fail_masks(docs: DataFrame, part: str = "lang", window_bytes: int = 32 << 20, limit: int = 64 << 20) -> DataFrame:
     """(doc_id, part, mask, n): the filters each document fails, bit i for filter i; `n` rows are alike.
 
-    `window_bytes` bounds the texts a map task holds, `limit` those of one prefix in a reduce task.
+    `window_bytes` bounds the texts a map task holds, `limit` those of one prefix in a reduce task. A
+    prefix does not take more than a shuffle partition's share of all texts either.
     """
     folder = f"{shared_dir(docs.sparkSession)}/audit-{uuid.uuid4().hex}"
     narrow = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
         F.coalesce("text", F.lit("")).alias("text"))
-    narrow.mapInArrow(_local(window_bytes), f"{ROWS}, open boolean, text string").write.parquet(folder)
+    narrow.mapInArrow(_local(window_bytes), f"{ROWS}, open boolean, bytes bigint, text string").write.parquet(folder)
     written = docs.sparkSession.read.parquet(folder)
-    texts = with_prefixes(written.filter("open").select("doc_id", "part", "mask", "n", "text"), limit)
+    total = written.filter("open").agg(F.sum("bytes")).first()[0] or 0
+    share = total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    texts = with_prefixes(written.filter("open").select("doc_id", "part", "mask", "n", "text", "bytes"), min(limit, share))
     known = texts.filter("least IS NOT NULL").select(
         "doc_id", "part", F.when(F.col("doc_id") > F.col("least"), F.col("mask").bitwiseOR(DUPLICATE)).otherwise(F.col("mask")).alias("mask"), "n")
     ranged = (
