@@ -100,6 +100,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that `stored` writes to, for tables of other shapes."""
+    set_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:

@@ -61,11 +61,12 @@ def _located(rule: Rule) -> str:
 
 
 def secret_matches(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(_line, _at, _rank, _start, _end): every match of every rule, by the position of its characters.
+    """(_line, …, _rank, _start, _end): every match of every rule, by the position of its characters.
 
     A match begins behind the texts between the matches of its rule and those matches themselves, so
-    the lengths of both, summed up, are its position. `lines` has `_line`, `_at` and content.
+    the lengths of both, summed up, are its position. `lines` has `_line`, content and what is carried along.
     """
+    carried = [c for c in lines.columns if c != "content"]
     content = F.col("content")
 
     def lengths(rank: int, rule: Rule) -> Column:
@@ -75,15 +76,15 @@ def secret_matches(lines: DataFrame, rules: list[Rule]) -> DataFrame:
         return F.when(_hit(content, rule), F.transform(pairs, lambda x, k: F.struct(
             F.lit(rank).alias("_rank"), k.alias("_k"), x["gap"].alias("_gap"), x["length"].alias("_length"))))
 
-    rows = lines.select("_line", "_at", F.inline(F.flatten(F.array_compact(F.array(*[
+    rows = lines.select(*carried, F.inline(F.flatten(F.array_compact(F.array(*[
         lengths(i, r) for i, r in enumerate(rules)]))))).filter("_length IS NOT NULL")
     upto = Window.partitionBy("_line", "_rank").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("_gap") + F.col("_length")).over(upto)
     # All windows that follow are per line, so this is the only shuffle, and the texts do not take part in it.
-    return rows.repartition("_line").select("_line", "_at", "_rank", (end - F.col("_length")).alias("_start"), end.alias("_end"))
+    return rows.repartition("_line").select(*carried, "_rank", (end - F.col("_length")).alias("_start"), end.alias("_end"))
 
 
-def without_overlaps(matches: DataFrame, generic: list[int]) -> DataFrame:
+def without_overlaps(matches: DataFrame, generic: list[int], carried: list[str]) -> DataFrame:
     """Of matches that overlap, those a sweep over (start, longest, rank) meets first; specific rules before generic ones.
 
     Matches are cut into islands wherever one starts at or behind the end of all before it. Only
@@ -97,13 +98,13 @@ def without_overlaps(matches: DataFrame, generic: list[int]) -> DataFrame:
     place = F.struct(F.col("_rank").isin(*generic).alias("generic"), F.col("_start").alias("start"),
                      (-F.col("_end")).alias("turn"), F.col("_rank").alias("rank"))
     swept = islands.groupBy("_line", "_island").agg(
-        F.first("_at").alias("_at"), F.sort_array(F.collect_list(place)).alias("_all"))
+        *[F.first(c).alias(c) for c in carried], F.sort_array(F.collect_list(place)).alias("_all"))
     free = F.aggregate(
         "_all", F.slice("_all", 1, 0),
         lambda kept, m: F.when(
             F.exists(kept, lambda x: (x["start"] < -m["turn"]) & (m["start"] < -x["turn"])), kept
         ).otherwise(F.concat(kept, F.array(m))))
-    return swept.select("_line", "_at", F.inline(F.transform(free, lambda x: F.struct(
+    return swept.select("_line", *carried, F.inline(F.transform(free, lambda x: F.struct(
         x["rank"].alias("_rank"), x["start"].alias("_start")))))
 
 
@@ -119,13 +120,16 @@ def secret_detection(texts: DataFrame, rules: list[Rule] | None = None) -> DataF
     lines = (
         explode_lines(texts.filter(_any_hit(F.col("text"), chosen)).select(*keep, "text"))
         .filter(_any_hit(F.col("content"), chosen))
-        .select(F.monotonically_increasing_id().alias("_line"), F.struct(*keep, "line").alias("_at"), "content"))
-    found = without_overlaps(secret_matches(lines, chosen), [i for i, r in enumerate(chosen) if r.generic])
+        .select(F.monotonically_increasing_id().alias("_line"), "content",
+                *[F.col(c).alias(f"_c{i}") for i, c in enumerate([*keep, "line"])]))
+    # Columns are carried one by one, so that those nobody asks for are not even read.
+    carried = [f"_c{i}" for i in range(len(keep) + 1)]
+    found = without_overlaps(secret_matches(lines, chosen), [i for i, r in enumerate(chosen) if r.generic], carried)
     nth = F.row_number().over(Window.partitionBy("_line").orderBy("_start"))
     rule = F.element_at(F.array(*[_rule_struct(r) for r in chosen]), F.col("_rank") + 1)
     return (
         found.withColumns({"_nth": nth, "_rule": rule})
-        .select("_at.*", (F.col("_start") + 1).cast("int").alias("column"), F.col("_nth").alias("nth"),
+        .select(*[F.col(c).alias(n) for c, n in zip(carried, [*keep, "line"])], (F.col("_start") + 1).cast("int").alias("column"), F.col("_nth").alias("nth"),
                 "_rule.rule_id", "_rule.title", "_rule.severity",
                 F.lit("[REDACTED]").alias("code"),
                 F.lit("Hardcoded secret detected").alias("description"))
@@ -136,7 +140,7 @@ def as_findings(hits: DataFrame, tool: str, rules: list[Rule] | None = None) ->
     """Hits of `rules` that carry (project, scan_id, file_no) as findings of the common schema.
 
     `file_no` numbers the files of a scan (see `scale.dense_numbers`); with line and rule, or the place
-    of a secret in its line, it gives each finding its `seq` without any sort. Room is for 2**25 files,
+    of a secret in its line, it gives each finding its `seq` without any sort. Room is for 2**24 files,
     2**28 lines per file and 2**10 rules or secrets a line; a hit beyond that, or of a rule that is not
     in the list, stops the run instead of sharing another's number.
     """
@@ -146,7 +150,7 @@ def as_findings(hits: DataFrame, tool: str, rules: list[Rule] | None = None) ->
     line = F.col("line") if "line" in hits.columns else F.lit(0)
     place = F.col("nth") if "nth" in hits.columns else rule_no
     fits = ((rule_no > 0) & place.between(1, 2**10 - 1) & line.between(0, 2**28 - 1)
-            & F.col("file_no").between(0, 2**25 - 1))
+            & F.col("file_no").between(0, 2**24 - 1))
     packed = (F.shiftleft(F.col("file_no").cast("bigint"), 38)
               + F.shiftleft(line.cast("bigint"), 10) + place)
     secret = tool == "Secret Scanner"

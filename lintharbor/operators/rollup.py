@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintharbor import schemas
 from lintharbor.functions import severity as sev
 from lintharbor.functions import text as tx
-from lintharbor.functions.scale import first_per_key
+from lintharbor.functions.scale import first_per_key, join_per_project
+from lintharbor.operators.registry import TOOLS, Tool, scan_label, scan_name, scan_order  # noqa: F401
+from lintharbor.sources import report_pass as rpp
 from lintharbor.sources import reports as rp
-from lintharbor.sources import runs as rn
 
 KEYS = schemas.SCAN_KEYS
 
@@ -91,34 +94,25 @@ def taint_count(items: DataFrame) -> DataFrame:
     return items.groupBy(*KEYS).agg(F.count_if("is_taint_finding").alias("taint_findings"))
 
 
-def semgrep_multi_config(runs: DataFrame) -> DataFrame:
-    """Runs of several rule sets over one target as one result.
+def semgrep_multi_config(tagged: DataFrame) -> DataFrame:
+    """Runs of several rule sets over one target as one result, in counts.
 
-    Findings are unique by file, line and rule (no tool), paths are counted once, errors of
-    missing tools are dropped. `n_errors` counts the errors the result lists, at most ten a run,
+    `tagged` is a written report pass; `report_pass.merged_flow` gives the findings, paths and errors
+    that are counted here. `n_errors` counts the errors the result lists, at most ten a run,
     `n_errors_total` all of them.
     """
-    n = rn.n_errors(F.col("stdout"))
-    ok = rn.tool_failure().isNull()
-    done = runs.filter((F.col("tool") == "Semgrep") & ok)
-    first = first_per_key(
-        rp.read_semgrep_fields(done, "severity", "file", "line", "rule_id")
-        .withColumn("seq", F.col("run_no") * F.lit(2**32) + F.col("pos"))
-        .select(*KEYS, "seq", "severity", F.concat(
-            "file", F.lit(":"), F.col("line").cast("string"), F.lit(":"), "rule_id").alias("fp")),
-        [*KEYS, "fp"])
-    found = semgrep_breakdown(first, KEYS).withColumn(
+    merged, _, _ = rpp.merged_flow(tagged)
+    found = semgrep_breakdown(merged, KEYS).withColumn(
         "total_issues", F.col("critical") + F.col("high") + F.col("medium") + F.col("low"))
-    paths = rp.scanned_paths(done).groupBy(*KEYS).agg(
+    rows = tagged.filter(F.col("tool") == "Semgrep")
+    paths = rpp.of_kind(rows.filter("failure IS NULL"), "path").groupBy(*KEYS).agg(
         F.count_distinct("path").alias("files_scanned"))
-
-    failed = ~ok & ~F.coalesce(rn.tool_failure().contains("not installed"), F.lit(False))
-    errors = (
-        runs.filter(F.col("tool") == "Semgrep").groupBy(*KEYS)
-        .agg(F.sum(F.when(ok, F.least(n, F.lit(10))).when(failed, 1).otherwise(0)).alias("n_errors"),
-             F.sum(F.when(ok, n).when(failed, 1).otherwise(0)).alias("n_errors_total")))
-
-    # `errors` has a row for every scan with a run, clean or not.
+    ok, n = F.col("failure").isNull(), F.col("n_errors")
+    failed = ~ok & ~F.col("failure").contains("not installed")
+    # A row for every scan with a run, clean or not.
+    errors = rpp.of_kind(rows, "run").groupBy(*KEYS).agg(
+        F.sum(F.when(ok, F.least(n, F.lit(10))).when(failed, 1).otherwise(0)).alias("n_errors"),
+        F.sum(F.when(ok, n).when(failed, 1).otherwise(0)).alias("n_errors_total"))
     return errors.join(found, KEYS, "left").join(paths, KEYS, "left").fillna(0)
 
 
@@ -138,55 +132,61 @@ def secret_and_dependency_counts(findings: DataFrame) -> DataFrame:
         F.count_if(F.col("tool").isin("pip-audit", "npm audit")).alias("outdated_dependencies"))
 
 
-# Display names of the scans, in plan order.
-SCAN_NAMES = [
-    ("Bandit", "Python (Bandit)"),
-    ("pip-audit", "Python Dependencies (pip-audit)"),
-    ("ESLint", "JavaScript (ESLint)"),
-    ("Secret Scanner", "Secrets Detection"),
-    ("Semgrep", "Semgrep SAST"),
-    ("npm audit", "Dependencies (npm audit)"),
-]
-ESLINT_WITH_TYPESCRIPT = "JavaScript/TypeScript (ESLint)"
-
-
-def scan_label(has_typescript: Column) -> Column:
-    return F.when(has_typescript, ESLINT_WITH_TYPESCRIPT).otherwise("JavaScript (ESLint)")
-
+def elapsed(runs: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """Seconds in which at least one run of a scan was under way: runs that overlap count once.
 
-def scan_name(tool: Column, has_typescript: Column) -> Column:
-    chain = F.when(tool == "ESLint", scan_label(has_typescript))
-    for name, label in SCAN_NAMES:
-        if name != "ESLint":
-            chain = chain.when(tool == name, label)
-    return chain
-
-
-def scan_order(tool: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(n) for n, _ in SCAN_NAMES]), tool)
-
-
-def run_facts(runs: DataFrame) -> DataFrame:
-    """Run-level facts per scan in one aggregation: names, files and seconds."""
+    `runs` has started_at and ended_at; runs without both count nothing. Runs are cut at the borders of
+    buckets of time, so that a long scan with very many runs is merged by many tasks: within a bucket, a
+    run adds what lies behind the latest end of all runs that began before it.
+    """
+    begin, end = (F.col(c).cast("timestamp").cast("double") for c in ("started_at", "ended_at"))
+    spans = runs.select(*KEYS, begin.alias("_a"), end.alias("_b")).filter("_b > _a")
+    cut = (
+        spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / bucket_s), F.floor(F.col("_b") / bucket_s))))
+        .withColumns({"_a": F.greatest("_a", F.col("_bucket") * bucket_s),
+                      "_b": F.least("_b", (F.col("_bucket") + 1) * bucket_s)}))
+    before = Window.partitionBy(*KEYS, "_bucket").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    behind = F.greatest("_a", F.coalesce(F.max("_b").over(before), F.col("_a")))
+    return cut.withColumn("_new", F.greatest(F.lit(0.0), F.col("_b") - behind)).groupBy(*KEYS).agg(
+        F.sum("_new").alias("elapsed_s"))
+
+
+def run_facts(runs: DataFrame, languages: DataFrame | None = None, tools: Sequence[Tool] = TOOLS) -> DataFrame:
+    """Run-level facts per scan: names, files and seconds.
+
+    `runs` is a run table or the run rows of a report pass. `languages` (project, typescript) says which
+    projects hold TypeScript; without it the files the script scanner was given do. `duration_s` adds up
+    the seconds of all runs, `elapsed_s` is the time they took together where runs say when they ran.
+    """
     tool = F.col("tool")
+    known = [t.name for t in tools if t.label]
     ran = F.collect_set(F.when(
-        tool.isin(*[n for n, _ in SCAN_NAMES]), F.struct(scan_order(tool).alias("o"), tool.alias("t"))))
+        tool.isin(*known), F.struct(scan_order(tool, tools).alias("o"), tool.alias("t"))))
     has_ts = F.bool_or((tool == "ESLint") & F.col("unit").rlike(r"\.tsx?$"))
+    n_paths = F.col("n_paths") if "n_paths" in runs.columns else rp.n_scanned_paths(F.col("stdout"))
     per_run = (
         F.when(tool.isin("Bandit", "ESLint"), F.coalesce("file_count", F.lit(0)))
-        .when(tool == "Semgrep", rp.n_scanned_paths(F.col("stdout"))).otherwise(0))
+        .when(tool == "Semgrep", n_paths).otherwise(0))
     facts = runs.groupBy(*KEYS).agg(
         F.sort_array(ran).alias("ran"), F.coalesce(has_ts, F.lit(False)).alias("has_ts"),
         F.sum(F.when(rp.succeeded(F.col("exit_code")), per_run).otherwise(0)).alias("files_scanned"),
         F.sum("duration_s").alias("duration_s"))
-    names = F.transform("ran", lambda x: scan_name(x["t"], F.col("has_ts")))
+    if languages is not None:
+        flags = languages.groupBy("project").agg(F.bool_or("typescript").alias("_ts"))
+        facts = join_per_project(facts, flags, ["project"], "left", spread_by=["scan_id"]).withColumn(
+            "has_ts", F.coalesce("_ts", F.lit(False))).drop("_ts")
+    if {"started_at", "ended_at"} <= set(runs.columns):
+        facts = facts.join(elapsed(runs), KEYS, "left").fillna(0.0, ["elapsed_s"])
+    else:
+        facts = facts.withColumn("elapsed_s", F.col("duration_s"))
+    names = F.transform("ran", lambda x: scan_name(x["t"], F.col("has_ts"), tools))
     return facts.select(*KEYS, F.size("ran").alias("n_scans"), names.alias("scans_performed"),
-                        "files_scanned", "duration_s")
+                        "files_scanned", "duration_s", "elapsed_s")
 
 
-def scans_performed(runs: DataFrame) -> DataFrame:
-    """Names of the scans that ran, failed ones included, each once (there are six at most)."""
-    return run_facts(runs).select(*KEYS, "n_scans", "scans_performed")
+def scans_performed(runs: DataFrame, languages: DataFrame | None = None, tools: Sequence[Tool] = TOOLS) -> DataFrame:
+    """Names of the scans that ran, failed ones included, each once."""
+    return run_facts(runs, languages, tools).select(*KEYS, "n_scans", "scans_performed")
 
 
 def total_issues(findings: DataFrame) -> DataFrame:

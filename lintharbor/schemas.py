@@ -7,6 +7,7 @@ SCAN_RUNS = (
     "exit_code int, stdout string, stderr string, duration_s double, file_count int, "
     "target_exists boolean, timed_out boolean"
 )
+# A run table may say when each run began and ended: started_at timestamp, ended_at timestamp.
 
 # One row per finding. NULL means "key absent", '' means "present but empty".
 FINDINGS = (
@@ -60,6 +61,7 @@ SEMGREP_RESULT = (
 SEMGREP_REPORT = f"results array<{SEMGREP_RESULT}>"
 SEMGREP_PATHS = "paths struct<scanned:array<string>>"
 SEMGREP_ERRORS = "errors array<struct<message:string,path:string>>"
+SEMGREP_WHOLE = f"{SEMGREP_REPORT}, {SEMGREP_PATHS}, {SEMGREP_ERRORS}"
 TRACE = "taint_source string, taint_sink string"
 TRACE_END = "location struct<path:string,start:struct<line:int>>, content string"
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintharbor.schemas import SCAN_KEYS
+from lintharbor.sinks.single_file import write_files
 
 CHUNK_BITS = 10
 PIECE_KEYS = [*SCAN_KEYS, "slot", "section", "chunk"]
@@ -51,8 +52,28 @@ def frame_pieces(rows: DataFrame, *pieces: tuple[Column | int, int, Column]) ->
     return rows.select(*SCAN_KEYS, F.inline(F.array(*structs)))
 
 
+def folder_of_scan() -> Column:
+    """Folder of a scan below the output of a format, spelled as Spark spells partition folders."""
+    def safe(name: str) -> Column:
+        # Whatever a path or a partition name could misread is written as %XX.
+        return F.regexp_replace(F.url_encode(F.col(name)), r"\+", "%20")
+
+    return F.concat(F.lit("project="), safe("project"), F.lit("/scan_id="), safe("scan_id"))
+
+
+def write_named_documents(pieces: DataFrame, names: DataFrame, path: str) -> None:
+    """One file per scan, `project=…/scan_id=…/<file>`, under the name in `names` (project, scan_id, file).
+
+    A scan written again replaces its file. Pieces are built by all tasks; the bytes of a document are
+    then appended by one.
+    """
+    named = pieces.join(names.select(*SCAN_KEYS, "file"), SCAN_KEYS).select(
+        folder_of_scan().alias("folder"), "file", "slot", "section", "chunk", "text")
+    write_files(named, path, ["slot", "section", "chunk"])
+
+
 def write_documents(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per scan; its files in name order hold the document.
+    """One folder per scan; its files in name order hold the document. For documents too large for one writer.
 
     Range partitioning on the piece key spreads a large scan over several tasks and files. The
     writer keeps this sort because it starts with the folder columns. Were one of them a constant,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,17 +11,10 @@ from pyspark.sql import functions as F
 from lintharbor.functions import severity as sev
 from lintharbor.functions import text as tx
 from lintharbor.functions.scale import first_per_key
+from lintharbor.operators.registry import TOOLS, Tool, last_rank, run_name, run_rank, run_version
 from lintharbor.schemas import SCAN_KEYS
 from lintharbor.sinks import pieces as pc
 
-# Run order, names and versions, and the tools each run takes.
-RUNS = [
-    (1, "Bandit", "1.7.5", ["Bandit"]),
-    (2, "ESLint Security", "1.0.0", ["ESLint", "ESLint Security", "npm audit"]),
-    (3, "Secret Scanner", "1.0.0", ["Secret Scanner"]),
-    (4, "Semgrep", "1.0.0", ["Semgrep"]),
-    (5, "pip-audit", "1.0.0", ["pip-audit"]),
-]
 SCHEMA_URI = (
     "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 )
@@ -30,23 +24,10 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def _by_run(value: Column, index: int) -> Column:
-    chain = F.when(F.lit(False), F.lit(None))
-    for run in RUNS:
-        chain = chain.when(value == run[0], F.lit(run[index]))
-    return chain
-
-
-def run_rank(tool: Column) -> Column:
-    """Number of the run a tool belongs to; NULL for other tools."""
-    return reduce(lambda c, r: c.when(tool.isin(*r[3]), r[0]), RUNS[1:],
-                  F.when(tool.isin(*RUNS[0][3]), RUNS[0][0]))
-
-
-def tool_partition(findings: DataFrame) -> DataFrame:
-    """Findings with their run; tools that belong to no run are dropped."""
-    ranked = findings.withColumn("run_rank", run_rank(F.col("tool"))).filter("run_rank is not null")
-    return ranked.withColumn("run_name", _by_run(F.col("run_rank"), 1))
+def tool_partition(findings: DataFrame, tools: Sequence[Tool] = TOOLS) -> DataFrame:
+    """Findings with their run; tools that nobody registered are dropped."""
+    ranked = findings.withColumn("run_rank", run_rank(F.col("tool"), tools)).filter("run_rank is not null")
+    return ranked.withColumn("run_name", run_name(F.col("run_rank"), tools))
 
 
 def rule_key(findings: DataFrame) -> Column:
@@ -63,9 +44,9 @@ def snippet(code: Column) -> Column:
     return F.when((code != "") & (code != "[REDACTED]"), code)
 
 
-def sarif_results(findings: DataFrame, root: Column) -> DataFrame:
+def sarif_results(findings: DataFrame, root: Column, tools: Sequence[Tool] = TOOLS) -> DataFrame:
     """One result per finding of a known tool, as columns."""
-    runs = tool_partition(findings)
+    runs = tool_partition(findings, tools)
     return runs.select(
         *[c for c in (*SCAN_KEYS, "seq", "run_rank", "run_name") if c in runs.columns],
         rule_key(runs).alias("rule_key"),
@@ -93,9 +74,9 @@ def result_json() -> Column:
         F.array(place).alias("locations")))
 
 
-def sarif_rules(findings: DataFrame) -> DataFrame:
+def sarif_rules(findings: DataFrame, tools: Sequence[Tool] = TOOLS) -> DataFrame:
     """One rule per run and rule id, described by its first finding."""
-    runs = tool_partition(findings)
+    runs = tool_partition(findings, tools)
     runs = runs.withColumn("rule_key", rule_key(runs))
     first = first_per_key(runs, [*SCAN_KEYS, "run_rank", "rule_key"])
     text = F.coalesce("description", F.lit("Security vulnerability detected"))
@@ -128,16 +109,16 @@ def rule_json() -> Column:
 
 def sarif_document(findings: DataFrame, scans: DataFrame, root: Column,
                    information_uri: str | None = None,
-                   chunk_bits: int = pc.CHUNK_BITS) -> DataFrame:
+                   chunk_bits: int = pc.CHUNK_BITS, tools: Sequence[Tool] = TOOLS) -> DataFrame:
     """SARIF documents as pieces, one document per scan of `scans` (project, scan_id).
 
     `findings` is read more than once: pass a stored table. Slots are tool runs; inside a run come
     the opening (0), rules (1), the turn to results (2), results (3) and the end (4).
     """
-    results = sarif_results(findings, root).withColumn("text", result_json())
-    rules = sarif_rules(findings).withColumn("text", rule_json())
+    results = sarif_results(findings, root, tools).withColumn("text", result_json())
+    rules = sarif_rules(findings, tools).withColumn("text", rule_json())
 
-    present = tool_partition(findings).groupBy(*SCAN_KEYS).agg(
+    present = tool_partition(findings, tools).groupBy(*SCAN_KEYS).agg(
         F.sort_array(F.collect_set("run_rank")).alias("runs"))
     all_scans = scans.select(*SCAN_KEYS).distinct().join(present, SCAN_KEYS, "left")
     per_run = all_scans.select(*SCAN_KEYS, "runs", F.explode("runs").alias("run"))
@@ -146,13 +127,13 @@ def sarif_document(findings: DataFrame, scans: DataFrame, root: Column,
     uri = F.lit("" if information_uri is None else f',"informationUri":"{information_uri}"')
     opening = F.concat(
         F.when(is_first, "").otherwise(","),
-        F.lit('{"tool":{"driver":{"name":"'), _by_run(run, 1), F.lit('","version":"'),
-        _by_run(run, 2), F.lit('"'), uri, F.lit(',"rules":['))
+        F.lit('{"tool":{"driver":{"name":"'), run_name(run, tools), F.lit('","version":"'),
+        run_version(run, tools), F.lit('"'), uri, F.lit(',"rules":['))
     parts = [
         pc.frame_pieces(
             all_scans,
             (0, 0, F.lit(f'{{"$schema":"{SCHEMA_URI}","version":"2.1.0","runs":[')),
-            (len(RUNS) + 1, 0, F.lit("]}"))),
+            (last_rank(tools) + 1, 0, F.lit("]}"))),
         pc.frame_pieces(per_run, (run, 0, opening), (run, 2, F.lit(']}},"results":[')),
                         (run, 4, F.lit("]}"))),
         pc.chunk_pieces(rules.withColumnRenamed("run_rank", "slot"), 1, chunk_bits=chunk_bits),

@@ -253,6 +253,10 @@ def _trace_end(raw: Column) -> Column:
 
 
 def semgrep_items(stdout: Column, unit: Column, only: Collection[str] = ()) -> Column:
+    return semgrep_flat(F.from_json(stdout, schemas.SEMGREP_REPORT)["results"], only)
+
+
+def semgrep_flat(results: Column, only: Collection[str] = ()) -> Column:
     """Findings flattened to 19 fields plus the two optional data-flow ends.
 
     Polymorphic fields are parsed here, once per finding; everything derived from them refers to
@@ -286,7 +290,7 @@ def semgrep_items(stdout: Column, unit: Column, only: Collection[str] = ()) -> C
             "taint_sink": F.when(trace.isNotNull(), _trace_end(ends["taint_sink"])),
         }.items() if not only or n in only])
 
-    return F.transform(F.from_json(stdout, schemas.SEMGREP_REPORT)["results"], parsed)
+    return F.transform(results, parsed)
 
 
 def semgrep_finding(f: Column, pos: Column) -> Column:
@@ -385,7 +389,7 @@ def succeeded(exit_code: Column) -> Column:
     return F.coalesce(exit_code.isin(0, 1), F.lit(False))
 
 
-def _as_findings(exploded: DataFrame) -> DataFrame:
+def as_findings(exploded: DataFrame) -> DataFrame:
     f = F.col("f")
     plain = [n for n in schemas.FINDING_COLUMNS if n not in ("project", "scan_id", "seq", "tool",
                                                              "severity")]
@@ -403,18 +407,22 @@ def tool_findings(runs: DataFrame, tool: str,
                   readers: dict[str, tuple[Items, ToFinding]] | None = None) -> DataFrame:
     """Findings of one tool, whatever the run's outcome."""
     items, to_finding = (READERS if readers is None else readers)[tool]
-    return _as_findings(_explode_items(runs, tool, items).select(
+    return as_findings(_explode_items(runs, tool, items).select(
         *RUN_KEYS, F.lit(tool).alias("tool"), to_finding(F.col("item"), F.col("pos")).alias("f")))
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:
-    """Bag union; columns a part lacks are absent (NULL)."""
+    """Bag union of tables; columns a part lacks are absent (NULL).
+
+    The findings of several tools in one run table need no union: `findings_from_runs` reads it once.
+    """
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def findings_from_runs(runs: DataFrame,
-                       readers: dict[str, tuple[Items, ToFinding]] | None = None) -> DataFrame:
-    """Findings of all successful runs in one pass over the run table."""
+                       readers: dict[str, tuple[Items, ToFinding]] | None = None,
+                       any_outcome: bool = False) -> DataFrame:
+    """Findings of all successful runs, or of all runs, in one pass over the run table."""
     stdout, unit = F.col("stdout"), F.col("unit")
 
     def branch(items: Items, to_finding: ToFinding) -> Column:
@@ -424,6 +432,6 @@ def findings_from_runs(runs: DataFrame,
         lambda c, kv: c.when(F.col("tool") == kv[0], branch(*kv[1])),
         (READERS if readers is None else readers).items(),
         F.when(F.lit(False), F.lit(None).cast(f"array<{schemas.FINDING_ITEM}>")))
-    return _as_findings(
-        runs.filter(F.col("exit_code").isin(0, 1))
+    return as_findings(
+        (runs if any_outcome else runs.filter(F.col("exit_code").isin(0, 1)))
         .select(*RUN_KEYS, "tool", F.explode(chosen).alias("f")))

@@ -40,8 +40,10 @@ def report_error() -> Column:
 def scan_envelope(runs: DataFrame) -> DataFrame:
     """One status row per run. Bad JSON keeps the raw text and does not fail the run."""
     blank = strip(F.col("stdout")) == ""
-    valid = tx.is_json(F.col("stdout"))
-    kind = F.when(F.col("stdout").isNull() | blank, "empty").when(valid, "report").otherwise("raw")
+    checked = F.when(F.col("stdout").isNull() | blank, "empty").when(tx.is_json(F.col("stdout")), "report").otherwise("raw")
+    # Behind a generator the check runs once, although three columns ask for its outcome.
+    runs = runs.select("*", F.inline(F.array(F.struct(checked.alias("_kind")))))
+    kind = F.col("_kind")
     return runs.select(
         *rp.RUN_KEYS, "tool", "unit",
         rp.succeeded(F.col("exit_code")).alias("success"),
@@ -60,13 +62,13 @@ def _stderr() -> Column:
     return F.coalesce(strip(F.col("stderr")), F.lit(""))
 
 
-def _unparseable() -> Column:
+def _unparseable(valid: Column | None = None) -> Column:
     out = F.coalesce(F.col("stdout"), F.lit(""))
-    return (out != "") & ~tx.is_json(out)
+    return (out != "") & ~(tx.is_json(out) if valid is None else valid)
 
 
-def tool_failure() -> Column:
-    """Reason a tool's own reader gives up, NULL if it succeeds."""
+def tool_failure(valid: Column | None = None) -> Column:
+    """Reason a tool's own reader gives up, NULL if it succeeds. `valid`: the report's check, where it was made."""
     tool, code = F.col("tool"), F.coalesce(F.col("exit_code"), F.lit(0))
     missing = ~F.coalesce(F.col("target_exists"), F.lit(True))
     timed_out = F.coalesce(F.col("timed_out"), F.lit(False))
@@ -80,14 +82,13 @@ def tool_failure() -> Column:
         .when((tool == "Semgrep") & code.isin(2, 3),
               F.concat(F.lit("Semgrep error (code "), code.cast("string"), F.lit("): "),
                        tx.text_or(F.col("stderr"), "")))
-        .when((tool != "pip-audit") & _unparseable(), parse_error)
+        .when((tool != "pip-audit") & _unparseable(valid), parse_error)
     )
 
 
 def tool_status(runs: DataFrame) -> DataFrame:
-    failure = tool_failure()
-    return runs.select(*rp.RUN_KEYS, "tool", failure.isNull().alias("success"),
-                       failure.alias("error"))
+    checked = runs.select(*rp.RUN_KEYS, "tool", F.inline(F.array(F.struct(tool_failure().alias("error")))))
+    return checked.select(*rp.RUN_KEYS, "tool", F.col("error").isNull().alias("success"), "error")
 
 
 def scan_warnings(runs: DataFrame) -> DataFrame:
@@ -118,9 +119,13 @@ def report_total(tool: Column, stdout: Column, unit: Column) -> Column:
 def exit_status(runs: DataFrame) -> DataFrame:
     """Exit code per run: 2 failed, 1 issues found, 0 clean."""
     total = report_total(F.col("tool"), F.col("stdout"), F.col("unit"))
-    return runs.select(
-        *rp.RUN_KEYS, "tool", tool_failure().isNotNull().alias("failed"), total.alias("total_issues")
-    ).select(
+    facts = F.struct(tool_failure().isNotNull().alias("failed"), total.alias("total_issues"))
+    return with_exit_status(runs.select(*rp.RUN_KEYS, "tool", F.inline(F.array(facts))))
+
+
+def with_exit_status(facts: DataFrame) -> DataFrame:
+    """From rows of (…, failed, total_issues)."""
+    return facts.select(
         *rp.RUN_KEYS, "tool", "total_issues",
         F.when(F.col("failed"), 2).when(F.col("total_issues") > 0, 1).otherwise(0)
         .alias("exit_status"),

@@ -390,6 +390,14 @@ FILES_SCANNED = (
     f"fs as (select project, scan_id, cast(sum(case when {OK} then case when tool in ('Bandit','ESLint') then file_count "
     f"when tool = 'Semgrep' then {N_PATHS} else 0 end else 0 end) as bigint) as files_scanned from r group by all)")
 DURATION = "round_even({x}, 1) || ' seconds'"
+# Seconds in which at least one run was under way: runs begin at full hours.
+ELAPSED = [
+    "sp as (select project, scan_id, epoch(date_trunc('hour', ts)) as a, epoch(date_trunc('hour', ts)) + duration_s as b "
+    "from r join events on events.event_id = r.run_no where duration_s > 0)",
+    "du0 as (select project, scan_id, greatest(0, b - greatest(a, coalesce(max(b) over (partition by project, scan_id order by a, b "
+    "rows between unbounded preceding and 1 preceding), a))) as n from sp)",
+    "du as (select project, scan_id, coalesce(sum(n), 0) as dur from (select project, scan_id, n from du0 union all "
+    "select project, scan_id, 0 from r) group by all)"]
 STDERR = strip("coalesce(stderr,'')")
 FAILURE = (
     "case when not target_exists and tool <> 'pip-audit' then 'Target path does not exist' "
@@ -501,7 +509,7 @@ put("scan_summary", [
     "coalesce(medium_count,0) as medium_count, coalesce(low_count,0) as low_count, coalesce(total,0) as total, "
     "coalesce(secrets_found,0) as secrets_found, coalesce(outdated_dependencies,0) as outdated_dependencies from sk left join c "
     "using (project, scan_id) left join p using (project, scan_id))", SCORES.replace("from c)", "from c2)"), *PERFORMED,
-    FILES_SCANNED, "du as (select project, scan_id, sum(duration_s) as dur from r group by all)"],
+    FILES_SCANNED, *ELAPSED],
     f"select s.*, {LEVEL} as risk_level, n_scans, scans_performed, files_scanned, {DURATION.format(x='dur')} as scan_duration "
     "from s join perf using (project, scan_id) join fs using (project, scan_id) join du using (project, scan_id)")
 put("format_selection", [f"pol as ({policy_sql()})"], "select project, " + ", ".join(
@@ -645,6 +653,11 @@ select k.project, k.scan_id, cast(0 as bigint) as critical, coalesce(high,0) as
  cast(coalesce(n_errors,0) as bigint) as n_errors, cast(coalesce(n_errors_total,0) as bigint) as n_errors_total
 from (select distinct project, scan_id from r where tool = 'Semgrep') k left join fc using (project, scan_id)
  left join pc using (project, scan_id) left join ec using (project, scan_id)""")
+put("semgrep_merged_findings", [*SEMGREP, STATUS,
+    "ok as (select * from rs where tool = 'Semgrep' and error is null)",
+    "fx1 as (select x.*, row_number() over (partition by x.project, x.scan_id, x.file, x.line, x.rule_id order by x.run_no, x.pos) "
+    "as k_ from x join ok on ok.run_no = x.run_no)"],
+    f"select project, scan_id, {SEQ} as seq, severity, title, file, line, rule_id from fx1 x where k_ = 1")
 put("files_scanned", [RUNS, FILES_SCANNED,
     "fd as (select project, scan_id, count(distinct jj) as files_distinct from (select *, unnest(range(event_id % 4 + 1)) as jj "
     f"from r where tool = 'Semgrep' and kind = 'report' and {OK}) group by all)"],

@@ -19,6 +19,7 @@ from lintharbor.plans import end_to_end as ee
 from lintharbor.schemas import SCAN_KEYS
 from lintharbor.sinks import html, json_doc, sarif
 from lintharbor.sources import files as fl
+from lintharbor.sources import report_pass as rpp
 from lintharbor.sources import reports as rp
 from lintharbor.sources import runs as rn
 from lintharbor.sources import saved as sv
@@ -145,8 +146,10 @@ def html_sections(spark, sf):
 
 def _page_summary(spark, sf):
     runs = fx.scan_runs(spark, sf)
+    counts = ru.severity_buckets(fx.findings(spark, sf))
+    # Scans without findings have a page too.
     return (
-        ru.severity_buckets(fx.findings(spark, sf)).join(ru.run_facts(runs), SCAN_KEYS)
+        ru.run_facts(runs).join(counts, SCAN_KEYS, "left").fillna(0, [c for c in counts.columns if c not in SCAN_KEYS])
         .withColumn("scan_duration", ee.format_duration(F.col("duration_s")))
         .withColumn("target_path", root_of_project())
         .withColumn("project_name", ee.project_name(F.col("target_path")))
@@ -161,9 +164,8 @@ def html_report(spark, sf):
 
 @query
 def scan_summary(spark, sf):
-    runs = fx.scan_runs(spark, sf)
-    return ee.scan_summary(rp.findings_from_runs(runs), runs).withColumn(
-        "scans_performed", joined("scans_performed")).drop("duration_s")
+    return ee.summary_of_runs(fx.timed_runs(spark, sf)).withColumn(
+        "scans_performed", joined("scans_performed")).drop("duration_s", "elapsed_s")
 
 
 @query
@@ -477,9 +479,19 @@ def npm_breakdown(spark, sf):
     return rn.npm_breakdown(fx.scan_runs(spark, sf))
 
 
+def flow_pass(spark, sf):
+    return rpp.written(rpp.tagged_rows(fx.scan_runs(spark, sf).filter("tool = 'Semgrep'")))
+
+
 @query
 def semgrep_multi_config(spark, sf):
-    return ru.semgrep_multi_config(fx.scan_runs(spark, sf))
+    return ru.semgrep_multi_config(flow_pass(spark, sf))
+
+
+@query
+def semgrep_merged_findings(spark, sf):
+    merged, _, _ = rpp.merged_flow(flow_pass(spark, sf))
+    return merged.select(*SCAN_KEYS, "seq", "severity", "title", "file", "line", "rule_id")
 
 
 @query
@@ -602,8 +614,8 @@ def primary_concerns(spark, sf):
 
 @query
 def union_findings(spark, sf):
-    runs = fx.scan_runs(spark, sf)
-    return rp.union_findings(*[rp.tool_findings(runs, t) for t in rp.READERS]).select(
+    # All tools of a run table in one pass over it.
+    return rp.findings_from_runs(fx.scan_runs(spark, sf), any_outcome=True).select(
         *SCAN_KEYS, "seq", "tool", "severity", "title", "file", "line", "rule_id")
 
 

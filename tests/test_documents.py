@@ -1,14 +1,21 @@
 import glob
 import html as pyhtml
 import json
+import os
 import re
 
+import pytest
 from helpers import dicts, documents, findings, runs
 from pyspark.sql import functions as F
 
+from lintharbor.functions.scale import dense_numbers
+from lintharbor.operators import detect as dt
+from lintharbor.operators import registry
 from lintharbor.operators import rollup as ru
 from lintharbor.plans import end_to_end as ee
 from lintharbor.sinks import html, json_doc, pieces, sarif
+from lintharbor.sinks.single_file import write_files
+from lintharbor.sources import reports, saved
 
 
 def root(path):
@@ -157,12 +164,16 @@ def test_publish_writes_what_the_policy_asks_for(spark, tmp_path):
     targets = spark.createDataFrame(
         [(p, f"/srv/{p}", "2024-01-01T00:00:00", ["Python"]) for p in ("p", "clean")],
         "project string, target_path string, timestamp string, languages array<string>")
-    policy = spark.createDataFrame([("p", ["json", "sarif", "html"]), ("clean", ["json"])],
-                                   "project string, formats array<string>")
+    policy = spark.createDataFrame([("p", ["json", "sarif", "html"], None), ("clean", ["json"], "all.json")],
+                                   "project string, formats array<string>, json_file string")
     ee.publish(r, targets, policy, str(tmp_path))
+    assert sorted(f.removeprefix(f"{tmp_path}/") for fmt in ("json", "html", "sarif")
+                  for f in glob.glob(f"{tmp_path}/{fmt}/**", recursive=True) if os.path.isfile(f)) == [
+        "html/project=p/scan_id=s/security-report.html", "json/project=clean/scan_id=s/all.json",
+        "json/project=p/scan_id=s/security-results.json", "sarif/project=p/scan_id=s/security-results.sarif"]
 
     def read(fmt, project):
-        files = sorted(glob.glob(f"{tmp_path}/{fmt}/project={project}/scan_id=s/part-*"))
+        files = glob.glob(f"{tmp_path}/{fmt}/project={project}/scan_id=s/*")
         return "".join(open(f, encoding="utf-8").read() for f in files)
 
     doc = json.loads(read("json", "p"))
@@ -176,6 +187,83 @@ def test_publish_writes_what_the_policy_asks_for(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/findings").count() == 40
 
 
+def test_policy_thresholds_suppressions_weights_and_detection_in_publish(spark, tmp_path):
+    def report(*levels):
+        return {"results": [{"test_id": f"B{i}", "test_name": "n", "issue_severity": level, "filename": "/srv/p/a.py",
+                             "line_number": i, "issue_text": "t"} for i, level in enumerate(levels)]}
+
+    r = runs(spark, {"stdout": report("HIGH", "HIGH", "LOW", "MEDIUM")}, {"stdout": report("LOW"), "project": "q"},
+             {"stdout": "a.go:3:G1", "tool": "Lint"})
+    targets = spark.createDataFrame([(p, f"/srv/{p}", "t", ["TypeScript"]) for p in "pq"],
+                                    "project string, target_path string, timestamp string, languages array<string>")
+    policy = spark.createDataFrame(
+        [("p", ["json", "sarif"], "medium", "critical", 7), ("q", ["json"], None, "low", None)],
+        "project string, formats array<string>, minimum string, fail_on string, w_high int")
+    suppressed = spark.createDataFrame([("p", "/srv/p/a.py:1:Bandit:B1")], "project string, fingerprint string")
+    secret = "AKIA" + "Z9" * 8
+    code = spark.createDataFrame([("p", "s", "/srv/p/k.py", f"x\n{secret} {secret}")], "project string, scan_id string, path string, text string")
+    found = dt.as_findings(dt.secret_detection(dense_numbers(code, ["project", "scan_id"], ["path"], "file_no")), "Secret Scanner")
+    readers = reports.register_reader("Lint", lambda out, unit: F.transform(F.split(out, "\n"), lambda x: F.create_map(
+        F.lit("file"), F.split_part(x, F.lit(":"), F.lit(1)), F.lit("rule_id"), F.split_part(x, F.lit(":"), F.lit(3)))))
+    ee.publish(r, targets, policy, str(tmp_path), readers=readers, tools=registry.register_tool("Lint", "Go (Lint)"),
+               detected=found, suppressions=suppressed)
+    doc = json.load(open(f"{tmp_path}/json/project=p/scan_id=s/security-results.json"))
+    assert [(v["tool"], v.get("rule_id"), v["line"], v.get("column")) for v in doc["all_vulnerabilities"]] == [
+        ("Bandit", "B0", 0, 1), ("Bandit", "B3", 3, 1), ("Lint", "G1", 0, 1), ("Secret Scanner", None, 2, 1)]
+    assert (doc["high_count"], doc["critical_count"], doc["medium_count"], doc["low_count"]) == (1, 1, 2, 0)
+    assert doc["scans_performed"] == ["Python (Bandit)", "Go (Lint)"]
+    drivers = [x["tool"]["driver"]["name"] for x in json.load(open(f"{tmp_path}/sarif/project=p/scan_id=s/security-results.sarif"))["runs"]]
+    assert drivers == ["Bandit", "Secret Scanner", "Lint"]
+    summary = {x.project: x for x in spark.read.parquet(f"{tmp_path}/summary").collect()}
+    assert (summary["p"].weighted_score, summary["p"].build_fails, summary["q"].build_fails) == (25 + 7 + 6, True, False)
+    assert json.load(open(f"{tmp_path}/json/project=q/scan_id=s/security-results.json"))["low_count"] == 1
+
+
+def test_saved_results_give_the_same_sarif(spark, tmp_path):
+    f = findings(spark, *[
+        {"tool": ["Bandit", "npm audit", "Semgrep", "Secret Scanner"][i % 4], "rule_id": [f"R{i % 7}", None][i % 5 == 4], "scan_id": f"s {i % 2}/é",
+         "severity": ["critical", "high", "low"][i % 3], "line": i, "code": 'x":[\n"y' if i % 3 else "", "file": f"/srv/p/f{i % 9}.py",
+         "description": 'ends with ":[', "title": "{T}"} for i in range(900)])
+    scans = f.select("project", "scan_id").distinct()
+    summary = scans.unionByName(spark.createDataFrame([("p", "clean")], "project string, scan_id string")).withColumn("target_path", F.lit("/srv/p"))
+    names = summary.withColumn("file", F.concat(F.lit("result-"), F.length("scan_id"), F.lit(".json")))
+    direct = documents(sarif.sarif_document(f, scans, root("/srv/p"), chunk_bits=4))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # a document in many splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for folder, write in (("one", lambda p, at: pieces.write_named_documents(p, names, at)), ("many", pieces.write_documents)):
+            write(json_doc.json_document(f, summary, chunk_bits=3), f"{tmp_path}/{folder}")
+            results = saved.read_written_results(spark, f"{tmp_path}/{folder}")
+            again = saved.results_as_findings(results).cache()
+            assert again.count() == 900 and {r.target_path for r in results.select("target_path").collect()} == {"/srv/p"}
+            assert documents(sarif.sarif_document(again, scans, root("/srv/p"), chunk_bits=4)) == direct
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/one", wholetext=True)
+    docs = whole.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("document"))
+    assert saved.read_results_doc(docs).count() == 900 and saved.unreadable_documents(docs).count() == 0
+    read = saved.results_as_findings(saved.read_results_doc(docs)).cache()
+    texts = documents(sarif.sarif_document(read, read, root("/srv/p"), chunk_bits=4)).values()
+    assert sorted(texts) == sorted(direct.values())
+
+
+def test_documents_are_written_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.concat(F.lit("d"), F.col("id") % 5).alias("folder"), F.lit("x.json").alias("file"), F.col("id").cast("string").alias("text"), "id")
+    write_files(rows, str(tmp_path), ["id"])
+    written = {p: open(p).read() for p in glob.glob(f"{tmp_path}/*/x.json")}
+    assert {p: [int(x) % 5 for x in t.split()] for p, t in written.items()} == {f"{tmp_path}/d{i}/x.json": [i] * 80 for i in range(5)}
+    assert all([int(x) for x in t.split()] == sorted(int(x) for x in t.split()) for t in written.values())
+    assert sorted(os.listdir(tmp_path)) == [f"d{i}" for i in range(5)]
+    # A task that dies in the middle of a document: nothing is left of this write, the former files stay.
+    broken = rows.withColumn("text", F.when(F.col("id") == 333, F.raise_error(F.lit("killed"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="killed"):
+        write_files(broken, str(tmp_path), ["id"])
+    assert {p: open(p).read() for p in glob.glob(f"{tmp_path}/*/*")} == written
+    assert sorted(os.listdir(tmp_path)) == [f"d{i}" for i in range(5)]
+
+
 def test_write_documents_splits_large_scans(spark, tmp_path):
     f = findings(spark, *[{"description": f"d{i} " * 50, "scan_id": f"s{i % 2}"} for i in range(2000)])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

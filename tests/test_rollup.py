@@ -1,16 +1,19 @@
 import itertools
+import json
 import math
 import random
 
 import pytest
-from helpers import dicts, findings, runs
+from helpers import dicts, documents, findings, runs
 from pyspark.sql import functions as F
 
 from lintharbor.operators import listing as ls
 from lintharbor.operators import policy as po
-from lintharbor.operators import risk
+from lintharbor.operators import registry, risk
 from lintharbor.operators import rollup as ru
 from lintharbor.plans import end_to_end as ee
+from lintharbor.sinks import sarif
+from lintharbor.sources import report_pass as rpp
 
 
 def counts(spark, rows):
@@ -148,10 +151,51 @@ def test_multi_config_result(spark):
         {"stdout": "", "exit_code": 2, "stderr": "Semgrep is not installed"},
         {"stdout": "", "exit_code": 3, "stderr": "bad config"},
         {"stdout": "", "exit_code": 3, "stderr": "bad config", "scan_id": "only errors"}, tool="Semgrep")
-    got = {g["scan_id"]: g for g in dicts(ru.semgrep_multi_config(r))}
+    got = {g["scan_id"]: g for g in dicts(ru.semgrep_multi_config(rpp.written(rpp.tagged_rows(r))))}
     g = got["s"]
     assert (g["total_issues"], g["medium"], g["files_scanned"], g["n_errors"]) == (3, 3, 3, 3)
     assert (got["only errors"]["total_issues"], got["only errors"]["n_errors"]) == (0, 1)
+    merged, paths, errors = rpp.merged_flow(rpp.written(rpp.tagged_rows(r)))
+    assert merged.filter("scan_id = 's'").count() == 3 and paths.filter("scan_id = 's'").count() == 3
+    assert errors.filter("scan_id = 's'").count() == 3 and dicts(errors.filter("scan_id <> 's'"))[0]["message"].startswith("Semgrep error")
+
+
+def test_elapsed_time_counts_overlaps_once(spark):
+    def at(*spans, scan="s"):
+        return [("p", scan, float(a), float(b)) for a, b in spans]
+
+    rows = at((0, 10), (0, 10)) + at((0, 10), (20, 25), (22, 30), (23, 24), scan="gap") + at(
+        (3590, 3610), (3595, 7300), (7250, 7260), (7300, 7301), scan="hours") + [("p", "none", None, 5.0), ("p", "none", 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "project string, scan_id string, a double, b double").select(
+        "project", "scan_id", F.timestamp_seconds("a").alias("started_at"), F.timestamp_seconds("b").alias("ended_at"))
+    for size in (7, 3600):
+        got = {r.scan_id: r.elapsed_s for r in ru.elapsed(df, size).collect()}
+        assert got == {"s": 10, "gap": 20, "hours": 3711}
+    r = runs(spark, {"duration_s": 10.0}, {"duration_s": 10.0}).withColumns({
+        "started_at": F.timestamp_seconds(F.lit(100)), "ended_at": F.timestamp_seconds(F.lit(110))})
+    assert dicts(ee.summary_of_runs(r))[0]["scan_duration"] == "10.0 seconds"
+
+
+def test_a_registered_tool_is_in_findings_sarif_and_names(spark):
+    tools = registry.register_tool("Lint", "Go (Lint)", version="2.1")
+    f = findings(spark, {"tool": "Lint", "rule_id": "G1"}, {"tool": "Bandit"}, {"tool": "Other"})
+    assert {r["run_name"] for r in dicts(sarif.tool_partition(f, tools))} == {"Lint", "Bandit"}
+    (text,) = documents(sarif.sarif_document(f, f, F.lit("/srv"), tools=tools)).values()
+    drivers = [x["tool"]["driver"] for x in json.loads(text)["runs"]]
+    assert [(d["name"], d["version"]) for d in drivers] == [("Bandit", "1.7.5"), ("Lint", "2.1")]
+    (g,) = dicts(ru.scans_performed(runs(spark, {"tool": "Lint"}, {"tool": "Semgrep", "stdout": "{}"}), tools=tools))
+    assert g["scans_performed"] == ["Semgrep SAST", "Go (Lint)"]
+    shared = registry.register_tool("TSLint", run="ESLint Security")
+    assert [r["run_rank"] for r in dicts(sarif.tool_partition(findings(spark, {"tool": "TSLint"}), shared))] == [2]
+    assert registry.table(spark, tools).filter("tool = 'Lint'").first().label == "Go (Lint)"
+
+
+def test_typescript_label_comes_from_the_project(spark):
+    languages = spark.createDataFrame([("p", True), ("q", False)], "project string, typescript boolean")
+    r = runs(spark, {"tool": "ESLint", "unit": "/p"}, {"tool": "ESLint", "unit": "/q/a.ts", "project": "q"},
+             {"tool": "ESLint", "unit": "/z/a.ts", "project": "z"})
+    got = {g["project"]: g["scans_performed"] for g in dicts(ru.scans_performed(r, languages))}
+    assert got == {"p": ["JavaScript/TypeScript (ESLint)"], "q": ["JavaScript (ESLint)"], "z": ["JavaScript (ESLint)"]}
 
 
 def test_run_facts_and_summary_of_clean_scans(spark):
