@@ -724,6 +724,12 @@ put("union_manifests", PIP, "select project, scan_id, list_last(string_split(uni
 put("distinct_paths", [RUNS], "select distinct project, scan_id, '/srv/' || project || '/src/s' || jj as path from (select *, "
     "unnest(range(event_id % 4 + 1)) as jj from r where tool = 'Semgrep' and kind = 'report')")
 
+put("merged_file_counts", [RUNS, "ph as (select project, scan_id, run_no, '/srv/' || project || '/src/s' || jj as path from "
+    "(select *, unnest(range(event_id % 4 + 1)) as jj from r where tool = 'Semgrep' and kind = 'report'))"], """
+select project, scan_id, run_no, count(distinct path)::bigint as n_files from ph group by all
+union all select project, scan_id, null, count(distinct path)::bigint from ph group by project, scan_id
+union all select project, null, null, count(distinct path)::bigint from ph group by project""")
+
 # --- extensions ---
 put("custom_reader", [], f"""select {fx.PROJECT} as project, {fx.HALF} as scan_id, event_id * 4294967296 + k as seq,
  'Lint' as tool, 'medium' as severity, 'Security Issue' as title, case k when 0 then 'a.go' else 'b.go' end as file,
@@ -740,6 +746,8 @@ SECRETS_FOUND = "with recursive " + ",\n".join(secret_hits())
 SQL["secret_detection"] = f"{SECRETS_FOUND}\nselect *, '[REDACTED]' as code, 'Hardcoded secret detected' as description from sec"
 put("vulnerable_pattern_scan", [*FILES, snippet_hits()], "select project, path, language, line, rule_id, title, owasp, family, "
     "severity from hits")
+put("rule_rescan", [*FILES, snippet_hits()], "select project, path, language, line, rule_id, title, owasp, family, "
+    "severity from hits")
 SQL["missing_control_scan"] = with_(*FILES) + control_hits()
 SQL["secret_type_rollup"] = (
     f"{SECRETS_FOUND}\nselect project, title, count(*) as n_secrets, count(distinct path) as n_files from sec group by all")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +10,16 @@ from pyspark.sql import functions as F
 
 from lintharbor.functions import severity as sev
 from lintharbor.functions import text as tx
-from lintharbor.functions.scale import stored
+from lintharbor.functions.scale import shared_dir, stored
 from lintharbor.operators import detect as dt
 from lintharbor.operators import listing as ls
+from lintharbor.operators import path_sets as ps
 from lintharbor.operators import policy as po
+from lintharbor.operators import rescan
 from lintharbor.operators import risk as rk
 from lintharbor.operators import rollup as ru
 from lintharbor.plans import end_to_end as ee
+from lintharbor.rules import CODE_RULES
 from lintharbor.schemas import SCAN_KEYS
 from lintharbor.sinks import html, json_doc, sarif
 from lintharbor.sources import files as fl
@@ -631,6 +635,12 @@ def distinct_paths(spark, sf):
     return fl.distinct_paths(rp.scanned_paths(fx.scan_runs(spark, sf)))
 
 
+@query
+def merged_file_counts(spark, sf):
+    """Distinct files per run, scan and project, as unions of bitmaps."""
+    return ps.file_counts(rp.scanned_paths(fx.scan_runs(spark, sf)))
+
+
 # --- extensions ----------------------------------------------------------------------------
 
 @query
@@ -685,6 +695,16 @@ def vulnerable_pattern_scan(spark, sf):
         "project", "path", "language", "line", "rule_id", "title", "owasp", "family", "severity")
 
 
+@query
+def rule_rescan(spark, sf):
+    """All code rules over the files that a trigram index lets through."""
+    texts = stored(fx.sources(spark, sf))
+    index = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    rescan.build_index(texts, index)
+    return rescan.rescan(texts, index, CODE_RULES, dt.vulnerable_pattern_scan).select(
+        "project", "path", "language", "line", "rule_id", "title", "owasp", "family", "severity")
+
+
 @query
 def missing_control_scan(spark, sf):
     return dt.missing_control_scan(fx.control_sources(spark, sf)).select(

@@ -103,5 +103,5 @@ def test_entry_and_contract(spark):
     assert first.columns == ["project", "scan_id", "critical_count", "high_count", "medium_count", "low_count",
                              "raw_risk_score", "risk_score", "risk_level"]
     assert first.count() == 924
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 99
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 101
     assert set(QUERIES) <= set(all_queries())
