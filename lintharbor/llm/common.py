@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,6 +31,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64 bits that tell rows apart by doc_id and text, whether ids are NULL, repeat or not."""
+    return F.xxhash64(doc_id, F.xxhash64(text))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, of which readers take only the columns they use."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether `df` (stored, so counting is cheap) has at most `limit` rows."""
     return df.limit(limit + 1).count() <= limit

@@ -6,16 +6,19 @@ small, and the far-out fences of the quartiles become the limits of the group. A
 functions; documents never leave their row, only sketches are shuffled.
 
 Defined results: NULL text counts as no words (base rule fails). NULL language or source is a group
-of its own. Repeated rows are judged alike. An empty table gives an empty result. Further columns
-are kept by `judge` unless their name is one of `OUTPUT`, which is then replaced.
+of its own. Repeated rows are judged alike. An empty table gives an empty result. Very long texts are
+measured whole, in one row. Further columns are kept by `judge` whatever their names, except that those
+named in `OUTPUT` are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_sized, stored, words
+from .common import SPACE, join_sized, stored, words, written
 
 OUTPUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
 WINDOW = 8
@@ -122,23 +125,30 @@ def fences(measured: DataFrame, k: int = 1024, least_docs: int = 200, reach: flo
     return stored(joined.select("lang", "source", chosen.alias("limits")))
 
 
-def judge(docs: DataFrame, text: str = "text", broadcast_groups: int = 50_000, **options) -> DataFrame:
-    """`docs` with the counts, `base_failed`, `kept` and the array `failed_rules`.
+def judge(docs: DataFrame, text: str = "text", broadcast_groups: int = 50_000, keep: Sequence[str] | None = None,
+          **options) -> DataFrame:
+    """`docs`, or of it the columns of `keep`, with the counts, `base_failed`, `kept` and the array `failed_rules`.
 
-    The table of limits has one row per language and source; it is broadcast up to `broadcast_groups`
-    rows and joined by shuffle beyond.
+    Texts are measured once: the counts are written to the shared folder with the columns kept, and both
+    the limits and the verdicts read them from there. The table of limits has one row per language and
+    source; it is broadcast up to `broadcast_groups` rows and joined by shuffle beyond.
     """
-    base = docs if {"lang", "source"} <= set(docs.columns) else docs.withColumns(
-        {c: F.lit(None).cast("string") for c in ("lang", "source") if c not in docs.columns})
-    measured = measure(base, text)
-    # The sketches need the counts only: no column but these is read a second time.
-    limits = fences(measured.select("lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-                                    "n_repeat_words", "base_failed"), **options)
-    limits = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "limits")
+    passed = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUT]
+
+    def group(name: str) -> Column:
+        return F.col(name) if name in docs.columns else F.lit(None).cast("string")
+
+    # All columns go by names of our own, so that none can clash.
+    base = docs.select(F.col(f"`{text}`").alias("_text"), group("lang").alias("lang"), group("source").alias("source"),
+                       *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(passed)])
+    measured = written(measure(base, "_text").drop("_text"), "quality-counts")
+    limits = fences(measured, **options).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "limits")
     on = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
     failed = [
         F.when((value > F.col(f"limits.{name}.high")) | F.coalesce(value < F.col(f"limits.{name}.low"), F.lit(False)), F.lit(name))
         for name, value in shares().items()]
     out = join_sized(measured, limits, on, "left", broadcast_groups).withColumn(
         "failed_rules", F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *failed)))
-    return out.withColumn("kept", F.size("failed_rules") == 0).drop("_l", "_s", "limits", "n_lines")
+    counts = [c for c in OUTPUT if c not in ("kept", "failed_rules")]
+    return out.select(*[F.col(f"_p{i}").alias(c) for i, c in enumerate(passed)], *counts,
+                      (F.size("failed_rules") == 0).alias("kept"), "failed_rules")

@@ -61,7 +61,7 @@ def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts of each document and the verdict of the adaptive limits."""
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules.judge(docs).select(
+    return quality_rules.judge(docs, keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
