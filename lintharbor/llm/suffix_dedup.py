@@ -15,20 +15,22 @@
 4. Spans are merged per row and cut out.
 
 Defined results: NULL text is empty; texts shorter than 200 bytes lose nothing. Rows are told apart by
-doc_id (NULL is a value of its own) and 16 bits of a hash of the text; repeated rows count as each
-other's copies. An empty table gives an empty result. `dedup` keeps further columns, except that those
-named in `OUTPUT` are replaced. Contexts are compared by 64-bit hashes inside one gram.
+64 bits of doc_id and text and 16 bits more of the text, so ids may be NULL or repeat; repeated rows
+count as each other's copies. An empty table gives an empty result. Very long texts are cut into
+stretches for hashing, never shortened. `dedup` keeps further columns whatever their names, except that
+those named in `OUTPUT` are replaced. Contexts are compared by 64-bit hashes inside one gram.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _powers, mix, stored, text_batches
+from .common import _BASE, _BYTE, _powers, mix, row_key, stored, text_batches
 
 LENGTH, GRAM = 200, 100
 SPREAD = LENGTH - GRAM + 1
@@ -306,12 +308,12 @@ def repeated_spans(keyed: DataFrame, hot: int = 4096, block_bytes: int = 1 << 19
     return shared.filter("equal").select(*whole).union(copies).union(by_sort).union(by_count)
 
 
-def keyed_rows(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns({
-        "_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
-        "_salt": F.xxhash64(text).bitwiseAND(0xFFFF).cast("int"),
-        "_t": F.col(text),
-    })
+def keyed_rows(docs: DataFrame, text: str, others: Sequence[str] = ()) -> DataFrame:
+    """Row key, salt and text as `_doc`, `_salt` and `_t`; `others` are carried under names of our own."""
+    body = F.col(f"`{text}`")
+    return docs.select(
+        row_key(F.col("doc_id"), body).alias("_doc"), F.xxhash64(body).bitwiseAND(0xFFFF).cast("int").alias("_salt"),
+        body.alias("_t"), *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(others)])
 
 
 def dedup(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -321,11 +323,11 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
     dropped from the text (not from the digest).
     """
     passed = [c for c in docs.columns if c not in OUTPUT]
-    keyed = keyed_rows(docs.select(*passed), text)
+    others = [c for c in passed if c != text or not keep_text]
+    keyed = keyed_rows(docs, text, others)
     spans = repeated_spans(keyed).groupBy("doc", "salt").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     joined = keyed.join(
         spans.select(F.col("doc").alias("_doc"), F.col("salt").alias("_salt"), "_spans"), ["_doc", "_salt"], "left")
-    others = [c for c in passed if c != text or not keep_text]
     fields = [*[(c, docs.schema[c].dataType.simpleString()) for c in others],
               *([(text, "string")] if keep_text else []), ("n_bytes", "bigint"), ("n_removed", "bigint"),
               ("n_spans", "bigint"), ("kept_sha256", "string")]
@@ -361,4 +363,4 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
                 [name for name, _ in fields])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in fields)
-    return joined.select("_t", "_spans", *others).mapInArrow(cut, schema)
+    return joined.select("_t", "_spans", *[f"_p{i}" for i in range(len(others))]).mapInArrow(cut, schema)
