@@ -97,44 +97,67 @@ CODE_RULES = [
           r"\.innerHTML\s*\+?=[^=]"),
     _code("XSS03", "Request value stored unchecked", "Stored XSS", "A03", "high", JS, ".insert",
           r"\.insert(?:One|Many)?\(\s*\{[^}]*:\s*req\.(?:body|query|params)"),
+    _code("XSS04", "HTML written from a value", "Reflected XSS", "A03", "high", JS, "document.write .outerHTML .html(",
+          r"document\.write(?:ln)?\(\s*[A-Za-z_]|\.outerHTML\s*\+?=[^=]|\.html\(\s*(?:req|location)\."),
+    _code("XSS05", "HTML joined with a request value", "Reflected XSS", "A03", "high", PY, "request",
+          r"[\"']<[^\"']*[\"']\s*\+\s*request\."),
     _code("SQL01", "SQL built with an f-string", "SQL injection", "A03", "critical", PY, "f\" f'",
-          "f\"" + SQL_VERB + r"\s[^\"]*\{|f'" + SQL_VERB + r"\s[^']*\{"),
+          "f\"(?:\"\")?" + SQL_VERB + r"\s[^\"]*\{|f'(?:'')?" + SQL_VERB + r"\s[^']*\{"),
     _code("SQL02", "SQL built with a template literal", "SQL injection", "A03", "critical", JS, "${",
           "`" + SQL_VERB + r"\s[^`]*\$\{"),
     _code("SQL03", "SQL built by concatenation", "SQL injection", "A03", "critical", PY + JS, "+",
           r"[\"']" + SQL_VERB + r"\s[^\"']*[\"']\s*\+\s*[A-Za-z_]"),
+    _code("SQL04", "SQL built with a format operator", "SQL injection", "A03", "critical", PY, "% .format(",
+          r"(?:\"" + SQL_VERB + r"\s[^\"]*\"|'" + SQL_VERB + r"\s[^']*')\s*(?:%\s*[A-Za-z_(]|\.format\()"),
     _code("CMD01", "Shell command from a formatted string", "Command injection", "A03", "critical",
           PY, "os.system os.popen", START + r"os\.(?:system|popen)\(\s*f[\"']"),
     _code("CMD02", "Shell command from a template literal", "Command injection", "A03", "critical",
           JS, "exec", r"(?:^|[^A-Za-z0-9_.])exec(?:Sync)?\(\s*`[^`]*\$\{"),
+    _code("CMD03", "Shell command joined with a value", "Command injection", "A03", "critical", PY, "os.system os.popen",
+          START + r"os\.(?:system|popen)\(\s*(?:\"[^\"]*\"|'[^']*')\s*(?:\+|%|\.format\()"),
+    _code("CMD04", "Command run through a shell", "Command injection", "A03", "high", PY, "shell",
+          START + r"subprocess\.(?:run|call|check_call|check_output|Popen)\(.*shell\s*=\s*True"),
+    _code("CMD05", "Shell command joined with a value", "Command injection", "A03", "critical", JS, "exec",
+          r"(?:^|[^A-Za-z0-9_.]|child_process\.)exec(?:Sync)?\(\s*(?:\"[^\"]*\"|'[^']*')\s*\+"),
     _code("PTH01", "File path from a formatted string", "Path traversal", "A01", "high", PY,
           "send_file", START + r"send_file\(\s*f[\"'][^\"']*\{"),
     _code("PTH02", "File path from a request parameter", "Path traversal", "A01", "high", JS,
           ".sendFile", r"\.sendFile\(\s*`[^`]*\$\{\s*req\."),
+    _code("PTH03", "File path joined with a value", "Path traversal", "A01", "high", PY, "open(",
+          r"(?:^|[^A-Za-z0-9_.])open\(\s*(?:\"[^\"]*/\"|'[^']*/')\s*\+\s*[A-Za-z_]"),
     _code("DES01", "Unpickling untrusted data", "Insecure deserialisation", "A08", "critical", PY,
-          "pickle.load", START + r"pickle\.loads?\("),
+          "ickle.load dill.load marshal.load", START + r"(?:c?[Pp]ickle|dill|marshal)\.loads?\("),
+    _code("DES03", "YAML loaded without a safe loader", "Insecure deserialisation", "A08", "high", PY, "yaml.",
+          START + r"yaml\.(?:unsafe_load|full_load)\(|" + START + r"yaml\.load\(\s*[A-Za-z_][A-Za-z0-9_.]*(?:\(\))?\s*\)"),
+    _code("DES04", "Function made from a text", "Insecure deserialisation", "A08", "critical", JS, "Function(",
+          START + r"new\s+Function\("),
     _code("DES02", "eval of a value", "Insecure deserialisation", "A08", "critical", JS, "eval(",
           r"(?:^|[^A-Za-z0-9_.])eval\("),
     _code("RND01", "Predictable random value", "Insecure random", "A02", "medium", PY, "random.",
-          r"(?:^|[^A-Za-z0-9_.])random\.(?:random|randint|randrange|choice)\("),
+          r"(?:^|[^A-Za-z0-9_.])random\.(?:random|randint|randrange|choice|choices|sample|uniform|getrandbits)\("),
     _code("RND02", "Predictable random value", "Insecure random", "A02", "medium", JS, "Math.random",
           START + r"Math\.random\(\)"),
     _code("CRY01", "Weak hash algorithm", "Weak cryptography", "A02", "medium", PY, "hashlib.",
-          START + r"hashlib\.(?:md5|sha1)\("),
+          START + r"hashlib\.(?:(?:md5|sha1)\(|new\(\s*[\"'](?:md5|sha1)[\"'])"),
     _code("CRY02", "Weak hash algorithm", "Weak cryptography", "A02", "medium", JS, "createHash",
           r"createHash\(\s*[\"'](?:md5|sha1)[\"']"),
     _code("XXE01", "XML parsed with external entities", "XXE", "A05", "high", PY, ".parse .fromstring",
           START + r"(?:ET|ElementTree|etree)\.(?:parse|fromstring)\("),
     _code("XXE02", "XML parsed with default settings", "XXE", "A05", "high", JS, "xml2js.parseString",
           START + r"xml2js\.parseString\("),
-    _code("DBG01", "Debug mode switched on", "Debug exposure", "A05", "medium", PY, "debug",
-          START + r"debug\s*=\s*True"),
+    _code("DBG01", "Debug mode switched on", "Debug exposure", "A05", "medium", PY, "debug DEBUG",
+          START + r"(?:debug|DEBUG)\s*=\s*True"),
     _code("DBG02", "Stack trace sent to the client", "Debug exposure", "A05", "medium", JS, ".stack",
           r"\.(?:json|send)\([^)]*\.stack(?:$|[^A-Za-z0-9_])"),
     _code("SES01", "Session id in the URL", "Session handling", "A07", "high", JS, ":session",
           r"\.(?:get|post|put|delete|use)\(\s*[\"'][^\"']*:session"),
     _code("SRF01", "Unchecked URL fetched", "SSRF", "A10", "high", PY, "requests.",
           START + r"requests\.(?:get|post|put|delete|head)\(\s*[A-Za-z_][A-Za-z0-9_]*\s*\)"),
+    _code("SRF03", "Unchecked URL fetched", "SSRF", "A10", "high", PY, "urlopen(",
+          START + r"(?:request\.|urllib2?\.)*urlopen\(\s*[A-Za-z_][A-Za-z0-9_]*\s*[,)]"),
+    _code("SRF04", "Request value fetched as a URL", "SSRF", "A10", "high", JS, "axios fetch( got(",
+          r"(?:^|[^A-Za-z0-9_.])(?:axios(?:\.(?:get|post|put|delete|head|request))?|fetch|got)\(\s*req\.|"
+          r"(?:^|[^A-Za-z0-9_.])axios\.(?:get|post|put|delete|head)\(\s*[A-Za-z_][A-Za-z0-9_]*\s*[,)]"),
     _code("SRF02", "Unchecked URL fetched", "SSRF", "A10", "high", JS, "fetch(",
           r"(?:^|[^A-Za-z0-9_.])fetch\(\s*[A-Za-z_][A-Za-z0-9_]*\s*\)"),
 ]

@@ -138,6 +138,43 @@ def test_lines_are_numbered_from_one(spark):
         ("0", 1, "a"), ("0", 2, ""), ("0", 3, "b"), ("0", 4, ""), ("1", 1, "")]
 
 
+# Faults in the words of other projects: (language, line, family of the rule).
+ELSEWHERE = [
+    ("python", "cur.run(\"SELECT a FROM seats WHERE row = \" + row_no)", "SQL"), ("python", "cur.run('delete from seats where row=%s' % row_no)", "SQL"),
+    ("python", "q = f\"\"\"SELECT a FROM seats WHERE b = {b}\"\"\"", "SQL"), ("python", "db.run(\"INSERT INTO seats VALUES ('{}')\".format(v))", "SQL"),
+    ("python", "os.system('rm -rf ' + folder)", "CMD"), ("python", "subprocess.run(f\"ls {d}\", shell=True)", "CMD"),
+    ("python", "subprocess.Popen(line, shell = True)", "CMD"), ("python", "os.popen(\"cat %s\" % name)", "CMD"),
+    ("javascript", "child_process.exec('ls ' + dir)", "CMD"), ("javascript", "exec(`rm ${f}`)", "CMD"),
+    ("javascript", "document.write(location.hash)", "XSS"), ("javascript", "node.outerHTML = value", "XSS"),
+    ("javascript", "$('#seat').html(req.body.seat)", "XSS"), ("python", "return \"<h1>\" + request.args[\"seat\"]", "XSS"),
+    ("python", "open('/seats/' + name)", "PTH"), ("python", "yaml.load(data)", "DES"), ("python", "cPickle.loads(data)", "DES"),
+    ("python", "x = eval(formula)", "DES"), ("javascript", "new Function(body)()", "DES"), ("python", "t = random.getrandbits(64)", "RND"),
+    ("python", "hashlib.new('sha1', seat)", "CRY"), ("javascript", "crypto.createHash('md5')", "CRY"), ("python", "DEBUG = True", "DBG"),
+    ("python", "app.run(debug=True)", "DBG"), ("python", "urllib.request.urlopen(link)", "SRF"), ("javascript", "axios.get(link)", "SRF"),
+    ("javascript", "fetch(req.query.link)", "SRF"), ("python", "lxml.etree.parse(f)", "XXE"), ("python", "ET.parse(upload)", "XXE"),
+    ("python", "requests.get(link)", "SRF"),
+]
+
+
+def test_faults_in_other_words(spark):
+    """Lines that no rule was written for: nine of ten are found, each by a rule of its family (eval in Python is not)."""
+    df = spark.createDataFrame([("p", str(i), lang, text) for i, (lang, text, _) in enumerate(ELSEWHERE)],
+                               "project string, path string, language string, text string")
+    found = {}
+    for g in dicts(dt.vulnerable_pattern_scan(df)):
+        found.setdefault(int(g["path"]), set()).add(g["rule_id"][:3])
+    assert sum(ELSEWHERE[i][2] in found.get(i, ()) for i in range(len(ELSEWHERE))) >= 0.9 * len(ELSEWHERE)
+
+
+def test_a_file_with_faults_of_many_kinds(spark):
+    lines = [(text, fam) for lang, text, fam in ELSEWHERE if lang == "python" and "eval" not in text]
+    df = spark.createDataFrame([("p", "a.py", "python", "\n\n".join(t for t, _ in lines))],
+                               "project string, path string, language string, text string")
+    got = dicts(dt.vulnerable_pattern_scan(df))
+    assert {(g["line"], g["rule_id"][:3]) for g in got} >= {(1 + 2 * i, fam) for i, (_, fam) in enumerate(lines)}
+    assert all(g["line"] % 2 for g in got)
+
+
 SAFE = [
     ("python", "banner = render('greeting.html', title=greeting)"), ("javascript", "panel.textContent = row.caption;"),
     ("javascript", "notes.insertOne({ owner: 7, body: cleaned });"), ("javascript", "if (panel.innerHTML == before) stop();"),
@@ -152,6 +189,11 @@ SAFE = [
     ("python", "feed = safe_xml.fromstring(upload.read())"), ("javascript", "reader.parseString(await upload.text());"),
     ("python", "server.run(port=8000, debug=settings.verbose)"), ("javascript", "journal.error(problem.stack);"),
     ("python", "feed = requests.head(mirror_address, timeout=3)"), ("javascript", "const feed = await fetch(known.address);"),
+    ("python", "rows = session.run('select n from stock where sku = %s', (sku,))"), ("python", "share = 100 * part % whole"),
+    ("python", "done = subprocess.run(['gzip', name], check=True)"), ("python", "notes = open('/srv/notes.txt').read()"),
+    ("python", "plan = yaml.load(upload, Loader=SafeLoader)"), ("python", "plan = yaml.safe_load(upload)"), ("python", "rule = ast.literal_eval(text)"),
+    ("python", "model.eval()"), ("python", "DEBUG = settings.verbose"), ("javascript", "pattern.exec('a' + b);"), ("javascript", "document.write('<hr>');"),
+    ("python", "page = '<li>' + escape(row) + '</li>'"), ("javascript", "const f = function (row) { return row; };"),
 ]
 
 
