@@ -76,6 +76,16 @@ def effective_policy(projects: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def risk_weights(policies: DataFrame) -> DataFrame:
+    """(project, w_critical, w_high, w_medium, w_low) from the `risk.weights` of policy texts (project, policy_json).
+
+    A weight that is absent, null or no number is NULL; scoring then takes its default.
+    """
+    weights = F.from_json(F.get_json_object("policy_json", "$.risk.weights"), TEXT_MAP)
+    return policies.select("project", *[
+        weights.getItem(b).try_cast("int").alias(f"w_{b}") for b in sev.BUCKETS])
+
+
 def selected_formats(policy: DataFrame) -> DataFrame:
     """Which sinks run per project; unknown words select nothing."""
     return policy.select("project", *[

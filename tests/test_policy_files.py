@@ -123,6 +123,20 @@ def test_effective_policy_is_a_deep_merge(spark, user):
         want["output"]["json_file"], want["severity"]["minimum"], want["severity"]["fail_on"])
 
 
+def test_weights_from_the_policy_text(spark):
+    from lintharbor.operators import risk
+
+    given = spark.createDataFrame([
+        ("p", '{"risk":{"weights":{"critical":50,"high":"x","low":0}}}'), ("q", "{}"), ("r", None), ("s", '{"risk":{"weights":null}}')],
+        "project string, policy_json string")
+    weights = po.risk_weights(given)
+    got = {g["project"]: tuple(g.values())[1:] for g in dicts(weights)}
+    assert got == {"p": (50, None, None, 0), "q": (None,) * 4, "r": (None,) * 4, "s": (None,) * 4}
+    counts = spark.createDataFrame([(p, "s", 1, 1, 1, 1) for p in "pq"], "project string, scan_id string, critical_count bigint, "
+                                   "high_count bigint, medium_count bigint, low_count bigint")
+    assert {g["project"]: g["weighted_score"] for g in dicts(risk.with_weighted_risk(counts, weights))} == {"p": 63, "q": 39}
+
+
 def test_switches_win(spark):
     projects = spark.createDataFrame([("p", ["python", "semgrep"], " HTML,json ,")],
                                      "project string, skip array<string>, cli_formats string")
