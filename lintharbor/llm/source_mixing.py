@@ -158,13 +158,14 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, s
     kept = [c for c in docs.columns if c not in clash]
     _, per_source = _plan(docs, weights, cap, seed)
     per_source = per_source.select("_s", F.struct("epochs", "cut", "at_cut").alias("_mix_plan"))
-    # `_mix` holds all that is computed, so no column of `docs` can clash with its fields.
-    own = F.struct(order_key(F.col("doc_id"), F.col("text"), seed).alias("key"), n_words(F.col("text")).alias("size"))
-    rows = docs.select(F.struct(*kept).alias("_row"), own.alias("_mix"))
+    # `_row` holds the columns of `docs`, so none can clash. The generator keeps the words from being counted
+    # anew in every expression that uses their number.
+    own = F.struct(order_key(F.col("doc_id"), F.col("text"), seed).alias("_key"), n_words(F.col("text")).alias("_size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.inline(F.array(own)))
     joined = join_sized(rows, per_source, F.col("_row.source").eqNullSafe(F.col("_s")), "inner", sources)
-    size, plan = F.col("_mix.size"), F.col("_mix_plan")
-    rest = F.when(F.col("_mix.key") < plan["cut"], size).when(
-        F.col("_mix.key") == plan["cut"], F.least(size, plan["at_cut"])).otherwise(0)
+    size, plan = F.col("_size"), F.col("_mix_plan")
+    rest = F.when(F.col("_key") < plan["cut"], size).when(
+        F.col("_key") == plan["cut"], F.least(size, plan["at_cut"])).otherwise(0)
     whole = F.when(size > 0, plan["epochs"]).otherwise(0)
     epochs = whole + F.when(rest > 0, 1).otherwise(0)
     out = joined.withColumn("_rest", rest).filter(epochs > 0).withColumn(
