@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, small, stored, words
+from .common import join_sized, row_key, small, stored, words
 
 SIZE, BINS, SHORT = 5, 4, 8
 _BROADCAST_ROWS = 500_000
@@ -94,6 +94,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent:
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = 80) -> DataFrame:
-    """Rows of `docs` that hold no benchmark item."""
-    hit = stored(matches(docs, benchmark, text, percent).select("doc_id").distinct())
-    return join_sized(docs, hit, ["doc_id"], "left_anti", _BROADCAST_ROWS)
+    """Rows of `docs` that hold no benchmark item.
+
+    Each row is judged by its own text: rows without an id go if they hold an item, and of rows with the
+    same id only those that do.
+    """
+    key = row_key(F.col("doc_id"), F.col(text))
+    hit = matches(docs.select(key.alias("doc_id"), text), benchmark, text, percent)
+    hit = stored(hit.select(F.col("doc_id").alias("_hit_key")).distinct())
+    return join_sized(docs, hit, key == F.col("_hit_key"), "left_anti", _BROADCAST_ROWS)
