@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, mix, shingle_sets, small, stored, text_batches
+from .common import join_sized, mix, row_key, shingle_sets, small, stored, text_batches
 
 SIZE, PERCENT, ORDERS = 5, 80, 3
 #: Share of the hash space counted to find loners; it must exceed 1 - PERCENT / 100.
@@ -231,9 +231,10 @@ def components_of(docs: DataFrame, text: str = "text") -> DataFrame:
     roots = connected(links(docs, table, text))
     classes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("_n"))
     rooted = classes.join(roots, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig"))
-    lowest = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"), F.sum("_n").alias("_all")).filter("_all > 1")
-    # Documents alone in their component need no row here.
-    named = stored(rooted.join(lowest, "root").select("sig", "class_id", "component_id"))
+    # Documents alone in their component need no row here. Stored, so that the join can split a hot root.
+    lowest = stored(rooted.groupBy("root").agg(
+        F.min("class_id").alias("component_id"), F.sum("_n").alias("_all")).filter("_all > 1"))
+    named = stored(join_sized(rooted, lowest, ["root"], "inner", _BROADCAST_ROWS).select("sig", "class_id", "component_id"))
     both = table.withColumn("sig", F.when(F.col("n") > 0, F.col("sig")))
     out = join_sized(both, named, ["sig"], "left", _BROADCAST_ROWS)
     return out.select("doc_id", F.col("n").alias("n_shingles"),
@@ -242,15 +243,27 @@ def components_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of `docs` whose doc_id is the least of its component; of rows with the same doc_id, one.
+    """One row of `docs` for each component: the one with the least doc_id, then the least key of id and text.
 
-    Rows without a doc_id are kept: nothing names them. Documents without words are kept.
+    Each row is placed by its own text, so rows that share a doc_id stay unless they are near-duplicates;
+    of rows alike in both, one stays. Rows without a doc_id are kept: nothing names them. Documents without
+    words are kept. Where no id repeats, the id is the row's key and nothing else has to be.
     """
-    found = stored(components_of(docs, text))
-    gone = stored(found.filter("doc_id != component_id").select("doc_id").distinct())
-    again = stored(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    kept = join_sized(docs, gone, ["doc_id"], "left_anti", _BROADCAST_ROWS)
-    if small(again, 0):
-        return kept
-    once = join_sized(kept, again, ["doc_id"], "left_anti", _BROADCAST_ROWS)
-    return once.union(join_sized(kept, again, ["doc_id"], "left_semi", _BROADCAST_ROWS).dropDuplicates(["doc_id"]))
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = stored(components_of(docs, text).filter("doc_id != component_id").select("doc_id"))
+        return join_sized(docs, gone, ["doc_id"], "left_anti", _BROADCAST_ROWS)
+    key = row_key(F.col("doc_id"), F.col(text))
+    placed = components_of(docs.select(key.alias("doc_id"), text), text).select(
+        F.col("doc_id").alias("_k"), F.col("component_id").alias("_c"))
+    ids = docs.select(key.alias("_k"), F.col("doc_id").alias("_id")).groupBy("_k").agg(
+        F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_rows"))
+    members = stored(placed.distinct().join(ids, "_k"))
+    # The least row of a component is found with map-side combine, so a large group is no hot key.
+    members = members.filter("_id IS NOT NULL")
+    least = stored(members.groupBy("_c").agg(F.min(F.struct("_id", "_k")).alias("_least")).select("_least._k"))
+    gone = stored(members.select("_k").join(least, "_k", "left_anti").withColumnRenamed("_k", "_gone"))
+    again = stored(members.filter("_rows > 1").select(F.col("_k").alias("_again")))
+    kept = join_sized(docs, gone, key == F.col("_gone"), "left_anti", _BROADCAST_ROWS)
+    once = join_sized(kept, again, key == F.col("_again"), "left_anti", _BROADCAST_ROWS)
+    twice = join_sized(kept, again, key == F.col("_again"), "left_semi", _BROADCAST_ROWS)
+    return once.union(twice.dropDuplicates(["doc_id", text]))
