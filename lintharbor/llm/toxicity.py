@@ -5,16 +5,18 @@ DECAY ** (its span in the word), spans up to SPAN letters; so a letter put in be
 out costs a part of the similarity only. Words count with a mark at either end, without what is not a
 letter; letters written apart are one word.
 
-Training. Labels belong to documents. In a bounded sample of labelled documents a sentence is labelled
-toxic if it holds a word that toxic documents use far more than others; all sentences of clean
-documents are labelled clean. Landmarks are picked among the words of both by pivoted Cholesky of the
-kernel, words map to Nyström features, and a linear SVM is trained on the witness of each toxic
-sentence (also gapped and with letters inserted) against the words of clean sentences, adding in each
-round the clean words it takes wrongly.
+Training. Labels belong to documents, of which a bounded sample is read. All sentences take part: those
+of clean documents are clean, those of toxic ones are bags of words of which the worst, the witness,
+makes a sentence toxic or not. First witnesses are words that toxic documents use beyond chance. Landmarks
+are picked among the words of both sides by pivoted Cholesky of the kernel, words map to Nyström
+features, and a linear SVM is trained on the witnesses (also gapped and with letters inserted) against
+the words of clean sentences. Each round adds the clean words it takes wrongly, and goes over all
+sentences of toxic documents again: the witness of each is the word with the largest margin, where
+that is beyond nearly all clean words.
 
 As the kernel is a product of sparse vectors, landmarks and SVM weights fold into one weight for each
-subsequence. Scoring a word is a sum over its subsequences, a document counts by its worst word, and a
-logistic curve fitted on the sample's documents turns the margin into a score.
+subsequence. Scoring a word is a sum over its subsequences, a document counts by its `WORST` worst words,
+and a logistic curve fitted on the sample's documents turns their margins into a score.
 
 Defined results: NULL and empty texts, and texts without letters, have the score of no evidence. Where
 nothing toxic is labelled all scores are 0. Labels of rows that are repeated count once each; NULL
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from heapq import nlargest
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ from .common import mix, stored
 from .language_id import remainder
 
 SPAN, DECAY, BITS, LONGEST = 6, 0.6, 20, 24
+#: Words of a document that count.
+WORST = 3
 _SPLIT = re.compile(r"[.!?\n]+")
 _APART = re.compile(r"(?<!\S)\S(?:[ ._*-]\S){2,}(?!\S)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -161,22 +166,22 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20000.0,
 
 
 class Model:
-    """Weights of subsequences, and the curve from a document's margin to its score."""
+    """Weights of subsequences, and the curve from a document's worst words to its score."""
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, middle: float):
-        self.table, self.bias, self.slope, self.middle = table, bias, slope, middle
+    def __init__(self, table: np.ndarray, bias: float, weights: np.ndarray, middle: float):
+        self.table, self.bias, self.weights, self.middle = table, bias, weights, middle
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.middle), -30, 30)))
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(worst @ self.weights - self.middle, -30, 30)))
 
 
 def worst_words(texts: list[str | None], table: np.ndarray, bias: float, kept: dict[str, float]) -> np.ndarray:
-    """Largest margin among the words of each whole text; -1 where there are none."""
-    lists = [words_of(t) if t else [] for t in texts]
-    new = {w for words in lists for w in words if w not in kept}
+    """The `WORST` largest margins among the different words of each whole text; -1 where there are fewer."""
+    sets = [set(words_of(t)) if t else set() for t in texts]
+    new = {w for words in sets for w in words if w not in kept}
     if len(kept) + len(new) > _CACHE:
         kept.clear()
-        new = {w for words in lists for w in words}
+        new = {w for words in sets for w in words}
     if new:
         names = list(new)
         parts = [pieces_of(w) for w in names]
@@ -185,10 +190,76 @@ def worst_words(texts: list[str | None], table: np.ndarray, bias: float, kept: d
         value[[not p for p in flat]] = -1.0
         first = np.cumsum([0] + [len(p) for p in parts])[:-1]
         kept.update(zip(names, np.maximum.reduceat(value, first).tolist()))
-    return np.array([max(map(kept.__getitem__, words), default=-1.0) for words in lists])
+    none = [-1.0] * WORST
+    return np.array([(nlargest(WORST, map(kept.__getitem__, words)) + none)[:WORST] for words in sets]).reshape(-1, WORST)
 
 
-def fit(sample: list[tuple[str, int]], n_landmarks: int = 256, rounds: int = 4, seed: int = 11) -> Model | None:
+def curve(worst: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Weights of the worst words and the middle of the score, fitted on documents.
+
+    Several bad words say more than one. A logistic regression weighs them; no weight is negative, so a
+    worse word never makes a text better. The middle is put where a share of clean documents flagged weighs
+    as much as eight times that share of toxic ones missed.
+    """
+    x = np.column_stack([worst, np.ones(len(worst))])
+    share = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([0.02 * len(label)] * WORST + [1e-6])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (share * (label - p)) - ridge @ w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    weights = np.maximum(w[:WORST], 0.1)
+    # Scores should part clearly: a unit of margin is worth several units of evidence.
+    weights *= 8.0 / weights.sum()
+    value = worst @ weights
+    cuts = np.unique(np.quantile(value, np.linspace(0, 1, 400)))
+    right = [(np.mean(value[label == 1] >= c) + 8 * np.mean(value[label == 0] < c)) for c in cuts]
+    top = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
+    middle = float(cuts[top].mean())
+    if top[0] > 0:
+        middle = float((cuts[top[-1]] + cuts[top[0] - 1]) / 2)
+    return weights, middle
+
+
+def telling_words(used: dict[int, Counter], docs: Counter, share: float = 0.2) -> dict[str, float]:
+    """Words that toxic documents use beyond chance, with the logarithm of how much more often.
+
+    `used` counts the documents of each class that hold a word. Were labels dealt at random, a word held
+    by n documents would be held by toxic ones only with probability p ** n, p the share of toxic documents;
+    with k others among them the chance is bounded alike. Words are accepted in order of that chance as
+    long as less than `share` of them are expected by luck, whatever the size of the sample.
+    """
+    p = docs[1] / (docs[0] + docs[1])
+    chance = {}
+    for w, n in used[1].items():
+        k = used[0][w]
+        odds = np.log((n + 0.1) / docs[1]) - np.log((k + 0.1) / docs[0])
+        if n + k > 1 and odds > 0:
+            # Chernoff bound of n or more out of n + k at probability p.
+            rate = n / (n + k)
+            chance[w] = (-(n + k) * (rate * np.log(rate / p) + (0 if k == 0 else (1 - rate) * np.log((1 - rate) / (1 - p)))), odds)
+    order = sorted(chance, key=lambda w: (chance[w][0], w))
+    last = 0
+    for rank, w in enumerate(order, 1):
+        if np.exp(chance[w][0]) * len(order) <= share * rank:
+            last = rank
+    return {w: chance[w][1] for w in order[:last] if chance[w][1] > 3.0}
+
+
+def witnesses(sentences: list[list[str]], margin: dict[str, float], least: float) -> Counter:
+    """The word the machine takes for worst in each sentence of toxic documents, where it is beyond `least`."""
+    found: Counter = Counter()
+    for words in sentences:
+        worst = max(words, key=margin.__getitem__, default=None)
+        if worst is not None and margin[worst] > least:
+            found[worst] += 1
+    return found
+
+
+def fit(sample: list[tuple[str, int]], n_landmarks: int = 320, rounds: int = 4, seed: int = 11) -> Model | None:
     """From (text, toxic) of the sampled documents."""
     random = np.random.default_rng(seed)
     used: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -197,33 +268,33 @@ def fit(sample: list[tuple[str, int]], n_landmarks: int = 256, rounds: int = 4,
         used[y].update({p for w in words_of(text or "") for p in pieces_of(w) if len(p) >= 3})
     if not docs[1] or not docs[0]:
         return None
-    odds = {w: np.log((n + 0.1) / docs[1]) - np.log((used[0][w] + 0.1) / docs[0]) for w, n in used[1].items() if n >= 10}
-    telling = {w for w, o in odds.items() if o > 3.0}
+    telling = telling_words(used, docs)
     if not telling:
         return None
-    clean = [w for w, _ in used[0].most_common()]
+    # Ties by the word, so that reruns agree.
+    clean = sorted(used[0], key=lambda w: (-used[0][w], w))
     del used
-    witness: Counter = Counter()
-    for text, y in sample:
-        for sentence in _SPLIT.split(text or "") if y else ():
-            inside = [p for w in words_of(sentence) for p in pieces_of(w) if p in telling]
-            if inside:
-                witness[max(inside, key=odds.__getitem__)] += 1
-    positive = list(witness)
+    # Every sentence of every toxic document is a bag of words; which word made it toxic is not labelled.
+    sentences = [
+        sorted({p for w in words_of(sentence) for p in pieces_of(w) if p})
+        for text, y in sample if y for sentence in _SPLIT.split(text or "")]
+    inside = sorted({w for words in sentences for w in words})
+    # The machine has seen nothing yet: its first witnesses are the words that tell the classes apart.
+    witness = witnesses(sentences, {w: telling.get(w, -1.0) for w in inside}, 0.0)
     pick = random.permutation(len(clean))
-    negative = [*clean[:1500], *(clean[i] for i in pick[:3500])]
+    negative = [*clean[:2000], *(clean[i] for i in pick[:6000])]
     common = [w for w, _ in witness.most_common(n_landmarks // 4)]
-    others = landmarks_of([*positive[:1500], *negative[:1500]], n_landmarks)
+    others = landmarks_of([*list(witness)[:2000], *negative[:2000]], n_landmarks)
     landmarks = list(dict.fromkeys([*common, *others]))[:n_landmarks]
     inner = kernel_with(landmarks, landmarks)
     value, vector = np.linalg.eigh(inner + 1e-6 * np.eye(len(landmarks)))
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
     ln, lb, lw = subsequences(landmarks)
-    varied = [*positive, *(gapped(w, random) for w in positive for _ in range(2))]
-    counted = np.array([*(float(witness[w]) for w in positive), *([2.0] * (2 * len(positive)))])
     table, bias, seen = np.zeros(1 << BITS), 0.0, set(negative)
-    clean_margin = np.zeros(0)
-    for _ in range(rounds):
+    for done in range(rounds):
+        positive = list(witness)
+        varied = [*positive, *(gapped(w, random) for w in positive for _ in range(2))]
+        counted = np.array([*(float(witness[w]) for w in positive), *([2.0] * (2 * len(positive)))])
         x = features([*varied, *negative], landmarks, root)
         y = np.concatenate([np.ones(len(varied)), -np.ones(len(negative))])
         weight = np.concatenate([counted / counted.sum(), np.full(len(negative), 1 / len(negative))])
@@ -232,20 +303,17 @@ def fit(sample: list[tuple[str, int]], n_landmarks: int = 256, rounds: int = 4,
         table = np.zeros(1 << BITS)
         np.add.at(table, lb, lw * beta[ln])
         clean_margin = np.concatenate([margins(clean[i: i + 4000], table, bias) for i in range(0, len(clean), 4000)])
-        hard = [clean[i] for i in np.argsort(-clean_margin)[:1500] if clean[i] not in seen]
+        hard = [clean[i] for i in np.argsort(-clean_margin)[:3000] if clean[i] not in seen]
         seen.update(hard)
         negative += hard
-    margin = np.concatenate([
+        if done + 1 < rounds:
+            # From now on the machine chooses: in each sentence its worst word, if hardly a clean word is as bad.
+            own = np.concatenate([margins(inside[i: i + 4000], table, bias) for i in range(0, len(inside), 4000)])
+            least = max(0.0, float(np.quantile(clean_margin, 0.999)))
+            witness = witnesses(sentences, dict(zip(inside, own.tolist())), least) or witness
+    worst = np.concatenate([
         worst_words([t for t, _ in sample[i: i + 200]], table, bias, {}) for i in range(0, len(sample), 200)])
-    label = np.array([y for _, y in sample])
-    cuts = np.unique(np.quantile(margin, np.linspace(0, 1, 400)))
-    # A clean document flagged weighs as much as four toxic ones missed.
-    right = [(np.mean(margin[label == 1] >= c) + 4 * np.mean(margin[label == 0] < c)) for c in cuts]
-    top = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
-    middle = float(cuts[top].mean())
-    if top[0] > 0:
-        middle = float((cuts[top[-1]] + cuts[top[0] - 1]) / 2)
-    return Model(table, bias, 8.0, middle)
+    return Model(table, bias, *curve(worst, np.array([y for _, y in sample])))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -254,19 +322,19 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     used = np.flatnonzero(model.table)
     bucket, value, bias = used.astype(np.int32), model.table[used], model.bias
-    slope, middle = model.slope, model.middle
+    weights, middle = model.weights, model.middle
 
     def scored(batches):
         import pyarrow as pa
 
         table, kept = np.zeros(1 << BITS), {}
         table[bucket] = value
-        curve = Model(table, bias, slope, middle)
+        fitted = Model(table, bias, weights, middle)
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 500):
                 texts = batch.column(1).slice(at, 500).to_pylist()
-                found.append(curve.score(worst_words(texts, table, bias, kept)))
+                found.append(fitted.score(worst_words(texts, table, bias, kept)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
 
@@ -280,8 +348,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, label: str =
     parts = [stored(rows.filter(F.col("_y") == y).orderBy(order, "doc_id").limit(most)) for y in (0, 1)]
     # At most 2 * `most` rows of two numbers: a bound that the parameter sets.
     chosen = F.broadcast(parts[0].union(parts[1]))
-    texts = docs.join(chosen, "doc_id").orderBy(order, "doc_id").limit(4 * most).select("text", "_y").collect()
-    return [(r["text"], int(r["_y"])) for r in texts]
+    # One text for each id and label, however often they repeat, and one row for texts alike.
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).orderBy(order, "doc_id", "_y")
+    return list(dict.fromkeys((r["text"], int(r["_y"])) for r in texts.select("text", "_y").collect()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 2500) -> DataFrame:
