@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintharbor.functions.scale import dense_numbers, stored
@@ -21,6 +21,12 @@ from lintharbor.rules import Rule
 FILE_KEYS = ["project", "path"]
 #: Trigrams looked up for a word: the rarest ones narrow almost as well as all.
 RAREST = 3
+#: Most candidate files that are sent to all tasks at once; more are sorted and merged.
+FEW_FILES = 10_000
+
+
+def _same_keys(keys: Sequence[str], other: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}.{k}")) for k in keys])
 
 
 def trigrams_of(word: str) -> list[str]:
@@ -30,23 +36,29 @@ def trigrams_of(word: str) -> list[str]:
 def build_index(texts: DataFrame, out: str, keys: Sequence[str] = FILE_KEYS) -> None:
     """Index (keys…, text) below `out`: `files` numbers them, `trigrams` says which file has which, `counts` how many.
 
-    Texts are read twice and never shuffled; numbers and trigrams are. Rows with the same keys share a number.
+    Texts are read twice and shuffled once, by their keys; then numbers and trigrams are. The files are as many
+    as the corpus has, and their table is far larger in memory than on disk, so it is merged and never broadcast.
+    Rows with the same keys share a number.
     """
     numbered = dense_numbers(texts.select(*keys).distinct(), [], keys, "file_no")
     numbered.write.parquet(f"{out}/files")
     files = texts.sparkSession.read.parquet(f"{out}/files")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f.{k}")) for k in keys])
-    # One pass of a pattern without width: every position gives the three characters that follow it.
-    found = texts.select(*keys, F.explode(F.array_distinct(
-        F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))).alias("trigram"))
-    rows = found.join(files.select(F.struct(*keys).alias("_f"), "file_no"), same).select("trigram", "file_no").distinct()
-    (rows.repartitionByRange("trigram", "file_no").sortWithinPartitions("trigram", "file_no")
+    (trigram_rows(texts, files, keys).repartitionByRange("trigram", "file_no").sortWithinPartitions("trigram", "file_no")
      .write.parquet(f"{out}/trigrams"))
     postings = texts.sparkSession.read.parquet(f"{out}/trigrams")
     (postings.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_files"))
      .repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(f"{out}/counts"))
 
 
+def trigram_rows(texts: DataFrame, files: DataFrame, keys: Sequence[str] = FILE_KEYS) -> DataFrame:
+    """(trigram, file_no): the distinct trigrams of each numbered file."""
+    known = files.select(F.struct(*keys).alias("_f"), "file_no").hint("merge")
+    # One pass of a pattern without width: every position gives the three characters that follow it.
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    return texts.select(*keys, "text").join(known, _same_keys(keys, "_f")).select(
+        F.explode(found).alias("trigram"), "file_no").distinct()
+
+
 def indexable(rule: Rule) -> bool:
     return bool(rule.keywords) and all(len(k) >= 3 for k in rule.keywords)
 
@@ -77,7 +89,7 @@ def candidate_files(spark: SparkSession, index: str, rules: Sequence[Rule], keys
     if not all(indexable(r) for r in rules):
         return files.select(*keys)
     found = stored(candidates(spark, index, rules).select("file_no").distinct())
-    return files.join(found, "file_no").select(*keys)
+    return files.join(found.hint("merge"), "file_no").select(*keys)
 
 
 def rescan(texts: DataFrame, index: str, rules: Sequence[Rule], scan: Callable[..., DataFrame],
@@ -92,9 +104,9 @@ def rescan(texts: DataFrame, index: str, rules: Sequence[Rule], scan: Callable[.
     spark = texts.sparkSession
 
     def over(chosen: list[Rule]) -> DataFrame:
-        allowed = candidate_files(spark, index, chosen, keys)
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_a.{k}")) for k in keys])
-        rows = texts.join(allowed.select(F.struct(*keys).alias("_a")), same, "left_semi")
+        allowed = stored(candidate_files(spark, index, chosen, keys).select(F.struct(*keys).alias("_a")))
+        few = allowed.limit(FEW_FILES + 1).count() <= FEW_FILES
+        rows = texts.join(allowed.hint("broadcast" if few else "merge"), _same_keys(keys, "_a"), "left_semi")
         return scan(rows if "text" in rows.columns else contents(stored(rows)), chosen)
 
     narrow, wide = [r for r in rules if indexable(r)], [r for r in rules if not indexable(r)]

@@ -82,6 +82,26 @@ def test_index_is_read_in_part(spark, index):
     assert "BroadcastHashJoin" in text
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_as_long_as_the_corpus_are_never_broadcast(spark, corpus, index, monkeypatch):
+    files = spark.read.parquet(f"{index}/files")
+    assert "Broadcast" not in plan_of(rescan.trigram_rows(corpus, files))
+    rows = [("p", None, "abcd"), ("p", None, "cdx"), (None, None, "ab"), (None, "q", "abcabc")]
+    texts = spark.createDataFrame(rows, "project string, path string, text string")
+    numbers = spark.createDataFrame([("p", None, 0), (None, None, 1), (None, "q", 2)], "project string, path string, file_no bigint")
+    assert sorted(tuple(r) for r in rescan.trigram_rows(texts, numbers).collect()) == [
+        ("abc", 0), ("abc", 2), ("bca", 2), ("bcd", 0), ("cab", 2), ("cdx", 0)]
+    rule = next(r for r in rules.CODE_RULES if rescan.indexable(r))
+    wide = next(r for r in rules.CODE_RULES if not rescan.indexable(r))
+    monkeypatch.setattr(rescan, "FEW_FILES", 0)
+    again = rescan.rescan(corpus, index, [rule, wide], dt.vulnerable_pattern_scan)
+    assert "Broadcast" not in plan_of(again)
+    assert hits(again) == hits(dt.vulnerable_pattern_scan(corpus, [rule, wide]))
+
+
 def test_bitmaps_count_as_distinct_does(spark):
     r = random.Random(2)
     rows = [(r.choice("pq"), f"s{r.randint(0, 3)}", r.randint(0, 5), f"/f{r.randint(0, 400)}") for _ in range(5000)]
