@@ -38,6 +38,9 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SIGN = re.compile(rb"[#$%&*|]")
 _CAPITAL = bytes(range(65, 91))
 _CHUNK = 1 << 20
+#: Bytes a row takes in a trie beside its text: its own tuples, and the node and terminal of a new text.
+_ROW = 256
+_TERMINAL = 768
 ROWS = "doc_id bigint, part string, mask int, n bigint"
 
 
@@ -78,7 +81,8 @@ class Trie:
     def __init__(self):
         self.root = [None, {}]
 
-    def insert(self, text: bytes, doc_id: int, row) -> None:
+    def insert(self, text: bytes, doc_id: int, row) -> bool:
+        """Whether the text is new."""
         node, at = self.root, 0
         while at < len(text):
             edge = node[1].get(text[at])
@@ -95,20 +99,29 @@ class Trie:
                 node[1][text[at]] = (label[:k], middle)
                 label, child = label[:k], middle
             node, at = child, at + len(label)
-        if node[0] is None:
+        new = node[0] is None
+        if new:
             node[0] = Terminal()
         end = node[0]
         end.least = doc_id if end.least is None else min(end.least, doc_id)
         end.rows.append(row)
+        return new
 
     def walk(self):
         """The terminals."""
-        open_nodes = [self.root]
+        return (terminal for terminal, _ in self.spelt())
+
+    def spelt(self):
+        """The terminals, each with the labels that lead to it: joined, they are its text."""
+        open_nodes = [(self.root, 0, b"")]
+        labels = []
         while open_nodes:
-            terminal, edges = open_nodes.pop()
+            (terminal, edges), depth, label = open_nodes.pop()
+            del labels[depth:]
+            labels.append(label)
             if terminal is not None:
-                yield terminal
-            open_nodes.extend(child for _, child in edges.values())
+                yield terminal, labels
+            open_nodes.extend((child, depth + 1, label) for label, child in edges.values())
 
 
 def shared(label: bytes, text: bytes, at: int) -> int:
@@ -123,11 +136,33 @@ def shared(label: bytes, text: bytes, at: int) -> int:
     return low
 
 
-def _batch(rows, names, kinds):
+def _batches(rows, names, kinds):
+    """Rows as batches, none of which is held together with the next. The last column may be a text, in bytes."""
+    import pyarrow as pa
+
+    def batch(held):
+        columns = list(zip(*held)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += _ROW + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+        if size >= _CHUNK:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+def _slices(batch, bytes_of: str = "text", rows: int = 256):
+    """A batch as few rows at a time, so that no more of them are Python objects; texts are bytes."""
     import pyarrow as pa
 
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    at = batch.schema.get_field_index(bytes_of)
+    batch = batch.set_column(at, bytes_of, batch.column(at).cast(pa.binary()))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def _local(window_bytes: int):
@@ -138,32 +173,37 @@ def _local(window_bytes: int):
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
 
     def closed(trie):
-        for end in trie.walk():
-            text, mask = end.rows[0][2:]
+        # The trie itself holds the texts, once each.
+        for end, labels in trie.spelt():
+            mask, text = end.rows[0][2], None
             for (doc_id, part), n in Counter(row[:2] for row in end.rows).items():
                 if doc_id == end.least:
-                    yield doc_id, part, mask, n, True, len(text.encode()), text
+                    text = b"".join(labels) if text is None else text
+                    yield doc_id, part, mask, n, True, len(text), text
                 else:
                     yield doc_id, part, mask | DUPLICATE, n, False, 0, None
 
     def run(batches):
+        import pyarrow.compute as pc
+
         trie, held = Trie(), 0
         for batch in batches:
-            apart = []
-            for doc_id, part, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = text.encode()
-                mask = own_mask(raw, len(text))
-                if doc_id is None:
-                    apart.append((None, part, mask, 1, False, 0, None))
-                    continue
-                trie.insert(raw, doc_id, (doc_id, part, text, mask))
-                held += len(raw) + 64
-            if apart:
-                yield _batch(apart, names, kinds)
-            if held > window_bytes:
-                yield _batch(closed(trie), names, kinds)
-                trie, held = Trie(), 0
-        yield _batch(closed(trie), names, kinds)
+            points = pc.utf8_length(batch.column(2)).to_pylist()
+            apart, at = [], 0
+            for few in _slices(batch):
+                for doc_id, part, raw in zip(*(few.column(i).to_pylist() for i in range(3))):
+                    mask = own_mask(raw, points[at])
+                    at += 1
+                    if doc_id is None:
+                        apart.append((None, part, mask, 1, False, 0, None))
+                        continue
+                    new = trie.insert(raw, doc_id, (doc_id, part, mask))
+                    held += _ROW + (len(raw) + _TERMINAL if new else 0)
+                if held > window_bytes:
+                    yield from _batches(closed(trie), names, kinds)
+                    trie, held = Trie(), 0
+            yield from _batches(apart, names, kinds)
+        yield from _batches(closed(trie), names, kinds)
 
     return run
 
@@ -182,13 +222,14 @@ def _tries(batches):
 
     trie, prefix = Trie(), None
     for batch in batches:
-        for key, doc_id, part, mask, n, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if key != prefix:
-                if prefix is not None:
-                    yield _batch(flagged(trie), names, kinds)
-                trie, prefix = Trie(), key
-            trie.insert(text.encode(), doc_id, (doc_id, part, mask, n))
-    yield _batch(flagged(trie), names, kinds)
+        for few in _slices(batch):
+            for key, doc_id, part, mask, n, text in zip(*(few.column(i).to_pylist() for i in range(6))):
+                if key != prefix:
+                    if prefix is not None:
+                        yield from _batches(flagged(trie), names, kinds)
+                    trie, prefix = Trie(), key
+                trie.insert(text, doc_id, (doc_id, part, mask, n))
+    yield from _batches(flagged(trie), names, kinds)
 
 
 def _common(batches):

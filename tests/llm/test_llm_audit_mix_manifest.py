@@ -133,6 +133,29 @@ def test_trie_holds_least_ids_at_terminals():
         assert end.least == min(1000 - i for i, t in enumerate(texts) if t == end.rows[0])
 
 
+def test_texts_of_a_window_are_held_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(7)
+    texts = [r.randbytes(2000).hex() for _ in range(3000)]
+    texts[1000:1100] = [texts[5]] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(["en"] * 3000), pa.array(texts)], ["doc_id", "part", "text"])
+    total = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        got = {}
+        for out in filter_audit._local(64 << 20)([batch]):
+            assert out.nbytes < 3 << 20
+            for doc_id, opened, text in zip(*(out.column(c).to_pylist() for c in ("doc_id", "open", "text"))):
+                got[doc_id] = (opened, text is None or hash(text) == hash(texts[doc_id]))
+        assert tracemalloc.get_traced_memory()[1] < 1.8 * total
+    finally:
+        tracemalloc.stop()
+    assert got == {i: (not 1000 <= i < 1100, True) for i in range(3000)}
+
+
 def test_word_counts_in_chunks(monkeypatch):
     monkeypatch.setattr(filter_audit, "_CHUNK", 7)
     for t in ("", "  ", prose(300, 9), " a\tb\n" * 30, "x" * 50):
